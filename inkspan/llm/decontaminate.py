@@ -196,6 +196,27 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     return out.drop("hit_bits").withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def without_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows that hold no window of a test item, with all their columns."""
+    blocks = list(item_blocks(benchmark, window))
+    arrow_batches(documents.sparkSession)
+    columns = documents.columns
+    at = [columns.index("doc_id"), columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _ in slices(batches, SHARD_BYTES):
+            texts = [pa.RecordBatch.from_arrays([b.column(i) for i in at], names=["doc_id", "text"]) for b in group]
+            hit = np.zeros(sum(b.num_rows for b in group), bool)
+            for block in blocks:
+                for found in _covered(block)(_index_rows(texts, block.terms)):
+                    hit |= np.asarray(found.column(2)) > 0
+            for b in group:
+                yield b.filter(pa.array(~hit[: b.num_rows]))
+                hit = hit[b.num_rows :]
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def _united(texts: DataFrame, blocks: list[Items], schema: str) -> DataFrame:
     """Several blocks: each row is indexed once a block in the same task, so its bitmaps meet without a shuffle."""
 

@@ -26,57 +26,58 @@ FEATURES = {
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "upper_share": "n_upper / greatest(n_letters, 1)",
-    "marks_per_word": "n_marks / greatest(n_words, 1)",
+    "upper_share": "n_upper / greatest(word_chars, 1)",
     "words": "double(n_words)",
 }
 
 
 def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and what the learned rules use besides.
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_upper.
 
     Null and empty texts have no words and all counts 0. Columns of these names that the table had are replaced.
+    Words are hashed once, and windows are made of those hashes, so words aren't carried from one step to the next.
     """
-    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    full = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.withColumns({"_words": words, "_lines": full})
-    n = F.size("_words")
-    key = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    words = F.array_remove(F.split(whole, r"[\x20\x09-\x0D]+"), "")
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = df.withColumns({
+        "_words": words,
+        "_lines": lines,
+        "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_upper": F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long"),
+    })
     out = out.withColumns({
-        "n_words": n.cast("long"),
+        "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_upper": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{Lu}")).cast("long"),
-        "n_letters": F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "")).cast("long"),
-        "n_marks": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[!?;:=~^_+@/\\(){}\[\]]")).cast("long"),
-        "_keys": F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.slice(key, F.lit(1), F.greatest(n - 2, F.lit(1)))),
-    })
-    return _with_repeats(out).drop("_words", "_lines", "_keys")
+        "_words": F.transform("_words", lambda w: F.xxhash64(w)),
+    }).drop("_lines")
+    window = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
+    out = out.withColumn("_keys", F.when(F.size("_words") < 3, F.array().cast("array<bigint>")).otherwise(F.slice(window, F.lit(1), F.greatest(F.size("_words") - 2, F.lit(1)))))
+    return _with_repeats(out).drop("_words", "_keys")
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
     """n_repeat_words: words inside a 3-word window that the text holds twice or more.
 
-    Windows are sorted by a key whose high bits are their hash and whose low bits their place, so equal windows are
-    neighbours; neighbours count only if their words are equal too.
+    Only texts with equal windows are looked into. Their windows are sorted by a key whose high bits are the hash and
+    whose low bits the place, so equal windows are neighbours; neighbours count only if their words' hashes agree.
     """
     low = (1 << _PLACE) - 1
     narrow = F.transform("_keys", lambda h, i: F.shiftleft(h, _PLACE).bitwiseOR(i.cast("long")))
+    full = F.transform("_keys", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     some = F.size(F.array_distinct("_keys")) < F.size("_keys")
-    df = df.withColumn("_sorted", F.when(some & (F.size("_keys") <= low), F.sort_array(narrow)))
-    df = df.withColumn("_wide", F.when(some & (F.size("_keys") > low), F.sort_array(F.transform("_keys", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumns({"_sorted": F.when((F.size("_keys") <= low) & some, F.sort_array(narrow)), "_wide": F.when((F.size("_keys") > low) & some, F.sort_array(full))})
 
     def equal(a: Column, b: Column) -> Column:
-        return F.coalesce((F.get("_words", a) == F.get("_words", b)) & (F.get("_words", a + 1) == F.get("_words", b + 1)) & (F.get("_words", a + 2) == F.get("_words", b + 2)), F.lit(False))
+        return (F.get("_words", a) == F.get("_words", b)) & (F.get("_words", a + 1) == F.get("_words", b + 1)) & (F.get("_words", a + 2) == F.get("_words", b + 2))
 
     def place(v: Column) -> Column:
         return v.bitwiseAND(F.lit(low)).cast("int")
 
     def twin(v: Column, other: Column) -> Column:
-        return F.when(F.shiftright(v, _PLACE) == F.shiftright(other, _PLACE), equal(place(v), place(other))).otherwise(F.lit(False))
+        return F.coalesce((F.shiftright(v, _PLACE) == F.shiftright(other, _PLACE)) & equal(place(v), place(other)), F.lit(False))
 
     found = F.filter("_sorted", lambda v, i: twin(v, F.get("_sorted", i - 1)) | twin(v, F.get("_sorted", i + 1)))
     wide = F.filter("_wide", lambda v, i: F.coalesce(v["h"] == F.get("_wide", i - 1)["h"], F.lit(False)) | F.coalesce(v["h"] == F.get("_wide", i + 1)["h"], F.lit(False)))

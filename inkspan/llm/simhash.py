@@ -209,6 +209,17 @@ def near_components(documents: DataFrame, size: int = 4, radius: int = RADIUS) -
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
 
+def one_of_each(documents: DataFrame, size: int, radius: int = RADIUS) -> DataFrame:
+    """The rows of the smallest id of each component, and rows without an id; of repeated rows of that id, one.
+
+    Blank texts all have fingerprint 0 but are no copies of anything: they stay.
+    """
+    found = near_components(documents.where("doc_id is not null"), size, radius)
+    gone = found.where("doc_id <> component_id and print <> 0").select("doc_id").distinct()
+    left = documents.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
+    return left.where("doc_id is null").union(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
