@@ -1,6 +1,329 @@
-"""The library's queries on the driver's tables, and their SQL twins, by name."""
+"""The library's queries on the driver's tables, and their SQL twins, by name.
+
+The tables hold no word of the default taxonomy, so queries on documents take one of common words.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, signals, tags, text
+from ..functions.taxonomy import Taxonomy
+from ..operators import chunks, dedup, joins
+from ..sources import html
+from . import analytics, dashboard, views
+
+CORPUS = Taxonomy(
+    patterns={"conjunction": ("and", "with"), "article": ("the", "der", "la"), "preposition": ("of", "von", "de"), "verb": ("is", "ist", "est"), "abuse": ("idiot", "scum", "moron")},
+    keywords={"conjunction": ("and", "with"), "article": ("the", "der"), "preposition": ("of", "von"), "abuse": ("idiot", "scum", "bec")},
+    signals={"ending": ("tion", "ment", "ung")},
+    severity=("abuse", "verb", "preposition", "conjunction", "article", "other"),
+    priority=("abuse", "preposition", "conjunction", "article", "other"),
+)
+AS_OF = "2024-02-01"
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", "source", "lang", "text", tags.pattern_tags("text", CORPUS).alias("fraud_tags"))
+
+
+def _tag_rows(spark: SparkSession, d: str, *others: str) -> DataFrame:
+    rows = _table(spark, d, "documents").select(*others, F.explode(tags.pattern_tags("text", CORPUS)).alias("fraud_tag"))
+    return rows.where("fraud_tag <> 'other'")
+
+
+# --- SQL pieces -------------------------------------------------------------------------------------------------
+
+def _word_sql(words: tuple[str, ...]) -> str:
+    return f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(words)})([^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+_TAGS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_word_sql(w)} THEN '{f}' END" for f, w in CORPUS.patterns.items()) + "], lambda x: x IS NOT NULL)"
+_TAGGED_SQL = f"tagged AS (SELECT doc_id, source, lang, text, CASE WHEN len({_TAGS_SQL}) = 0 THEN ['other'] ELSE list_sort({_TAGS_SQL}) END AS fraud_tags FROM documents)"
+_ROWS_SQL = f"{_TAGGED_SQL}, tag_rows AS (SELECT * FROM (SELECT doc_id, source, unnest(fraud_tags) AS fraud_tag FROM tagged) WHERE fraud_tag <> 'other')"
+_KEYWORD_SQL = "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in ks) + f" THEN '{f}' END" for f, ks in CORPUS.keywords.items()) + "]"
+
+
+def category_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.distribution(_tag_rows(spark, d))
+
+
+def tag_counts_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.by_source(_tag_rows(spark, d, "source"), top=3)
+
+
+def source_share_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.pivoted(_tag_rows(spark, d, "source"), "source", "fraud_tag", ["abuse", "article", "conjunction", "preposition", "verb"])
+
+
+def keyword_vs_word_tagging(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "documents")
+    return rows.select("doc_id", F.array_join(tags.pattern_tags("text", CORPUS), ",").alias("word_tags"), F.array_join(tags.keyword_tags("text", CORPUS), ",").alias("keyword_tags"), F.array_join(tags.keyword_signals("text", CORPUS), ",").alias("signals"))
+
+
+def primary_tag_hits(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(spark, d).select("doc_id", tags.primary_tag("text", "fraud_tags", CORPUS).alias("primary_tag"), tags.severest_tag("fraud_tags", CORPUS).alias("severest_tag"))
+
+
+def primary_tag_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.distribution(primary_tag_hits(spark, d), "primary_tag", None, 2)
+
+
+def tag_multiplicity(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.tag_multiplicity(_tagged(spark, d))
+
+
+def _joined(x: Column) -> Column:
+    return F.array_join(x, ",")
+
+
+def signal_extract(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "documents")
+    return rows.select("doc_id", _joined(signals.urls("text")).alias("urls"), _joined(signals.emails("text")).alias("emails"), _joined(signals.phones("text")).alias("phones"), _joined(signals.ip_addresses("text")).alias("ips"), _joined(signals.crypto_wallets("text")).alias("wallets"))
+
+
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "documents").select("doc_id", "source", signals.indicators("text").alias("s"))
+    return rows.select("doc_id", "source", *[signals.has("s", f).alias(flag) for flag, f in signals.FLAGS.items()], signals.signal_count("s").alias("signal_count"))
+
+
+def signal_summary(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.signal_summary(_flags(spark, d))
+
+
+def signal_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.signal_rates(_flags(spark, d), "source")
+
+
+def signal_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.cooccurrence(_flags(spark, d))
+
+
+def compound_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.compound_patterns(_flags(spark, d))
+
+
+_URL_RE = r"https?://[^\s)>\]]+"
+_EMAIL_RE = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+_PHONE_RE = signals.PHONE
+_FLAGS_SQL = f"""flags AS (SELECT doc_id, source, regexp_matches(text, '(?i)\\b{_URL_RE}') AS has_url, regexp_matches(text, '{_EMAIL_RE}') AS has_email,
+  regexp_matches(text, '{_PHONE_RE}') AS has_phone, regexp_matches(text, '{signals.IP}') AS has_ip,
+  regexp_matches(text, '{signals.BTC}') OR regexp_matches(text, '{signals.ETH}') AS has_crypto FROM documents)"""
+
+
+def chunk_explode(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks.chunk_rows(_table(spark, d, "documents"), "text", ["doc_id"])
+    return rows.select("doc_id", "chunk_id", "chunk_length", F.md5("chunk_text").alias("chunk_md5"))
+
+
+def chunk_summary(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.chunk_summary(chunks.chunk_rows(_table(spark, d, "documents"), "text", ["doc_id", "source"]), ["doc_id"])
+
+
+def chunk_weight(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.with_weights(chunks.chunk_rows(_table(spark, d, "documents"), "text", ["doc_id", "source"]))
+    return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.bround(F.sum("chunk_weight"), 6).alias("weight"))
+
+
+def weighted_distribution(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.with_weights(chunks.tag_chunks(chunks.chunk_rows(_table(spark, d, "documents"), "text", ["doc_id"]), CORPUS))
+    out = rows.select("chunk_weight", F.explode("fraud_tags").alias("fraud_tag")).groupBy("fraud_tag").agg(F.count("*").alias("count"), F.bround(F.sum("chunk_weight"), 4).alias("weight"))
+    return out
+
+
+def wide_documents(spark: SparkSession, d: str) -> DataFrame:
+    tagged = chunks.tag_chunks(chunks.chunk_rows(_table(spark, d, "documents"), "text", ["doc_id"]), CORPUS)
+    return chunks.documents_of_chunks(tagged, ["doc_id"]).select("doc_id", "num_chunks", _joined("fraud_tags").alias("fraud_tags"), _joined("fraud_signals").alias("fraud_signals"))
+
+
+# Chunks in SQL: trimming is of spaces alone on both sides, as white space is one space by then.
+_CHUNKS_SQL = r"""clean AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Za-z.,)])\d{1,2}\b', '\1', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM documents),
+starts AS (SELECT doc_id, source, t, unnest(range(0, greatest(length(t), 1), 1000)) AS p FROM clean WHERE length(t) > 0),
+cut AS (SELECT doc_id, source, p, trim(substring(t, p + 1, 1200)) AS c FROM starts),
+chunks AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS chunk_id, c FROM cut WHERE length(c) > 150)"""
+
+
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "documents")
+    return rows.select("doc_id", F.md5(text.normalize_space("text")).alias("clean_md5"), F.length(text.drop_reference_numbers("text")).alias("bare_length"))
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("date"), F.col("o_orderpriority").alias("tag"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), "o_custkey", "o_orderkey")
+
+
+def trend_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.trend(_orders(spark, d), "year", "tag", top=3)
+
+
+def trend_by_quarter(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d).withColumn("quarter", dates.quarter_label("date"))
+    return analytics.trend(rows, "quarter", "tag", top=None)
+
+
+def yoy_change(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.year_on_year(_orders(spark, d), "year", "tag")
+
+
+def new_categories(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d).withColumn("tag", F.concat("tag", F.lit("/"), (F.col("o_custkey") % 500).cast("string")))
+    return analytics.new_categories(rows, "year", "tag")
+
+
+def trend_period(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "events").select(F.col("ts").alias("date"), F.col("event_type").alias("primary_tag"))
+    return dashboard.volume_trend(rows, "W", F.lit(AS_OF).cast("timestamp"))
+
+
+def trend_filled(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.filled_trend(_orders(spark, d), "M")
+
+
+def period_over_period(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.period_change(_orders(spark, d), "Q", "tag")
+
+
+def ytd_compare(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.year_to_date(_orders(spark, d), "tag")
+
+
+def source_audit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("ts").alias("date"))
+    return dashboard.source_audit(rows)
+
+
+def category_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.matrix_with_total(_orders(spark, d), "tag", "status", ["F", "O", "P"])
+
+
+def dashboard_totals(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.totals(_table(spark, d, "documents"))
+
+
+def dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("text_md5"))
+    return dedup.keep_first(rows, ["text_md5"], ["doc_id"])
+
+
+def cross_source_dedup(spark: SparkSession, d: str) -> DataFrame:
+    events = _table(spark, d, "events")
+    parts = [events.where(F.col("event_type") == t).select("user_id", "event_id", "event_type") for t in ("purchase", "click", "view")]
+    return dedup.first_source_wins(parts, "user_id", "event_id")
+
+
+def incremental_anti(spark: SparkSession, d: str) -> DataFrame:
+    new = _table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    return dedup.unseen(_table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment"), new, "key")
+
+
+def narrative_themes(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.narrative_themes(_table(spark, d, "documents"), "text", ["the", "of", "and", "der", "die", "de", "la", "el"], 50)
+
+
+def stable_id(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", text.stable_id("url").alias("stable_id"), text.tidy_url("url").alias("url"))
+
+
+def html_heading(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", html.heading("html").alias("title"), F.size(html.hrefs("html")).alias("n_links"))
+
+
+def html_articles(spark: SparkSession, d: str) -> DataFrame:
+    return html.extract_articles(_table(spark, d, "pages"))
+
+
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return html.extract_links(_table(spark, d, "pages"))
+
+
+def null_counts(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.null_counts(_table(spark, d, "documents"))
+
+
+def union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    a = _table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("kind"))
+    b = _table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind"))
+    return joins.union_distinct([a, b])
+
+
+def year_counts_aligned(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d)
+    count = lambda y: rows.where(F.col("year") == y).groupBy("tag").agg(F.count("*").alias("n"))
+    return joins.both_sides(count(1995), count(1996), "tag", "n")
+
+
+def office_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", F.md5(text.strip_boilerplate(html.strip_tags("html"), "agency_blog")).alias("body_md5"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        category_distribution, tag_counts_by_source, source_share_pivot, keyword_vs_word_tagging, primary_tag_hits, primary_tag_distribution, tag_multiplicity,
+        signal_extract, signal_summary, signal_by_source, signal_cooccurrence, compound_patterns, chunk_explode, chunk_summary, chunk_weight, weighted_distribution,
+        wide_documents, clean_text, trend_by_year, trend_by_quarter, yoy_change, new_categories, trend_period, trend_filled, period_over_period, ytd_compare,
+        source_audit, category_matrix, dashboard_totals, dedup_first, cross_source_dedup, incremental_anti, narrative_themes, stable_id, html_heading, html_articles,
+        html_links, null_counts, union_distinct, year_counts_aligned, office_labels,
+    )
+}
+
+
+def _hits(words: tuple[str, ...]) -> str:
+    return " + ".join(f"(length(low) - length(replace(low, '{w}', ''))) / {len(w)}" for w in words) or "0"
+
+
+_PRIMARY_SQL = f"""{_TAGGED_SQL}, scored AS (
+  SELECT doc_id, f.family, f.hits, f.place FROM (SELECT doc_id, fraud_tags, lower(text) AS low FROM tagged) t,
+  LATERAL (VALUES {", ".join(f"('{f}', {_hits(CORPUS.keywords.get(f, ()))}, {CORPUS.priority.index(f) if f in CORPUS.priority else 99})" for f in CORPUS.patterns)}) f(family, hits, place)
+  WHERE list_contains(fraud_tags, f.family)),
+best AS (SELECT doc_id, family FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, place, family) AS r FROM scored) WHERE r = 1),
+severe AS (SELECT doc_id, CASE {" ".join(f"WHEN list_contains(fraud_tags, '{f}') THEN '{f}'" for f in CORPUS.severity)} END AS severest_tag FROM tagged),
+primaries AS (SELECT s.doc_id, coalesce(best.family, 'other') AS primary_tag, severest_tag FROM severe s LEFT JOIN best ON s.doc_id = best.doc_id)"""
+
+_ORDERS_SQL = "o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS tag, o_orderstatus AS status, year(o_orderdate) AS year, o_custkey FROM orders)"
+_CHANGE_SQL = "tag, previous, current, current - previous AS delta, round_even(CAST(current - previous AS DOUBLE) / CASE WHEN previous = 0 THEN 1 ELSE previous END * 100, 1) AS pct"
+
+ORACLE_SQL = {
+    "category_distribution": f"WITH {_ROWS_SQL} SELECT fraud_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (), 1) AS pct FROM tag_rows GROUP BY fraud_tag",
+    "tag_counts_by_source": f"WITH {_ROWS_SQL}, top AS (SELECT fraud_tag FROM tag_rows GROUP BY fraud_tag ORDER BY count(*) DESC, fraud_tag LIMIT 3) SELECT source, fraud_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (PARTITION BY source), 1) AS share FROM tag_rows WHERE fraud_tag IN (SELECT fraud_tag FROM top) GROUP BY source, fraud_tag",
+    "source_share_pivot": f"WITH {_ROWS_SQL} SELECT source, " + ", ".join(f"count(*) FILTER (WHERE fraud_tag = '{t}') AS {t}" for t in ("abuse", "article", "conjunction", "preposition", "verb")) + " FROM tag_rows GROUP BY source",
+    "keyword_vs_word_tagging": f"WITH {_TAGGED_SQL}, k AS (SELECT doc_id, list_filter({_KEYWORD_SQL}, lambda x: x IS NOT NULL) AS ks, list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{s}') THEN '{s}' END" for s, _ in CORPUS.signal_rows()) + "], lambda x: x IS NOT NULL) AS ss FROM documents) SELECT t.doc_id, array_to_string(fraud_tags, ',') AS word_tags, CASE WHEN len(ks) = 0 THEN 'other' ELSE array_to_string(list_sort(ks), ',') END AS keyword_tags, array_to_string(list_sort(ss), ',') AS signals FROM tagged t JOIN k ON t.doc_id = k.doc_id",
+    "primary_tag_hits": f"WITH {_PRIMARY_SQL} SELECT doc_id, primary_tag, severest_tag FROM primaries",
+    "primary_tag_distribution": f"WITH {_PRIMARY_SQL} SELECT primary_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (), 2) AS pct FROM primaries GROUP BY primary_tag",
+    "tag_multiplicity": f"WITH {_TAGGED_SQL} SELECT count(*) FILTER (WHERE len(fraud_tags) = 1) AS single_tag, count(*) FILTER (WHERE len(fraud_tags) > 1) AS multi_tag, count(*) AS documents FROM tagged",
+    "signal_extract": f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)\\b{_URL_RE}'))), ',') AS urls, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_EMAIL_RE}'), lambda x: lower(x)))), ',') AS emails, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_PHONE_RE}'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))))), ',') AS phones, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{signals.IP}'))), ',') AS ips, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '{signals.BTC}', 1), regexp_extract_all(text, '{signals.ETH}')))), ',') AS wallets FROM documents",
+    "signal_summary": f"WITH {_FLAGS_SQL} SELECT signal, count, round_even(CAST(count * 100 AS DOUBLE) / n, 1) AS pct FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS signal, count(*) FILTER (WHERE {f}) AS count, count(*) AS n FROM flags" for f in signals.FLAGS) + ")",
+    "signal_by_source": f"WITH {_FLAGS_SQL} SELECT source, " + ", ".join(f"round_even(avg(CAST({f} AS INTEGER)) * 100, 1) AS {f}" for f in signals.FLAGS) + " FROM flags WHERE source IS NOT NULL GROUP BY source",
+    "signal_cooccurrence": f"WITH {_FLAGS_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS flag_a, '{b}' AS flag_b, count(*) FILTER (WHERE {a} AND {b}) AS count FROM flags" for a in signals.FLAGS for b in signals.FLAGS),
+    "compound_patterns": f"WITH {_FLAGS_SQL} SELECT pattern, count, round_even(CAST(count * 100 AS DOUBLE) / n, 2) AS pct FROM (" + " UNION ALL ".join("SELECT '" + " + ".join(n.upper() if n == "url" else n.title() for n in names) + "' AS pattern, count(*) FILTER (WHERE " + " AND ".join(f"has_{n}" for n in names) + ") AS count, count(*) AS n FROM flags" for names in signals.COMPOUNDS) + ")",
+    "chunk_explode": f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk_id, length(c) AS chunk_length, md5(c) AS chunk_md5 FROM chunks",
+    "chunk_summary": f"WITH {_CHUNKS_SQL} SELECT doc_id, count(*) AS total_chunks, avg(length(c)) AS avg_chunk_length, min(length(c)) AS min_chunk_length, max(length(c)) AS max_chunk_length FROM chunks GROUP BY doc_id",
+    "chunk_weight": f"WITH {_CHUNKS_SQL}, w AS (SELECT source, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS weight FROM chunks) SELECT source, count(*) AS chunks, round_even(sum(weight), 6) AS weight FROM w GROUP BY source",
+    "weighted_distribution": f"WITH {_CHUNKS_SQL}, w AS (SELECT c AS text, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS chunk_weight FROM chunks), k AS (SELECT chunk_weight, list_filter({_KEYWORD_SQL}, lambda x: x IS NOT NULL) AS ks FROM w) SELECT fraud_tag, count(*) AS count, round_even(sum(chunk_weight), 4) AS weight FROM (SELECT chunk_weight, unnest(CASE WHEN len(ks) = 0 THEN ['other'] ELSE ks END) AS fraud_tag FROM k) GROUP BY fraud_tag",
+    "clean_text": r"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '[\s\x{00A0}]+', ' ', 'g'))) AS clean_md5, length(trim(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Za-z.,)])\d{1,2}\b', '\1', 'g'), '[\s\x{00A0}]+', ' ', 'g'))) AS bare_length FROM documents",
+    "trend_by_year": f"WITH {_ORDERS_SQL}, top AS (SELECT tag FROM o GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 3) SELECT year, tag, count(*) AS count FROM o WHERE tag IN (SELECT tag FROM top) GROUP BY year, tag",
+    "trend_by_quarter": f"WITH {_ORDERS_SQL} SELECT year(date) || 'Q' || quarter(date) AS quarter, tag, count(*) AS count FROM o GROUP BY 1, 2",
+    "yoy_change": f"WITH {_ORDERS_SQL}, e AS (SELECT max(year) AS cur, (SELECT max(year) FROM o WHERE year < (SELECT max(year) FROM o)) AS prev FROM o), s AS (SELECT tag, count(*) FILTER (WHERE year = prev) AS previous, count(*) FILTER (WHERE year = cur) AS current FROM o, e WHERE year IN (prev, cur) GROUP BY tag) SELECT tag, previous, current, round_even(CAST(current - previous AS DOUBLE) / (previous + 1) * 100, 1) AS pct_change FROM s",
+    "new_categories": f"WITH {_ORDERS_SQL}, t AS (SELECT tag || '/' || (o_custkey % 500) AS tag, year FROM o) SELECT tag FROM t GROUP BY tag HAVING min(year) = (SELECT max(year) FROM o)",
+    "trend_period": f"WITH e AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS period, event_type AS primary_tag FROM events), k AS (SELECT * FROM e WHERE period <= DATE '{AS_OF}'), l AS (SELECT DISTINCT period FROM k ORDER BY period DESC LIMIT 10) SELECT period, primary_tag, count(*) AS count FROM k WHERE period IN (SELECT period FROM l) GROUP BY period, primary_tag",
+    "trend_filled": f"WITH {_ORDERS_SQL}, c AS (SELECT last_day(date) AS period, count(*) AS count FROM o GROUP BY 1), s AS (SELECT last_day(CAST(unnest(generate_series((SELECT date_trunc('month', min(period)) FROM c), (SELECT max(period) FROM c), INTERVAL 1 MONTH)) AS DATE)) AS period) SELECT s.period, coalesce(count, 0) AS count FROM s LEFT JOIN c ON s.period = c.period",
+    "period_over_period": f"WITH {_ORDERS_SQL}, q AS (SELECT date_trunc('quarter', date) AS p, tag FROM o), r AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p FROM q)), s AS (SELECT tag, count(*) FILTER (WHERE k - (CASE WHEN n >= 3 THEN 1 ELSE 0 END) = 2) AS previous, count(*) FILTER (WHERE k - (CASE WHEN n >= 3 THEN 1 ELSE 0 END) = 1) AS current FROM q JOIN r ON q.p = r.p GROUP BY tag) SELECT {_CHANGE_SQL} FROM s",
+    "ytd_compare": f"WITH {_ORDERS_SQL}, m AS (SELECT max(date) AS last FROM o), s AS (SELECT tag, count(*) FILTER (WHERE year(last) - year(date) = 1) AS previous, count(*) FILTER (WHERE year(last) = year(date)) AS current FROM o, m WHERE dayofyear(date) <= dayofyear(last) GROUP BY tag) SELECT {_CHANGE_SQL} FROM s WHERE current > 0",
+    "source_audit": "SELECT event_type AS source, count(*) AS records, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen FROM events GROUP BY event_type",
+    "category_matrix": f"WITH {_ORDERS_SQL} SELECT tag, count(*) FILTER (WHERE status = 'F') AS F, count(*) FILTER (WHERE status = 'O') AS O, count(*) FILTER (WHERE status = 'P') AS P, count(*) AS total FROM o WHERE status IN ('F', 'O', 'P') GROUP BY tag",
+    "dashboard_totals": "SELECT count(*) AS leads, count(DISTINCT source) AS vendors FROM documents",
+    "dedup_first": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, md5(text) AS text_md5 FROM documents GROUP BY md5(text)",
+    "cross_source_dedup": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) AS r FROM events WHERE event_type IN ('purchase', 'click', 'view')) WHERE r = 1",
+    "incremental_anti": "SELECT c_custkey AS key, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "narrative_themes": r"SELECT word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[''’]s\b', '', 'g'), '\p{L}{2,}')) AS word FROM documents) WHERE word NOT IN ('the', 'of', 'and', 'der', 'die', 'de', 'la', 'el') GROUP BY word ORDER BY count(*) DESC, word LIMIT 50",
+    "stable_id": "SELECT page_id, substring(sha1(url), 1, 14) AS stable_id, CASE WHEN rtrim(url, '/') LIKE 'http://%' OR rtrim(url, '/') LIKE 'https://%' THEN rtrim(url, '/') ELSE 'https://' || rtrim(url, '/') END AS url FROM pages",
+    "html_heading": r"WITH h AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, len(regexp_extract_all(html, 'href=" + '"' + "([^" + '"' + "]*)" + '"' + r"', 1)) AS n_links FROM h",
+    "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
+    "union_distinct": "SELECT c_nationkey AS nation, 'customer' AS kind FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier",
+    "year_counts_aligned": "SELECT o_orderpriority AS tag, count(*) FILTER (WHERE year(o_orderdate) = 1995) AS previous, count(*) FILTER (WHERE year(o_orderdate) = 1996) AS current FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY o_orderpriority",
+}
