@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, pii, quality, rules, simhash, urls
+from . import bpe, decontaminate, lines, lm, pii, quality, rules, simhash, toxicity, urls
 
 QUERIES = {
     f.__name__: f
     for f in (
         quality.op1_quality, rules.op2_quality_rules, simhash.op3_simhash, decontaminate.op4_decontamination, lines.op5_line_dedup,
-        pii.op6_pii, bpe.op8_bpe, urls.op9_url_filter,
+        pii.op6_pii, lm.op7_lm_scoring, bpe.op8_bpe, urls.op9_url_filter, toxicity.op10_toxicity,
     )
 }
 
