@@ -38,7 +38,14 @@ ADDRESS = frozenset("you your you're u du dein deine ihr tu tus usted te toi ton
 QUOTING = frozenset("said says quoted quote called wrote word term report reported alleged sagte nannte dijo llamó dit appelé".split())
 SEEDS = ("disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "worthless")
 
-NAMES = ("words", "stems", "fuzzy", "address", "quoted", "kinds")
+#: What is counted in a text: hits by kind, hits among words of address or of quoting, and all words.
+NAMES = ("words", "stems", "fuzzy", "address", "quoted", "n_words")
+#: A misspelled hit counts for so much of a word.
+MISSPELLED = 0.5
+#: What the weights are drawn to where labels say nothing: constant, words, stems, density, address, quoted.
+PRIOR = np.array([-3.0, 2.0, 1.0, 1.0, 0.5, -1.5])
+#: Times as frequent in toxic texts' words as in others'.
+EXCESS = 15.0
 _WORD, _STEM, _FUZZY = 1, 2, 3
 _DEAD, _START = 0, 1
 
@@ -161,12 +168,18 @@ class Matcher:
             out[i, 3] += any(w in ADDRESS for w in words)
             marks = before.count('"') % 2 == 1 and '"' in after or before.rfind("“") > before.rfind("”") or before.rfind("«") > before.rfind("»")
             out[i, 4] += marks or any(w in QUOTING for w in words)
-        out[:, 5] = (out[:, :3] > 0).sum(1)
+        out[:, 5] = [len(t.split()) for t in low]
         return out
 
 
+def inputs(words, stems, fuzzy, address, quoted, n_words, log1p, most):
+    """The model's inputs, of columns or of arrays alike."""
+    own = words + fuzzy * MISSPELLED
+    return log1p(own), log1p(stems), log1p((own + stems) * 100 / most(n_words)), log1p(address), log1p(quoted)
+
+
 def _scaled(features: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(features)), np.log1p(features)])
+    return np.column_stack([np.ones(len(features)), *inputs(*features.T, np.log1p, lambda n: np.maximum(n, 1))])
 
 
 def _log10_tail(hits: int, n: int, share: float) -> float:
@@ -187,12 +200,13 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     share = totals[0] / totals[1]
     stems = by_word.select("bad", "good", F.explode(F.transform(F.lit(list(STEMS)), lambda n: F.when(F.length("word") > n, F.struct(F.substring("word", F.lit(1), n).alias("term"))))).alias("s")).where("s is not null")
     terms = by_word.select(F.col("word").alias("term"), F.lit(False).alias("stem"), "bad", "good").union(stems.groupBy("s.term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).select("term", F.lit(True), "bad", "good"))
-    found = terms.where("bad >= 5 and bad >= 19 * good and length(term) >= 3").orderBy(F.desc("bad"), "term", "stem").limit(8 * TERMS).collect()
+    least = EXCESS * share / (1 - share)  # of bad to good
+    found = terms.where((F.col("bad") >= 5) & (F.col("bad") >= least * F.col("good")) & (F.length("term") >= 3)).orderBy(F.desc("bad"), "term", "stem").limit(8 * TERMS).collect()
     real = [r for r in found if _log10_tail(r["bad"], r["bad"] + r["good"], share) < CHANCE]
     chosen: list[str] = []
     for r in sorted((r for r in real if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
         # A stem counts if more than one word shares it: else it is the word.
-        whole = sum(w["bad"] for w in real if not w["stem"] and w["term"].startswith(r["term"]))
+        whole = max((w["bad"] for w in real if not w["stem"] and w["term"].startswith(r["term"])), default=0)
         if whole < 0.8 * r["bad"] and not any(r["term"].startswith(s) for s in chosen):
             chosen.append(r["term"])
     plain = [r["term"] for r in real if not r["stem"] and not any(r["term"].startswith(s) for s in chosen)]
@@ -200,14 +214,14 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps; without both labels, hits alone decide."""
+    """Logistic regression by Newton steps, drawn to PRIOR; without both labels PRIOR itself."""
     if not len(labels) or labels.min() == labels.max():
-        return np.array([-3.0, 3, 3, 2, 1, -3, 1])
-    x, w = _scaled(features), np.zeros(len(NAMES) + 1)
+        return PRIOR
+    x, w = _scaled(features), PRIOR.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (labels - p) - ridge * w)
+        step = np.linalg.solve(h, x.T @ (labels - p) - ridge * (w - PRIOR))
         w = w + step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
     return w
 
@@ -241,9 +255,10 @@ def scored(documents: DataFrame, lexicon: Lexicon, weights: Iterable[float]) ->
     arrow_batches(documents.sparkSession)
     texts = pick(documents, "doc_id", "text")
     counts = texts.mapInArrow(_counted(lexicon, 1), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_COUNTS}")
-    total = F.lit(float(list(weights)[0]))
-    for name, w in zip(NAMES, list(weights)[1:]):
-        total = total + F.lit(float(w)) * F.log1p(name)
+    first, *others = map(float, weights)
+    total = F.lit(first)
+    for value, w in zip(inputs(*map(F.col, NAMES), F.log1p, lambda n: F.greatest(n, F.lit(1.0))), others):
+        total = total + value * w
     return counts.withColumn("score", 1 / (1 + F.exp(-total)))
 
 
