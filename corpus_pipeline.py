@@ -13,7 +13,7 @@ from inkspan.llm import bpe, decontaminate, lines, rules, simhash
 from inkspan.llm.common import pick, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies here are texts whose five-word shingles give fingerprints this close.
+#: Words of the shingles by which near copies are told.
 SHINGLE_WORDS = 5
 
 
