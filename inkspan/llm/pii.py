@@ -137,6 +137,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in said]), pa.array(every), pa.array(scores, pa.float64())], names=["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans", "top_score"])
 
 
-def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(table(spark, sf_dir, "documents"))
+def op6_digest(documents: DataFrame) -> DataFrame:
+    """Counts by kind, digests and the joined spans of each row."""
+    found = personal_data(documents)
     return found.mapInArrow(_digest, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, top_score double")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_digest(table(spark, sf_dir, "documents"))
