@@ -1,9 +1,10 @@
 """Each query over a whole small table against plain Python, and its model where it has one."""
 
+import duckdb
 import pytest
 from tokenizers import Tokenizer
 
-from inkspan.llm import bpe, decontaminate, lines, pii, quality, rules, simhash, urls
+from inkspan.llm import bpe, decontaminate, lines, lm, pii, quality, queries, rules, simhash, toxicity, urls
 
 from . import brute
 from .conftest import DATA
@@ -75,3 +76,26 @@ def test_quality(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/sf0.1/labels.parquet").collect()}
     got = [(r["predicted"], labels[r["doc_id"]]) for r in quality.op1_quality(spark, f"{DATA}/sf0.1").where("held_out").collect() if r["doc_id"] in labels]
     assert sum(p == y for p, y in got) / len(got) > 0.97
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_twins(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cursor = duck.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(cursor.fetchall(), key=str) == sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def test_toxicity(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/sf0.1/labels.parquet").collect()}
+    got = [(r["predicted"], labels[r["doc_id"]]) for r in toxicity.op10_toxicity(spark, f"{DATA}/sf0.1").where("held_out").collect() if r["doc_id"] in labels]
+    assert sum(p == y for p, y in got) / len(got) > 0.97 and sum(p for p, y in got if y) > 0.9 * sum(y for _, y in got)
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    r = lm.op7_lm_scoring(spark, f"{DATA}/sf0.1").where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).collect()[0]
+    assert r["sum(score)"] > r["sum(base_score)"]
