@@ -257,10 +257,65 @@ def year_counts_aligned(spark: SparkSession, d: str) -> DataFrame:
     return joins.both_sides(count(1995), count(1996), "tag", "n")
 
 
-def office_labels(spark: SparkSession, d: str) -> DataFrame:
+def page_bodies(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", F.md5(text.strip_boilerplate(html.strip_tags("html"), "agency_blog")).alias("body_md5"))
 
 
+def emerging_rising(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.emerging(_orders(spark, d), "year", "tag", k=3)[0]
+
+
+def emerging_falling(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.emerging(_orders(spark, d), "year", "tag", k=3)[1]
+
+
+def view_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks.chunk_rows(_table(spark, d, "documents"), "text", ["doc_id", "source"])
+    return analytics.view_summary(views.with_weights(rows.withColumn("date", F.lit(AS_OF).cast("timestamp"))))
+
+
+def tagging_by_table(spark: SparkSession, d: str) -> DataFrame:
+    dictionary = spark.createDataFrame(CORPUS.keyword_rows(), "keyword string, family string")
+    return tags.tagged_by_table(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", dictionary).select("doc_id", _joined("fraud_tags").alias("fraud_tags"))
+
+
+def chained_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
+    return dedup.keep_first_chain(rows, [["o_custkey"], ["o_totalprice"]], ["o_orderkey"])
+
+
+def last_values(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.keep_last_value(_table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+def date_forms(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    forms = {"iso": day.cast("string"), "us": F.date_format(day, "MM/dd/yyyy"), "long": F.date_format(day, "MMMM d, yyyy"), "epoch": (F.unix_timestamp(day.cast("timestamp")) * 1000).cast("string")}
+    return _table(spark, d, "orders").select("o_orderkey", *[F.date_format(dates.coerce_date(v), "yyyy-MM-dd").alias(k) for k, v in forms.items()], dates.quarter_label(day).alias("quarter"), *[dates.period_end(day, i).alias(f"end_{i}") for i in "WMQY"])
+
+
+def ytd_by_status(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.year_to_date(_orders(spark, d), "status")
+
+
+def top_tags(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.counts_of(_orders(spark, d), "tag", 3)
+
+
+def signal_trend(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d).select("year", (F.col("status") == "F").alias("has_url"), (F.col("o_custkey") % 3 == 0).alias("has_email"))
+    return analytics.signal_rates(rows, "year", ["has_url", "has_email"])
+
+
+def chunk_tag_distribution(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks.tag_chunks(chunks.chunk_rows(_table(spark, d, "documents"), "text", ["doc_id", "source"]), CORPUS)
+    return chunks.tag_distribution(rows, ["source"], 20)
+
+
+def title_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "nation").select("n_nationkey", text.title_case(F.replace(F.lower("n_name"), F.lit(" "), F.lit("_"))).alias("label"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -268,7 +323,9 @@ QUERIES = {
         signal_extract, signal_summary, signal_by_source, signal_cooccurrence, compound_patterns, chunk_explode, chunk_summary, chunk_weight, weighted_distribution,
         wide_documents, clean_text, trend_by_year, trend_by_quarter, yoy_change, new_categories, trend_period, trend_filled, period_over_period, ytd_compare,
         source_audit, category_matrix, dashboard_totals, dedup_first, cross_source_dedup, incremental_anti, narrative_themes, stable_id, html_heading, html_articles,
-        html_links, null_counts, union_distinct, year_counts_aligned, office_labels,
+        html_links, null_counts, union_distinct, year_counts_aligned, page_bodies,
+        emerging_rising, emerging_falling, view_summary, tagging_by_table, chained_dedup, last_values, date_forms, ytd_by_status, top_tags, signal_trend,
+        chunk_tag_distribution, title_labels,
     )
 }
 
@@ -286,6 +343,7 @@ severe AS (SELECT doc_id, CASE {" ".join(f"WHEN list_contains(fraud_tags, '{f}')
 primaries AS (SELECT s.doc_id, coalesce(best.family, 'other') AS primary_tag, severest_tag FROM severe s LEFT JOIN best ON s.doc_id = best.doc_id)"""
 
 _ORDERS_SQL = "o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS tag, o_orderstatus AS status, year(o_orderdate) AS year, o_custkey FROM orders)"
+_YOY_SQL = f"{_ORDERS_SQL}, e AS (SELECT max(year) AS cur, (SELECT max(year) FROM o WHERE year < (SELECT max(year) FROM o)) AS prev FROM o), s AS (SELECT tag, count(*) FILTER (WHERE year = prev) AS previous, count(*) FILTER (WHERE year = cur) AS current FROM o, e WHERE year IN (prev, cur) GROUP BY tag), c AS (SELECT tag, previous, current, round_even(CAST(current - previous AS DOUBLE) / (previous + 1) * 100, 1) AS pct_change FROM s)"
 _CHANGE_SQL = "tag, previous, current, current - previous AS delta, round_even(CAST(current - previous AS DOUBLE) / CASE WHEN previous = 0 THEN 1 ELSE previous END * 100, 1) AS pct"
 
 ORACLE_SQL = {
@@ -326,4 +384,16 @@ ORACLE_SQL = {
     "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "union_distinct": "SELECT c_nationkey AS nation, 'customer' AS kind FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier",
     "year_counts_aligned": "SELECT o_orderpriority AS tag, count(*) FILTER (WHERE year(o_orderdate) = 1995) AS previous, count(*) FILTER (WHERE year(o_orderdate) = 1996) AS current FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY o_orderpriority",
+    "emerging_rising": f"WITH {_YOY_SQL} SELECT * FROM c WHERE pct_change > 0 ORDER BY pct_change DESC, tag LIMIT 3",
+    "emerging_falling": f"WITH {_YOY_SQL} SELECT * FROM c WHERE pct_change < 0 ORDER BY pct_change, tag LIMIT 3",
+    "view_summary": f"WITH {_CHUNKS_SQL}, w AS (SELECT source, doc_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS weight FROM chunks) SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents, round_even(1 / avg(weight), 1) AS avg_chunks, '{AS_OF}' AS first_date, '{AS_OF}' AS last_date FROM w GROUP BY source",
+    "tagging_by_table": f"WITH k AS (SELECT doc_id, list_filter({_KEYWORD_SQL}, lambda x: x IS NOT NULL) AS ks FROM documents) SELECT doc_id, CASE WHEN len(ks) = 0 THEN 'other' ELSE array_to_string(list_sort(ks), ',') END AS fraud_tags FROM k",
+    "chained_dedup": "WITH a AS (SELECT * FROM (SELECT o_custkey, o_totalprice, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) SELECT o_custkey, o_totalprice, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_totalprice ORDER BY o_orderkey) AS q FROM a) WHERE q = 1",
+    "last_values": "SELECT user_id, min(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
+    "date_forms": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS us, strftime(o_orderdate, '%Y-%m-%d') AS long, strftime(o_orderdate, '%Y-%m-%d') AS epoch, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter, CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS end_W, last_day(o_orderdate) AS end_M, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS end_Q, make_date(year(o_orderdate), 12, 31) AS end_Y FROM orders",
+    "ytd_by_status": f"WITH {_ORDERS_SQL}, m AS (SELECT max(date) AS last FROM o), s AS (SELECT status AS tag, count(*) FILTER (WHERE year(last) - year(date) = 1) AS previous, count(*) FILTER (WHERE year(last) = year(date)) AS current FROM o, m WHERE dayofyear(date) <= dayofyear(last) GROUP BY status) SELECT {_CHANGE_SQL.replace('tag,', 'tag AS status,', 1)} FROM s WHERE current > 0",
+    "top_tags": f"WITH {_ORDERS_SQL} SELECT tag, count(*) AS count FROM o GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 3",
+    "signal_trend": f"WITH {_ORDERS_SQL} SELECT year, round_even(avg(CASE WHEN status = 'F' THEN 1.0::DOUBLE ELSE 0 END) * 100, 1) AS has_url, round_even(avg(CASE WHEN o_custkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END) * 100, 1) AS has_email FROM o GROUP BY year",
+    "chunk_tag_distribution": f"WITH {_CHUNKS_SQL}, k AS (SELECT source, list_filter({_KEYWORD_SQL.replace('lower(text)', 'lower(c)')}, lambda x: x IS NOT NULL) AS ks FROM chunks) SELECT source, fraud_tag, count(*) AS count FROM (SELECT source, unnest(CASE WHEN len(ks) = 0 THEN ['other'] ELSE ks END) AS fraud_tag FROM k) GROUP BY source, fraud_tag ORDER BY count(*) DESC, source, fraud_tag LIMIT 20",
+    "title_labels": "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || substring(w, 2)), '_') AS label FROM nation",
 }

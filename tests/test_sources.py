@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from inkspan.functions.tags import pattern_tags
-from inkspan.sources import html, readers, web, writers
+from inkspan.sources import html, notices, readers, web, writers
 from inkspan.streaming import incremental
 
 PAGE = """<html><head><title>Site</title><script type="application/ld+json">{"@graph":[{"datePublished":"2024-01-02"}]}</script></head>
@@ -95,3 +95,16 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     batch = df.select("ts", F.explode(pattern_tags("text")).alias("fraud_tag")).groupBy(F.window("ts", "7 days"), "fraud_tag").count()
     assert sorted((r["fraud_tag"], r["count"]) for r in spark.table("w").collect()) == sorted((r["fraud_tag"], r["count"]) for r in batch.collect())
 
+
+def test_notices(spark):
+    listing = "<table><tr><td>FIN-2023-Alert001</td><td>01/05/2023</td><td>Mail theft</td><td><a href='/a.pdf'>x</a></td></tr><tr><td>FIN-2023-Alert001</td><td>01/05/2023</td><td>Aviso</td></tr><tr><td>FIN-2019-Alert009</td><td>old</td></tr><tr><td>none</td></tr></table>"
+    pages = spark.createDataFrame([(1, "https://g.gov/list", listing)], "page_id long, url string, html string")
+    rows = notices.from_tables(pages, "Alert", "https://g.gov/list").collect()
+    assert [(r["notice_id"], r["date"]) for r in rows] == [("FIN-2023-Alert001", "01/05/2023")]
+    detail = "<h1>Advisory on checks</h1><p>FIN-2024-A002 issued March 3, 2024</p><a href='/x.html'>x</a><a href=\"/d/FIN.PDF\">pdf</a>"
+    pages = spark.createDataFrame([(1, "https://g.gov/1", detail), (2, "https://g.gov/fin-2021-a004", "<p>no number</p>"), (3, "https://g.gov/3", None)], "page_id long, url string, html string")
+    rows = {r["source_page"]: r for r in notices.from_details(pages).collect()}
+    assert rows["https://g.gov/1"]["notice_id"] == "FIN-2024-A002" and rows["https://g.gov/1"]["date"] == "03/03/2024" and rows["https://g.gov/1"]["pdf_url"] == "/d/FIN.PDF"
+    assert set(rows) == {"https://g.gov/1", "https://g.gov/fin-2021-a004"}
+    doc = spark.createDataFrame([([(1, "native", "word " * 40), (2, "native", "x")],)], "pages array<struct<page_num int, method string, text string>>")
+    assert notices.with_page_decisions(doc).collect()[0]["ocr_wanted"] == [2]
