@@ -346,6 +346,10 @@ _ORDERS_SQL = "o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority A
 _YOY_SQL = f"{_ORDERS_SQL}, e AS (SELECT max(year) AS cur, (SELECT max(year) FROM o WHERE year < (SELECT max(year) FROM o)) AS prev FROM o), s AS (SELECT tag, count(*) FILTER (WHERE year = prev) AS previous, count(*) FILTER (WHERE year = cur) AS current FROM o, e WHERE year IN (prev, cur) GROUP BY tag), c AS (SELECT tag, previous, current, round_even(CAST(current - previous AS DOUBLE) / (previous + 1) * 100, 1) AS pct_change FROM s)"
 _CHANGE_SQL = "tag, previous, current, current - previous AS delta, round_even(CAST(current - previous AS DOUBLE) / CASE WHEN previous = 0 THEN 1 ELSE previous END * 100, 1) AS pct"
 
+def _space(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))"
+
+
 ORACLE_SQL = {
     "category_distribution": f"WITH {_ROWS_SQL} SELECT fraud_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (), 1) AS pct FROM tag_rows GROUP BY fraud_tag",
     "tag_counts_by_source": f"WITH {_ROWS_SQL}, top AS (SELECT fraud_tag FROM tag_rows GROUP BY fraud_tag ORDER BY count(*) DESC, fraud_tag LIMIT 3) SELECT source, fraud_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (PARTITION BY source), 1) AS share FROM tag_rows WHERE fraud_tag IN (SELECT fraud_tag FROM top) GROUP BY source, fraud_tag",
@@ -396,4 +400,6 @@ ORACLE_SQL = {
     "signal_trend": f"WITH {_ORDERS_SQL} SELECT year, round_even(avg(CASE WHEN status = 'F' THEN 1.0::DOUBLE ELSE 0 END) * 100, 1) AS has_url, round_even(avg(CASE WHEN o_custkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END) * 100, 1) AS has_email FROM o GROUP BY year",
     "chunk_tag_distribution": f"WITH {_CHUNKS_SQL}, k AS (SELECT source, list_filter({_KEYWORD_SQL.replace('lower(text)', 'lower(c)')}, lambda x: x IS NOT NULL) AS ks FROM chunks) SELECT source, fraud_tag, count(*) AS count FROM (SELECT source, unnest(CASE WHEN len(ks) = 0 THEN ['other'] ELSE ks END) AS fraud_tag FROM k) GROUP BY source, fraud_tag ORDER BY count(*) DESC, source, fraud_tag LIMIT 20",
     "title_labels": "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || substring(w, 2)), '_') AS label FROM nation",
+    "wide_documents": f"WITH {_CHUNKS_SQL}, k AS (SELECT doc_id, chunk_id, list_filter({_KEYWORD_SQL.replace('lower(text)', 'lower(c)')}, lambda x: x IS NOT NULL) AS ks, list_filter([" + ", ".join(f"CASE WHEN contains(lower(c), '{s}') THEN '{s}' END" for s, _ in CORPUS.signal_rows()) + "], lambda x: x IS NOT NULL) AS ss FROM chunks), t AS (SELECT doc_id, tag, min(chunk_id) AS seen FROM (SELECT doc_id, chunk_id, unnest(CASE WHEN len(ks) = 0 THEN ['other'] ELSE ks END) AS tag FROM k) GROUP BY doc_id, tag), g AS (SELECT doc_id, s, min(chunk_id) AS seen FROM (SELECT doc_id, chunk_id, unnest(ss) AS s FROM k) GROUP BY doc_id, s), n AS (SELECT doc_id, count(*) AS num_chunks FROM k GROUP BY doc_id), ta AS (SELECT doc_id, string_agg(tag, ',' ORDER BY seen, tag) AS fraud_tags FROM t GROUP BY doc_id), ga AS (SELECT doc_id, string_agg(s, ',' ORDER BY seen, s) AS fraud_signals FROM g GROUP BY doc_id) SELECT n.doc_id, num_chunks, fraud_tags, coalesce(fraud_signals, '') AS fraud_signals FROM n JOIN ta ON n.doc_id = ta.doc_id LEFT JOIN ga ON n.doc_id = ga.doc_id",
+    "page_bodies": "SELECT page_id, md5(" + _space("regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _space("regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')") + r", '(?i)Comments closed\..*$', '', 'g'), '(?i)Return to top$', '', 'g'), '(?i)Topics\s+.*$', '', 'g'), '(?i)Return to top', '', 'g')") + ") AS body_md5 FROM pages",
 }
