@@ -45,7 +45,7 @@ def strip_boilerplate(x: Column | str, kind: str) -> Column:
 
 def normalize_layout(x: Column | str) -> Column:
     """No-break spaces, soft hyphens and ligatures go; blanks run together; at most one empty line in a row."""
-    plain = F.replace(F.replace(F.translate(F.coalesce(_col(x), F.lit("")), " ­", " "), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    plain = F.replace(F.replace(F.translate(F.coalesce(_col(x), F.lit("")), "\u00a0\u00ad", " "), F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
     return F.regexp_replace(replace_all(plain, [(r"[ \t]+", " "), (r"\n{3,}", "\n\n")]), r"^\s+|\s+$", "")
 
 

@@ -18,7 +18,7 @@ def test_dictionary_sizes():
 
 
 def test_spaces(spark):
-    assert values(spark, ["  a  b\n\tc ", None, ""], text.normalize_space("x")) == ["a b c", "", ""]
+    assert values(spark, ["  a \u00a0b\n\tc ", None, ""], text.normalize_space("x")) == ["a b c", "", ""]
     assert values(spark, ["a \t b\nc"], text.collapse_blanks("x")) == ["a b\nc"]
 
 
@@ -31,7 +31,7 @@ def test_boilerplate(spark):
 
 
 def test_layout_and_pages(spark):
-    assert values(spark, ["a b­c ﬁne\n\n\n\nend "], text.normalize_layout("x")) == ["a bc fine\n\nend"]
+    assert values(spark, ["a\u00a0b\u00adc \ufb01ne\n\n\n\nend "], text.normalize_layout("x")) == ["a bc fine\n\nend"]
     page = "F I N C E N\n12\nMoney laun-\ndering grew\nin May."
     assert values(spark, [page], text.clean_page("x")) == ["Money laundering grew in May."]
     assert values(spark, ["front matter Alert on mail theft12 grew ( )"], text.clean_document("x")) == ["Alert on mail theft grew"]
