@@ -27,7 +27,7 @@ from .common import arrow_batches, pick, table
 #: Entries that a worker's memory of words and transitions may have before it starts anew.
 REMEMBERED = 400_000
 #: White space as the public library's pattern engine has it.
-_SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
+_SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the published pre-split pattern of byte-level vocabularies.
 _WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
@@ -110,23 +110,35 @@ class Automaton:
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The states on the word's way, one table-driven step a prefix."""
-        whole = self.state.get(word)
+        """The states on the word's way: from each, the longest transition first, back where none is left.
+
+        A prefix has one encoding, so a place from which no way leads on is closed whatever led to it, and no place
+        is left twice.
+        """
+        state, arc, n = self.state, self.arc, len(word)
+        whole = state.get(word)
         if whole is not None:
             return [whole]
-        n, state, arc = len(word), self.state, self.arc
-        at, begin = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = state.get(word[j:i])
-                if t is not None and (j == 0 or arc(at[j], t)):
-                    at[i], begin[i] = t, j
+        out: list[int] = []
+        begins: list[int] = []
+        closed: set[int] = set()
+        at, end, last = 0, min(n, self.longest), None
+        while at < n:
+            while end > at:
+                t = state.get(word[at:end])
+                if t is not None and end not in closed and (last is None or arc(last, t)):
                     break
-        out = []
-        while n:
-            out.append(at[n])
-            n = begin[n]
-        return out[::-1]
+                end -= 1
+            if end > at:
+                out.append(t)
+                begins.append(at)
+                at, end, last = end, min(n, end + self.longest), t
+            else:
+                closed.add(at)
+                out.pop()
+                at, end = begins.pop(), at - 1
+                last = out[-1] if out else None
+        return out
 
     def _packed(self, word: str) -> bytes:
         ids = self.encode_word(word.encode())
