@@ -201,6 +201,7 @@ def test_bpe_on_every_kind_of_character_and_long_words():
 def test_bpe_of_odd_rows(odd):
     got = sorted(by_text(bpe.round_trip(odd), "n_tokens", "decoded_sha256"), key=str)
     assert got == sorted([(d, len(LIBRARY.encode(t or "", add_special_tokens=False).ids), brute.sha(t or "")) for d, t in ODD], key=str)
+    assert sorted(by_text(bpe.decoded(bpe.encoded(odd)), "text"), key=str) == sorted([(d, t or "") for d, t in ODD], key=str)
 
 
 def test_urls(spark):
