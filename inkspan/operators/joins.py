@@ -17,6 +17,15 @@ def small_or_shuffled(right: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(right) if right.limit(rows + 1).count() <= rows else right
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than the cluster has cores, dealt out evenly; larger tables stay as read.
+
+    For small files of wide texts, where one task would do all the work; at scale no shuffle comes of it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Left join with defaults for what isn't found."""
     out = left.join(right, key, "left")

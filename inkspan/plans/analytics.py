@@ -119,7 +119,7 @@ def tag_multiplicity(view: DataFrame, tags: str = "fraud_tags") -> DataFrame:
 
 def view_summary(weighted: DataFrame) -> DataFrame:
     """By source: chunks, documents, average chunks of a document (1 / mean weight), first and last date."""
-    return weighted.groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.bround(1 / F.avg("chunk_weight"), 1).alias("avg_chunks"), F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("last_date")).orderBy("source")
+    return weighted.groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.bround(F.round(1 / F.avg("chunk_weight"), 9), 1).alias("avg_chunks"), F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("last_date")).orderBy("source")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

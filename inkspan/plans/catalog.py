@@ -25,7 +25,8 @@ AS_OF = "2024-02-01"
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return joins.spread(df) if name in ("documents", "pages") else df
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
@@ -390,7 +391,7 @@ ORACLE_SQL = {
     "year_counts_aligned": "SELECT o_orderpriority AS tag, count(*) FILTER (WHERE year(o_orderdate) = 1995) AS previous, count(*) FILTER (WHERE year(o_orderdate) = 1996) AS current FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY o_orderpriority",
     "emerging_rising": f"WITH {_YOY_SQL} SELECT * FROM c WHERE pct_change > 0 ORDER BY pct_change DESC, tag LIMIT 3",
     "emerging_falling": f"WITH {_YOY_SQL} SELECT * FROM c WHERE pct_change < 0 ORDER BY pct_change, tag LIMIT 3",
-    "view_summary": f"WITH {_CHUNKS_SQL}, w AS (SELECT source, doc_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS weight FROM chunks) SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents, round_even(1 / avg(weight), 1) AS avg_chunks, '{AS_OF}' AS first_date, '{AS_OF}' AS last_date FROM w GROUP BY source",
+    "view_summary": f"WITH {_CHUNKS_SQL}, w AS (SELECT source, doc_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS weight FROM chunks) SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents, round_even(round(1 / avg(weight), 9), 1) AS avg_chunks, '{AS_OF}' AS first_date, '{AS_OF}' AS last_date FROM w GROUP BY source",
     "tagging_by_table": f"WITH k AS (SELECT doc_id, list_filter({_KEYWORD_SQL}, lambda x: x IS NOT NULL) AS ks FROM documents) SELECT doc_id, CASE WHEN len(ks) = 0 THEN 'other' ELSE array_to_string(list_sort(ks), ',') END AS fraud_tags FROM k",
     "chained_dedup": "WITH a AS (SELECT * FROM (SELECT o_custkey, o_totalprice, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) SELECT o_custkey, o_totalprice, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_totalprice ORDER BY o_orderkey) AS q FROM a) WHERE q = 1",
     "last_values": "SELECT user_id, min(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
