@@ -13,8 +13,9 @@ Components are then found by star contraction on the links.
 
 A radius wide enough for texts that share four fifths of their shingles has no such blocks. ``one_of_each`` therefore
 takes wide fingerprints (four words of 64 bits) and, as partition keys, pairs of the text's smallest shingle hashes
-under six orders: texts of similarity 0.8 agree on at least two of the six in 998 of 1000 cases. Pivots, verification
-and all that follows are the same.
+under six orders: texts of similarity 0.8 agree on at least two of the six in 998 of 1000 cases. There fingerprints
+only rule pairs out. What is left is verified by the shingles themselves, nearest pairs first; pairs that verified
+links connect already are no news, so a large group of near copies doesn't cost its square.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ SEED = 42
 RADIUS = 4
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
-#: Words and radius of wide fingerprints: at a similarity of 0.8 on average 39 of 256 bits differ, give or take 6.
-WIDE, WIDE_RADIUS = 4, 46
+#: Words and radius of wide fingerprints: at a similarity of 0.8 on average 39 of 256 bits differ, give or take 6 (of
+#: four and five shingles 48), so the radius is four deviations off and only a filter.
+WIDE, WIDE_RADIUS = 4, 64
+#: Near copies share so much of their shingles: a fraction.
+ALIKE = (4, 5)
+#: Each text's nearest candidates that are verified in the first round; each later round takes so many times more.
+NEAREST = 8
 #: Orders whose smallest shingle hashes are partition keys of wide fingerprints.
 ORDERS = 6
 #: Fingerprints of one partition key that a task takes at once.
@@ -89,29 +95,45 @@ def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
     return texts.mapInArrow(_fingerprints(size), "doc_id bigint, print bigint")
 
 
+def _digest(hashes: np.ndarray) -> int:
+    """One number for a set of shingles, given sorted."""
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.lower().split() if text else [], size))
+
+
 def _wide(size: int):
-    names = ["doc_id", *[f"p{k}" for k in range(WIDE)], *[f"m{k}" for k in range(ORDERS)]]
+    names = ["doc_id", "place", "node", "n", *[f"p{k}" for k in range(WIDE)], *[f"m{k}" for k in range(ORDERS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, rows = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                hashes = shingle_hashes(text.lower().split() if text else [], size)
+            for doc, place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                hashes = shingle_set(text, size)
                 if len(hashes):
                     docs.append(doc)
                     more = [hashes, *[rehashed(hashes, k) for k in range(1, ORDERS)]]
-                    rows.append([*[majority(more[k]) for k in range(WIDE)], *[int(m.min()) for m in more]])
-            table = np.array(rows, np.uint64).reshape(-1, WIDE + ORDERS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(WIDE + ORDERS)]], names=names)
+                    own = [*[majority(more[k]) for k in range(WIDE)], *[int(m.min()) for m in more]]
+                    rows.append([place, _digest(hashes), len(hashes), *map(signed, own)])
+            table = np.array(rows, np.int64).reshape(-1, len(names) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names) - 1)]], names=names)
 
     return run
 
 
+def placed(documents: DataFrame) -> DataFrame:
+    """(doc_id, place, text) of rows with an id; id and place, a hash of the text, tell rows of one id apart."""
+    texts = pick(documents, "doc_id", "text").where("doc_id is not null")
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
+
+
 def wide_fingerprints(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, p0.., m0..): wide fingerprints and smallest hashes of rows with an id and a word; others have none."""
+    """(doc_id, place, node, n, p0.., m0..): of rows with an id and a word the digest and number of different
+    shingles, wide fingerprints and smallest hashes; others have none."""
     arrow_batches(documents.sparkSession)
-    texts = pick(documents, "doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return texts.mapInArrow(_wide(size), "doc_id bigint, " + ", ".join(f"{n} bigint" for n in [*[f"p{k}" for k in range(WIDE)], *[f"m{k}" for k in range(ORDERS)]]))
+    return placed(documents).mapInArrow(_wide(size), ", ".join(f"{n} bigint" for n in ["doc_id", "place", "node", "n", *[f"p{k}" for k in range(WIDE)], *[f"m{k}" for k in range(ORDERS)]]))
 
 
 def blocks(radius: int) -> list[int]:
@@ -197,22 +219,160 @@ def _grouped_links(radius: int):
     return run
 
 
-def near_links(rows: DataFrame, words: list[str], keys: list[Column], radius: int) -> DataFrame:
-    """(a, b): links between nodes that connect all that are within the radius and agree on two of ``keys``.
-
-    ``rows`` has a column node and the fingerprints' ``words``. Not each link is listed, but each component is.
-    """
+def _meeting(rows: DataFrame, columns: list[str], keys: list[Column]) -> DataFrame:
+    """(key, code, pieces, own, node, columns): each row under each pair of ``keys`` that another row has too."""
     pairs = [F.struct(F.lit(k).cast("long").alias("code"), F.xxhash64(x, y).alias("key")) for k, (x, y) in enumerate(combinations(keys, 2))]
-    keyed = rows.select("node", *words, F.explode(F.array(*pairs)).alias("c")).select("node", *words, "c.code", "c.key")
-    sizes = keyed.groupBy("code", "key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = rows.select("node", *columns, F.explode(F.array(*pairs)).alias("c")).select("node", *columns, "c.code", "c.key")
+    sizes = keyed.groupBy("code", "key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     # Keys of one fingerprint alone fall away here; the rest is cut into pieces by a hash.
-    pieces = F.ceil(F.col("n") / PIECE).cast("long")
+    pieces = F.ceil(F.col("n_rows") / PIECE).cast("long")
     met = keyed.join(sizes, ["code", "key"]).withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("node"), "pieces"))
+    return met.select("key", "code", "pieces", "own", "node", *columns)
+
+
+def _tasks(met: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, code, pair, side, node, columns): each two pieces of a key meet."""
     other = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
     pair = F.transform(other, lambda o: F.struct((F.least(o, F.col("own")) * F.col("pieces") + F.greatest(o, F.col("own"))).alias("pair"), (o < F.col("own")).cast("long").alias("side")))
-    tasks = met.select("key", "code", "node", *words, F.explode(pair).alias("p")).select("key", "code", "p.pair", "p.side", "node", *words)
-    dealt = tasks.repartition("key", "code", "pair").sortWithinPartitions("key", "code", "pair")
-    return dealt.mapInArrow(_grouped_links(radius), "a bigint, b bigint").distinct()
+    return met.select("key", "code", "node", *columns, F.explode(pair).alias("p")).select("key", "code", "p.pair", "p.side", "node", *columns)
+
+
+def _dealt(tasks: DataFrame) -> DataFrame:
+    return tasks.repartition("key", "code", "pair").sortWithinPartitions("key", "code", "pair")
+
+
+def near_links(rows: DataFrame, words: list[str], keys: list[Column], radius: int) -> DataFrame:
+    """(a, b): links between nodes that connect all that are within the radius and agree on two of ``keys``.
+
+    ``rows`` has a column node and the fingerprints' ``words``. Not each link is listed, but each component is.
+    """
+    tasks = _tasks(_meeting(rows, words, keys), words)
+    return _dealt(tasks).mapInArrow(_grouped_links(radius), "a bigint, b bigint").distinct()
+
+
+def candidates(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (i, j) of places in a and b: of each i the candidates of ranks ``low`` up to ``high``, nearest first, that
+    aren't connected yet; and whether any unconnected one ranks beyond.
+
+    Rows are node, label, number of shingles and fingerprint. Candidates are within WIDE_RADIUS, and their numbers of
+    shingles allow the similarity.
+    """
+    out, more = [], False
+    theirs, (part, whole) = np.ascontiguousarray(b[:, 3:]).view(np.uint64), ALIKE
+    for begin in range(0, len(a), 64):
+        own = a[begin : begin + 64]
+        apart = np.bitwise_count(np.ascontiguousarray(own[:, 3:]).view(np.uint64)[:, None] ^ theirs).sum(2, dtype=np.int16)
+        n, m = own[:, 2:3], b[:, 2]
+        near = (apart <= WIDE_RADIUS) & (whole * np.minimum(n, m) >= part * np.maximum(n, m)) & (own[:, :1] != b[:, 0])
+        for i in np.flatnonzero(near.sum(1) > low).tolist():
+            js = np.flatnonzero(near[i])
+            # Ranks don't depend on the order of rows, and no node is first for all.
+            js = js[np.lexsort((b[js, 0] ^ own[i, 0], apart[i, js]))]
+            news = b[js, 1] != own[i, 1]
+            out += [(begin + i, j) for j in js[low:high][news[low:high]].tolist()]
+            more = more or bool(news[high:].any())
+    return out, more
+
+
+def _grouped_candidates(low: int, high: int):
+    """Rows sorted by (key, code, pair), then side and the columns of ``candidates``. A group that has more gives a row
+    of its own key and no pair."""
+    names = ["a", "b", "key", "code", "pair"]
+
+    def solve(group: np.ndarray) -> list[tuple]:
+        own, a, b = group[0, :3].tolist(), group[group[:, 3] == 0, 4:], group[group[:, 3] == 1, 4:]
+        # A piece meets itself, or another: then both sides look for their nearest.
+        sides = [(a, b), (b, a)] if len(b) else [(a, a)]
+        pairs, more = set(), False
+        for x, y in sides:
+            found, rest = candidates(x, y, low, high)
+            more = more or rest
+            for i, j in found:
+                p, q = int(x[i, 0]), int(y[j, 0])
+                pairs.add((min(p, q), max(p, q)))
+        return [(p, q, *own) for p, q in sorted(pairs)] + ([(None, None, *own)] if more else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+        for batch in batches:
+            table = np.stack([np.asarray(c) for c in batch.columns], 1)
+            if not len(table):
+                continue
+            cuts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(1)) + 1
+            found: list[tuple] = []
+            for own in np.split(table, cuts):
+                if rest and (own[0, :3] != rest[0][0, :3]).any():
+                    found += solve(np.concatenate(rest))
+                    rest = []
+                rest.append(own)
+            yield batch_of(found)
+        if rest:
+            yield batch_of(solve(np.concatenate(rest)))
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, size).tobytes() for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, whole = ALIKE
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(whole * both >= part * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, least: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """Those of (a, b) whose shingles are alike, by the texts of the nodes themselves."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = least.join(nodes, "node", "left_semi").select("doc_id", "place", "node")
+    texts = placed(documents).join(wanted.hint("shuffle_hash"), ["doc_id", "place"]).select("node", "text")
+    sets = written(texts.mapInArrow(_sets(size), "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_alike, "a bigint, b bigint")
+
+
+def alike_components(least: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """(node, root) of all nodes that links between near copies reach.
+
+    ``least`` has a row of ``wide_fingerprints`` for each node. Every candidate pair is verified, except those of
+    texts that are in one component already.
+    """
+    words = ["n", *[f"p{k}" for k in range(WIDE)]]
+    met = written(_meeting(least, words, [F.col(f"m{k}") for k in range(ORDERS)]), "met")
+    low, high, edges, groups, left = 0, NEAREST, None, None, None
+    while True:
+        rows = met.withColumn("label", F.col("node"))
+        if groups is not None:
+            rows = met.join(groups, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        tasks = _tasks(rows, ["label", *words])
+        if left is not None:
+            tasks = tasks.join(left, ["key", "code", "pair"], "left_semi")
+        found = _dealt(tasks).mapInArrow(_grouped_candidates(low, high), "a bigint, b bigint, key bigint, code bigint, pair bigint")
+        found = written(found, "candidates")
+        links = written(verified(found.where("a is not null").select("a", "b").distinct(), least, documents, size), "alike")
+        edges = links if edges is None else edges.union(links)
+        groups = components(edges)
+        left = found.where("a is null").select("key", "code", "pair")
+        if left.isEmpty():
+            return groups
+        low, high = high, high * NEAREST
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,15 +418,16 @@ def near_components(documents: DataFrame, size: int = 4, radius: int = RADIUS) -
 def one_of_each(documents: DataFrame, size: int = 5) -> DataFrame:
     """The documents without near copies: of each component the row of the smallest id, of repeated ids one row.
 
-    Texts count as near copies from a similarity of their ``size``-word shingles of about 0.8 on, as wide fingerprints
-    measure it. Rows without an id, and texts without words, are no copies of anything: they stay.
+    Texts are near copies if they share at least 0.8 (ALIKE) of their different ``size``-word shingles. Rows without
+    an id, and texts without words, are no copies of anything: they stay.
     """
-    words = [f"p{k}" for k in range(WIDE)]
     prints = written(wide_fingerprints(documents, size), "wide")
-    least = prints.groupBy(*words).agg(F.min("doc_id").alias("node"), *[F.min(f"m{k}").alias(f"m{k}") for k in range(ORDERS)])
-    groups = components(near_links(least, words, [F.col(f"m{k}") for k in range(ORDERS)], WIDE_RADIUS))
-    rooted = least.join(groups, "node", "left").select(*words, "node", F.coalesce("root", "node").alias("root"))
-    kept = rooted.where("node = root").select(F.col("node").alias("doc_id"), F.lit(True).alias("kept"))
+    first = F.min(F.struct("doc_id", "place")).alias("first")
+    least = prints.groupBy("node").agg(first, *[F.min(c).alias(c) for c in prints.columns[3:]]).select("node", "first.*", *prints.columns[3:])
+    least = written(least, "least")
+    groups = alike_components(least, documents, size)
+    rooted = least.join(groups, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("kept")).distinct()
     # By id: what has words and is not its component's first goes.
     ids = prints.groupBy("doc_id").agg(F.count("*").alias("rows")).join(kept, "doc_id", "left")
     gone = ids.where("kept is null").select("doc_id")

@@ -300,3 +300,33 @@ def test_stages_keep_columns_on_odd_rows(spark, odd, tmp_path):
         out = stage(spark, df, sf)
         assert out.columns == list(cp.COLUMNS) and out.count() >= 0
     assert cp.simhash_dedup(spark, df, sf).where("doc_id = 5").count() == 1 and cp.simhash_dedup(spark, df, sf).where("doc_id is null").count() == 1
+
+
+def test_near_copies_are_verified_by_their_shingles(docs, monkeypatch):
+    """Of 100 shingles and more, k changed at the end: shares on both sides of 0.8, and a chain of them."""
+    words = [f"w{i}" for i in range(104)]
+    other = [f"o{i}" for i in range(104)]
+
+    def share(k):
+        return " ".join([*words[: 104 - k], *[f"x{k}_{i}" for i in range(k)]])
+
+    # (100 - k) / (100 + k): 11 of 100 is 0.80, 12 is 0.786, 17 is 0.709.
+    assert simhash.one_of_each(docs([(1, share(0)), (2, share(11))])).count() == 1
+    for k in (12, 13, 15, 17):
+        assert simhash.one_of_each(docs([(1, share(0)), (2, share(k))])).count() == 2, k
+    # A repeated line weighs no more than its shingles: the texts share 5 of 205.
+    rows = [(1, "a b c d e " * 500 + " ".join(words)), (2, "a b c d e " * 500 + " ".join(other))]
+    assert simhash.one_of_each(docs(rows)).count() == 2
+    # Many rounds and pieces find the same groups as all pairs do.
+    texts = [(100 * g + k, " ".join([*[f"g{g}_{i}" for i in range(60)], *[f"v{g}_{k}_{i}" for i in range(3 + k % 9)]])) for g in range(3) for k in range(25)]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in texts}
+    root = {d: d for d in sets}
+    for _ in sets:
+        for x in sets:
+            for y in sets:
+                if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                    root[x] = root[y] = min(root[x], root[y])
+    for piece, nearest in ((4096, 8), (7, 2)):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        monkeypatch.setattr(simhash, "NEAREST", nearest)
+        assert {r["doc_id"] for r in simhash.one_of_each(docs(texts)).collect()} == set(root.values())
