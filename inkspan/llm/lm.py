@@ -4,7 +4,7 @@ Counts of all training tokens are gathered first: they give the smoothed unigram
 network predicts a token in two steps (its class, then the word in the class); words beyond its vocabulary form one
 more class, inside which the smoothed counts decide, so each text has a proper probability and no word is unknown.
 Weights start at the unigram model and are fitted by truncated backpropagation in numpy: each partition trains a
-replica on its share of the training texts, and replicas are averaged in a tree. Scoring runs all texts of a
+replica on all its training texts, and replicas are averaged in a tree. Scoring runs all texts of a
 partition side by side, a window at a time, and carries each text's state on, so whole texts are scored.
 """
 
@@ -31,8 +31,6 @@ CLASSES = 32
 HIDDEN = 16
 #: Words whose counts every worker has at hand; of the others, counts are joined.
 FREQUENT = 131_072
-#: One training text in so many goes through backpropagation (counts take all); the same share at every size.
-TRAINED_SHARE = 16
 #: Steps that gradients run back, streams trained side by side, and bytes of text scored side by side.
 WINDOW, LANES, GROUP_BYTES = 32, 64, 24 << 20
 #: Entries of a worker's counter before it is handed on.
@@ -168,14 +166,15 @@ class Network:
                 out[at] += inside[np.arange(len(at)), place] - top - np.log(np.exp(inside - top[:, None]).sum(1))
         return out
 
-    def train(self, stream: np.ndarray, rate: float = 0.1, eps: float = 1e-6) -> None:
-        """One pass of truncated backpropagation over a stream of ids, cut into LANES lanes; adaptive step sizes."""
+    def train(self, stream: np.ndarray, sums: dict | None = None, rate: float = 0.1, eps: float = 1e-6) -> dict:
+        """One pass of truncated backpropagation over a stream of ids, cut into LANES lanes; adaptive step sizes, whose
+        sums of squares are returned and carried on if given."""
+        sums = sums or {n: np.full_like(getattr(self, n), 1e-3) for n in self.NAMES}
         lanes = min(LANES, max(1, len(stream) // (2 * WINDOW)))
         length = len(stream) // lanes
         if length < 2:
-            return
+            return sums
         data = stream[: lanes * length].reshape(lanes, length).T
-        sums = {n: np.full_like(getattr(self, n), 1e-3) for n in self.NAMES}
         h = np.zeros((lanes, HIDDEN), np.float32)
         for begin in range(0, length - 1, WINDOW):
             given, target = data[begin : begin + WINDOW], data[begin + 1 : begin + WINDOW + 1]
@@ -187,6 +186,7 @@ class Network:
                 steps.append(self.step(self.inputs[w], h))
                 h = steps[-1][0]
             self._back(given, target, past, steps, sums, rate, eps)
+        return sums
 
     def _back(self, given: np.ndarray, target: np.ndarray, past: list, steps: list, sums: dict, rate: float, eps: float) -> None:
         flat, goal = np.concatenate([s[0] for s in steps]), target.ravel()
@@ -269,14 +269,14 @@ def _replica(shared, seed_weights):
         net = Network(v)
         if seed_weights is not None:
             net.unpack(seed_weights.value)
-        seen = 0
+        seen, sums = 0, None
         for group, _ in slices(batches, 8 << 20):
             flat = [0]
             for batch in group:
                 for text in batch.column(0).cast(pa.binary()).to_pylist():
                     flat += map(ids.get, tokens(text), repeat(size))
             stream = np.minimum(np.array(flat, np.int64), size)
-            net.train(stream)
+            sums = net.train(stream, sums)
             seen += len(stream)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.packed()], pa.binary())], names=["n", "weights"])
@@ -295,13 +295,13 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, v: Vocabulary) -> bytes:
-    """Weights: the average of replicas trained on a fixed share of the training texts, weighted by their tokens.
+    """Weights: the average of replicas that together train on all training texts, weighted by their tokens.
 
     Replicas are as many as partitions; they are averaged eight at a time, so few reach the driver.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(v)
-    chosen = documents.where(~held_out("doc_id", MODULUS, REST) & (F.pmod(F.xxhash64("doc_id", F.lit("trained")), F.lit(TRAINED_SHARE)) == 0))
+    chosen = documents.where(~held_out("doc_id", MODULUS, REST))
     rows = chosen.select("text").mapInArrow(_replica(shared, None), "n bigint, weights binary")
     rows = written(rows, "replicas")
     parts = rows.count()

@@ -330,3 +330,21 @@ def test_near_copies_are_verified_by_their_shingles(docs, monkeypatch):
         monkeypatch.setattr(simhash, "PIECE", piece)
         monkeypatch.setattr(simhash, "NEAREST", nearest)
         assert {r["doc_id"] for r in simhash.one_of_each(docs(texts)).collect()} == set(root.values())
+
+
+def test_all_training_texts_reach_the_network(spark, docs, monkeypatch):
+    """Each replica tells how many tokens it trained on: together, all that were counted and a start for each replica."""
+    rows = docs([(i, f"word{i % 7} and word{i % 3} follow word{i % 5}") for i in range(200)])
+    texts = pick(rows, "doc_id", "text")
+    v = lm.vocabulary(lm.token_counts(texts))
+    seen, whole = [], lm.written
+
+    def noted(df, name):
+        out = whole(df, name)
+        if name == "replicas":
+            seen.extend(r["n"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(lm, "written", noted)
+    lm.fit(texts, v)
+    assert sum(seen) == v.total + len(seen)
