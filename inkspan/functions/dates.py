@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms in which sources write dates.
 _FORMATS = ("MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "yyyy/MM/dd", "d MMMM yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy")
 
 
@@ -32,10 +33,15 @@ def us_date(x: Column | str) -> Column:
     return F.date_format(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms]), "MM/dd/yyyy")
 
 
+# Dates as they stand in running text.
+_LONG_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_SHORT_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+
+
 def fuzzy_date(x: Column | str) -> Column:
     """yyyy-MM-dd of the first date anywhere in a text, else ''."""
     x = _col(x)
-    found = [F.regexp_extract(x, p, 1) for p in (r"(\d{4}-\d{2}-\d{2})", r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})", r"((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},\s+\d{4})", r"(\d{1,2}/\d{1,2}/\d{4})")]
+    found = [F.regexp_extract(x, p, 1) for p in (r"(\d{4}-\d{2}-\d{2})", rf"((?:{_LONG_MONTHS})\s+\d{{1,2}},\s+\d{{4}})", rf"((?:{_SHORT_MONTHS})[a-z]*\.?\s+\d{{1,2}},\s+\d{{4}})", r"(\d{1,2}/\d{1,2}/\d{4})")]
     parsed = F.coalesce(*[F.coalesce(F.try_to_timestamp(f, F.lit("yyyy-MM-dd")), F.try_to_timestamp(f, F.lit("MMMM d, yyyy")), F.try_to_timestamp(F.replace(f, F.lit("."), F.lit("")), F.lit("MMM d, yyyy")), F.try_to_timestamp(f, F.lit("M/d/yyyy"))) for f in found])
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit(""))
 
@@ -63,7 +69,7 @@ def report_date(published: Column | str, label: Column | str) -> Column:
 def page_date(x: Column | str) -> Column:
     """The first date that a page's text spells out, else the first in figures; as text, '' if none."""
     x = _col(x)
-    long = F.regexp_extract(x, r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})", 1)
+    long = F.regexp_extract(x, rf"((?:{_LONG_MONTHS})\s+\d{{1,2}},\s+\d{{4}})", 1)
     return F.coalesce(F.nullif(long, F.lit("")), F.regexp_extract(x, r"(\d{2}/\d{2}/\d{4})", 1))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,20 +62,32 @@ def keyword_signals(text: Column | str, taxonomy: Taxonomy = DEFAULT) -> Column:
     return _present([(k, low.contains(k)) for k, _ in taxonomy.signal_rows()], True)
 
 
-def tagged_by_table(df: DataFrame, text: str, key: str, dictionary: DataFrame, fallback: bool = True) -> DataFrame:
+def _letters(n: int, place: Column) -> Column:
+    return F.substring("_low", place, F.lit(n))
+
+
+def tagged_by_table(df: DataFrame, text: str, key: str, dictionary: DataFrame, fallback: bool = True, most: int = 10_000) -> DataFrame:
     """keyword_tags with the dictionary (keyword, family) as a table; for dictionaries that users keep as data.
 
-    A dictionary of up to 10,000 rows is broadcast; beyond that, texts are matched by their words' first letters.
+    A dictionary of up to ``most`` rows is broadcast. Beyond that, texts and keywords meet by the first one, two or
+    three letters that a keyword has: only keys and those letters go through the join, and the candidates of a row
+    are verified by its text. Both ways give the same tags. Rows of one key, or of none, are told apart by their text.
     """
-    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    if dictionary.limit(10_001).count() <= 10_000:
-        hits = low.select(key, "_low").join(F.broadcast(dictionary), F.col("_low").contains(F.col("keyword")))
+    rows = dictionary.select(F.lower("keyword").alias("keyword"), "family").where("keyword <> ''").distinct()
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    marked = df.withColumns({"_low": low, "_at": F.xxhash64(low)})
+    if rows.limit(most + 1).count() <= most:
+        met = marked.select(key, "_at", "_low").join(F.broadcast(rows), F.col("_low").contains(F.col("keyword")))
     else:
-        grams = low.select(key, "_low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low") - 2, F.lit(1))), lambda i: F.substring("_low", i, F.lit(3))))).alias("_gram"))
-        hits = grams.join(dictionary.withColumn("_gram", F.substring("keyword", 1, 3)), "_gram").where(F.col("_low").contains(F.col("keyword")))
-    tags = hits.groupBy(key).agg(F.sort_array(F.collect_set("family")).alias("fraud_tags"))
-    none = F.array(F.lit(OTHER)) if fallback else F.array().cast("array<string>")
-    return df.join(tags, key, "left").withColumn("fraud_tags", F.coalesce("fraud_tags", none))
+        places = F.sequence(F.lit(1), F.length("_low"))
+        letters = [F.transform(places, partial(_letters, n)) for n in (1, 2, 3)]
+        grams = marked.where("_low <> ''").select(key, "_at", F.explode(F.array_distinct(F.concat(*letters))).alias("_gram"))
+        met = grams.join(rows.withColumn("_gram", F.substring("keyword", 1, 3)), "_gram")
+    found = met.groupBy(F.col(key).alias("_key"), F.col("_at").alias("_of")).agg(F.collect_set(F.struct("keyword", "family")).alias("_found"))
+    joined = marked.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_of")), "left")
+    own = F.filter(F.coalesce("_found", F.array().cast("array<struct<keyword:string,family:string>>")), lambda x: F.col("_low").contains(x["keyword"]))
+    tags = F.sort_array(F.array_distinct(F.transform(own, lambda x: x["family"])))
+    return joined.withColumn("fraud_tags", _or_other(tags, fallback)).select(*df.columns, "fraud_tags")
 
 
 def severest_tag(tags: Column | str, taxonomy: Taxonomy = DEFAULT) -> Column:
@@ -91,10 +104,10 @@ def primary_tag(text: Column | str, tags: Column | str, taxonomy: Taxonomy = DEF
     """
     low = F.lower(F.coalesce(_col(text), F.lit("")))
     scored = []
-    families = list(dict.fromkeys([*taxonomy.keywords, *taxonomy.patterns]))
+    families, counted = list(dict.fromkeys([*taxonomy.keywords, *taxonomy.patterns])), taxonomy.counted()
     for family in sorted(families):
         hits = F.lit(0)
-        for word in taxonomy.keywords.get(family, ()):
+        for word in counted.get(family, ()):
             hits = hits + occurrences(low, word)
         place = taxonomy.priority.index(family) if family in taxonomy.priority else 99
         # The first of equals by name: array_max takes the largest, so names count down.

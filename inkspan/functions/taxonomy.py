@@ -12,7 +12,8 @@ class Taxonomy:
     """All of it is data: another corpus takes another instance.
 
     ``patterns`` are (family, alternatives) matched as whole words; ``keywords`` and ``signals`` are matched as plain
-    substrings; ``severity`` ranks families, worst first; ``priority`` breaks ties of hit counts.
+    substrings; ``severity`` ranks families, worst first; ``priority`` breaks ties of hit counts. Hits are counted of
+    ``hit_keywords``, where they are given, else of ``keywords``.
     """
 
     patterns: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -21,6 +22,10 @@ class Taxonomy:
     severity: tuple[str, ...] = ()
     priority: tuple[str, ...] = ()
     labels: dict[str, str] = field(default_factory=dict)
+    hit_keywords: dict[str, tuple[str, ...]] | None = None
+
+    def counted(self) -> dict[str, tuple[str, ...]]:
+        return self.keywords if self.hit_keywords is None else self.hit_keywords
 
     def keyword_rows(self) -> list[tuple[str, str]]:
         return [(k.strip().lower(), f.strip()) for f, ks in self.keywords.items() for k in ks]
@@ -90,22 +95,35 @@ PRIORITY = ("terrorist_financing", "human_trafficking", "sanctions", "money_laun
 
 LABELS = {f: f.replace("_", " ").title() for f in KEYWORDS} | {"sanctions": "Sanctions Evasion", "ai_fraud": "AI Fraud", OTHER: "Other / Unclassified"}
 
-DEFAULT = Taxonomy(PATTERNS, KEYWORDS, SIGNALS, SEVERITY, PRIORITY, LABELS)
+# The earlier edition's keywords by family; hit counts for primary tags go by these.
+EARLIER_KEYWORDS = _lists("""
+money_laundering: shell company, shell companies, shell corporation, front company, money mule, mule account, layering, structuring, smurfing, placement, beneficial owner
+check_fraud: check fraud, mail theft, stolen check, stolen checks, check washing, fraudulent check, altered check, forged check
+sanctions: sanctions evasion, sanctioned entity, export control violation
+terrorist_financing: terrorist financing, terrorist organization
+human_trafficking: human trafficking, labor trafficking
+consumer_fraud: romance scam, lottery scam, charity fraud, investment scam, scam, fraudster, gift card scam, imposter scam
+identity_fraud: identity theft, stolen identity, synthetic identity, account takeover, identity document, credential theft
+benefits_fraud: government benefits fraud, medicaid fraud, pandemic relief fraud
+cybercrime: ransomware, phishing, malware, data breach, credential stuffing, social engineering
+crypto_fraud: virtual currency, cryptocurrency, crypto exchange, pig butchering, wallet, crypto wallet, rug pull
+""")
+
+# The earlier edition's whole-word patterns by family, in the order in which tags are listed.
+EARLIER_PATTERNS = _lists("""
+money_laundering: shell company, shell companies, front company, money mule, mule account, layering, structuring
+check_fraud: check fraud, mail theft, stolen check, stolen checks, check washing, fraudulent check, altered check, forged check
+sanctions: sanctions evasion, sanctioned entity, export control violation
+terrorist_financing: terrorist financing, terrorist organization
+human_trafficking: human trafficking, labor trafficking
+consumer_fraud: romance scam, lottery scam, charity fraud, investment scam, advance fee, imposter, government impersonator, business impersonator
+identity_fraud: identity theft, stolen identity, synthetic identity, ssn, account takeover
+benefits_fraud: government benefits fraud, medicaid fraud, pandemic relief fraud, unemployment fraud
+cybercrime: ransomware, phishing, smishing, malware, business email compromise, bec, spear phishing, dark web
+crypto_fraud: virtual currency, cryptocurrency, crypto exchange, pig butchering, crypto, bitcoin, ethereum, wallet address
+""")
 
-# Keywords that came into the default taxonomy later; hit counts for primary tags go by the earlier ones.
-_LATER = frozenset("advance fee, government impersonator, business impersonator, ssn, unemployment fraud, smishing, vishing, business email compromise, bec, spear phishing, dark web, wallet address, bitcoin, ethereum".split(", "))
-_EARLIER_FAMILIES = tuple(KEYWORDS)[:10]
+DEFAULT = Taxonomy(PATTERNS, KEYWORDS, SIGNALS, SEVERITY, PRIORITY, LABELS, EARLIER_KEYWORDS)
 
 #: The earlier edition: ten families, fewer keywords and narrower patterns.
-EARLIER = Taxonomy(
-    {
-        **{f: PATTERNS[f] for f in _EARLIER_FAMILIES},
-        "money_laundering": tuple(x for x in PATTERNS["money_laundering"] if x not in ("smurfing", "beneficial owner")),
-        "consumer_fraud": (*[x for x in PATTERNS["consumer_fraud"] if x not in ("gift card scam", "scam", "fraudster")], "business impersonator"),
-        "identity_fraud": tuple(x for x in PATTERNS["identity_fraud"] if x != "credential theft"),
-        "cybercrime": tuple(x for x in PATTERNS["cybercrime"] if x not in ("vishing", "data breach", "credential stuffing", "social engineering")),
-        "crypto_fraud": tuple(x for x in PATTERNS["crypto_fraud"] if x not in ("rug pull", "crypto wallet")),
-    },
-    {f: tuple(k for k in KEYWORDS[f] if k not in _LATER) for f in _EARLIER_FAMILIES},
-    SIGNALS, SEVERITY, PRIORITY, LABELS,
-)
+EARLIER = Taxonomy(EARLIER_PATTERNS, EARLIER_KEYWORDS, SIGNALS, SEVERITY, PRIORITY, LABELS)

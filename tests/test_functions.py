@@ -109,3 +109,20 @@ def test_indicators(spark):
     assert out["phones"] == ["+1 212-555-0100"] and out["ip_addresses"] == ["10.0.0.25"] and out["crypto_wallets"] == ["0x" + "a" * 40]
     assert values(spark, [t, None], signals.signal_count(signals.indicators("x"))) == [6, 0]
     assert values(spark, ['{"urls":["u"]}', '["u"]', "no", None], signals.signal_count(signals.parse_signals("x"))) == [1, 0, 0, 0]
+
+
+def test_tags_by_table_do_not_depend_on_the_dictionarys_size(spark):
+    """Keywords of one, two and more letters, null keys, equal keys; a dictionary on either side of the limit."""
+    rows = [(1, "the p2 gang"), (2, "Q"), (None, "p2 and scam"), (None, "nothing"), (3, None), (3, "xq scam"), (4, "")]
+    df = spark.createDataFrame(rows, "id int, x string")
+    words = [("P2", "two"), ("q", "one"), ("scam", "four"), ("sca", "three")]
+    many = spark.createDataFrame(words + [(f"zz{i}", "none") for i in range(10_002)], "keyword string, family string")
+    want = {(1, "the p2 gang"): ["two"], (2, "Q"): ["one"], (None, "p2 and scam"): ["four", "three", "two"], (None, "nothing"): ["other"], (3, None): ["other"], (3, "xq scam"): ["four", "one", "three"], (4, ""): ["other"]}
+    for dictionary in (many, spark.createDataFrame(words, "keyword string, family string")):
+        assert {(r["id"], r["x"]): r["fraud_tags"] for r in tags.tagged_by_table(df, "x", "id", dictionary).collect()} == want
+
+
+def test_primary_tags_count_the_earlier_keywords(spark):
+    """Words that came into the dictionary later tag a text, but don't count as hits."""
+    df = spark.createDataFrame([("bitcoin ethereum smishing dark web phishing", ["crypto_fraud", "cybercrime"]), ("bitcoin bitcoin wallet", ["crypto_fraud", "cybercrime"])], "x string, t array<string>")
+    assert [r[0] for r in df.select(tags.primary_tag("x", "t")).collect()] == ["cybercrime", "crypto_fraud"]
