@@ -8,6 +8,7 @@ of a URL are its host's suffixes at label borders, each with the path's prefixes
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_batches, new_path, pick, table
 
-# The contract's rules, and hosts that the method itself turns down.
+# The contract's rules.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
+#: Hosts that the method itself turns down, one a line: a short list to begin with, to be replaced by one's own.
+BLOCK_LIST = Path(__file__).with_name("blocked_hosts.txt")
+
+
+def listed_hosts(path: Path = BLOCK_LIST) -> list[str]:
+    return [line.strip().lower() for line in path.read_text().splitlines() if line.strip() and not line.startswith("#")]
+
 
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -37,23 +43,29 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def build_index(entries: Iterable[tuple[str, str, bool]]) -> bytes:
-    """(key, verdict, whether a rule) of each entry, by digest: count, digests, offsets, strings."""
+    """(key, verdict, whether a rule) of each entry, by digest: counts, the keys' path lengths, digests, offsets,
+    strings. The file's head says how many labels a key's host has at most, and which lengths their paths have."""
     rows = sorted((xxhash.xxh64_intdigest(key), key, verdict, rule) for key, verdict, rule in set(entries))
     strings = [f"{'rule' if rule else 'list'}\t{verdict}\t{key}".encode() for _, key, verdict, rule in rows]
+    hosts = [key.partition("/")[0] for _, key, _, _ in rows]
+    lengths = sorted({len(key) - len(host) for host, (_, key, _, _) in zip(hosts, rows)})
+    labels = max((host.count(".") + 1 for host in hosts), default=0)
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype("<u8")
-    return np.array([len(rows)], "<u8").tobytes() + np.array([r[0] for r in rows], "<u8").tobytes() + offsets.tobytes() + b"".join(strings)
+    head = np.array([len(rows), labels, len(lengths), *lengths], "<u8")
+    return head.tobytes() + np.array([r[0] for r in rows], "<u8").tobytes() + offsets.tobytes() + b"".join(strings)
 
 
 class DigestArray:
-    """A mapped index file."""
+    """A mapped index file: opening it reads its head alone."""
 
     def __init__(self, path: str):
-        n = int(np.memmap(path, "<u8", "r", shape=(1,))[0])
-        self.digests = np.memmap(path, "<u8", "r", offset=8, shape=(n,)) if n else np.zeros(0, "<u8")
-        self.offsets = np.memmap(path, "<u8", "r", offset=8 + 8 * n, shape=(n + 1,))
+        n, self.labels, k = (int(x) for x in np.memmap(path, "<u8", "r", shape=(3,)))
+        self.lengths = np.memmap(path, "<u8", "r", offset=24, shape=(k,)).tolist() if k else []
+        at = 24 + 8 * k
+        self.digests = np.memmap(path, "<u8", "r", offset=at, shape=(n,)) if n else np.zeros(0, "<u8")
+        self.offsets = np.memmap(path, "<u8", "r", offset=at + 8 * n, shape=(n + 1,))
         size = int(self.offsets[-1])
-        self.strings = np.memmap(path, "u1", "r", offset=16 + 16 * n, shape=(size,)) if size else np.zeros(0, "u1")
-        self.lengths = sorted({len(k) - k.find("/") if "/" in k else 0 for _, _, k in (self.entry(i) for i in range(n))})
+        self.strings = np.memmap(path, "u1", "r", offset=at + 16 * n + 8, shape=(size,)) if size else np.zeros(0, "u1")
 
     def entry(self, i: int) -> tuple[str, str, str]:
         kind, verdict, key = self.strings[int(self.offsets[i]) : int(self.offsets[i + 1])].tobytes().decode().split("\t", 2)
@@ -69,25 +81,33 @@ class DigestArray:
         return out
 
 
-def _candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
+def _candidates(host: str, path: str, most: int, lengths: list[int]) -> Iterator[str]:
+    """The host's suffixes of up to ``most`` labels, each with the path's prefixes of these lengths."""
     if not host:
         return
-    labels = host.split(".")
-    for i in range(len(labels)):
-        suffix = ".".join(labels[i:])
+    end = len(host)
+    for _ in range(most):
+        end = host.rfind(".", 0, end)
+        suffix = host[end + 1 :]
         for n in lengths:
             if n <= len(path):
                 yield suffix + path[:n]
+        if end < 0:
+            return
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: Iterable[str] = BLOCKED_HOSTS) -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: Iterable[str] | DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of each row.
 
-    The longest rule that fits gives the verdict; without one, a host of the list is blocked and any other allowed.
+    ``blocked`` are hosts, as a list or as a table's first column (its file is made on the driver, from one partition
+    at a time); by default those of BLOCK_LIST. The longest rule that fits gives the verdict; without one, a host of the list is blocked and any other allowed.
     Rows without a url have an empty host and path, fit no rule and are allowed.
     """
     spark = pages.sparkSession
     arrow_batches(spark)
+    if isinstance(blocked, DataFrame):
+        blocked = [r[0].lower() for r in blocked.toLocalIterator() if r[0]]
+    blocked = listed_hosts() if blocked is None else blocked
     path = new_path(spark, "urls")
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -101,7 +121,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: I
         index = DigestArray(SparkFiles.get(name))
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            keys = [list(_candidates(h, p, index.lengths)) for h, p in parts]
+            keys = [list(_candidates(h, p, index.labels, index.lengths)) for h, p in parts]
             found, at = index.probe([k for own in keys for k in own]), 0
             rule, verdict, listed = [], [], []
             for own in keys:
@@ -135,7 +155,7 @@ parts AS (
   FROM cut),
 rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES
   {", ".join(f"('{k}', '{k[:k.find('/')]}', '{k[k.find('/'):]}', '{v}')" for k, v in RULES)}),
-listed(name) AS (VALUES {_list(BLOCKED_HOSTS)}),
+listed(name) AS (VALUES {_list(listed_hosts())}),
 fits AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
   FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
