@@ -46,16 +46,22 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session that runs in one process (``local[...]``, as in tests) gets a folder of its own; any
+    other is refused, as its executors would not see a folder of the driver's.
+    """
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             where = known.get()
-        else:
+        elif context.master == "local" or context.master.startswith("local["):
             where = "file://" + tempfile.mkdtemp(prefix="inkspan-")
             context.setCheckpointDir(where)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where.rstrip("/")
 
 
@@ -111,6 +117,39 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, modulus: int = 5,
     return train.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def one_text_each(marked: DataFrame) -> DataFrame:
+    """Of (doc_id, text, label) one row for each id, so that a bound on ids is one on rows: of its texts the one of the
+    smallest hash."""
+    return marked.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+#: Bits of the bitmap that ``bitmaps`` makes: 8 MB, whatever the rows.
+MARKS = 1 << 26
+
+
+def _mark(keys: Iterable[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(MARKS)) + 1
+
+
+def bitmaps(rows: DataFrame, *keys: str) -> DataFrame:
+    """(bucket, bitmap): the hashes of the keys that ``rows`` have, MARKS bits in all, so they may be broadcast."""
+    at = _mark(keys)
+    marked = rows.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("position"))
+    return marked.groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bitmap"))
+
+
+def with_mark(df: DataFrame, marks: DataFrame, *keys: str, name: str = "_marked") -> DataFrame:
+    """Adds whether the row's hash is in ``bitmaps``: false says that no row had these keys, true that one may have.
+
+    So only rows that may match need be shuffled for an exact join; the more keys there are, the less is saved.
+    """
+    at, bucket, bits = _mark(keys), f"{name}_bucket", f"{name}_bits"
+    out = df.withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(marks.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bits))), bucket, "left")
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return out.withColumn(name, F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0, F.lit(False))).drop(bucket, bits)
+
+
 def slices(batches: Iterable, size: int) -> Iterator[tuple[list, int]]:
     """Joins small Arrow batches until they hold ``size`` bytes, so work per call is even."""
     kept, total = [], 0

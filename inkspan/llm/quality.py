@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
-Features of a text: its words, its words' shapes (runs of capitals, small letters, digits; marks as they are) alone
-and in pairs and triples, each with how often the text repeats it as a power of two, so that a repeated n-gram is a
-feature of its own. All are hashed to one table of weights; a text's score is one sparse dot product.
+Features of a text: its words, pairs and triples of words, and the same of words' shapes (runs of capitals, small
+letters, digits; marks as they are), all hashed to one table of weights. Each of the six kinds has unit length, so
+long texts weigh no more than short ones. One more feature for each power of two says how large a share of the word
+triples recurs so often. A text's score is one sparse dot product.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out, labelled_sample, pick, table
+from .common import arrow_batches, held_out, labelled_sample, one_text_each, pick, table, written
 
 #: Weights of the model; each worker holds them once.
 BUCKETS = 1 << 18
-#: Labelled texts that the model is fitted on, at most.
-SAMPLE_ROWS = 8_000
+#: Labelled texts that the model is fitted on, and characters in all of them, at most. A text has a number and a
+#: weight for each of its buckets, so 16 M characters make some 150 MB on the driver.
+SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 16_000_000
 EPOCHS = 3
 #: Score from which a text is predicted to be good.
 THRESHOLD = 0.3
@@ -47,34 +49,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values): each kind of n-gram has unit length, so long texts weigh no more than short ones."""
+    """(buckets, values), each bucket once, in order."""
     words = text.split() if text else []
     if not words:
         return np.array([0]), np.array([1.0])
     n = len(words)
     own = _mixed(np.fromiter(map(crc32, words), np.uint64, n))
     shape = _mixed(np.fromiter(map(_shape, words), np.uint64, n) + np.uint64(1 << 33))
-    kinds = [own, shape]
-    if n > 1:
-        kinds.append(_mixed(shape[:-1] * np.uint64(3) + shape[1:]))
-    if n > 2:
-        kinds.append(_mixed(shape[:-2] * np.uint64(9) + shape[1:-1] * np.uint64(3) + shape[2:]))
-        kinds.append(_mixed(own[:-2] * np.uint64(9) + own[1:-1] * np.uint64(3) + own[2:] + np.uint64(1 << 35)))
-    places, values = [], []
+    kinds = []
+    for k, one in enumerate((own, shape)):
+        kinds.append(one)
+        if n > 1:
+            kinds.append(_mixed(one[:-1] * np.uint64(3) + one[1:] + np.uint64(k)))
+        if n > 2:
+            kinds.append(_mixed(one[:-2] * np.uint64(9) + one[1:-1] * np.uint64(3) + one[2:] + np.uint64(k)))
+    places, values = [np.array([1])], [np.array([1.0])]
     for k, grams in enumerate(kinds):
-        if k == 4:
-            # Words' own triples: only how large a share of them recurs, by power of two of the count.
-            _, counts = np.unique(grams, return_counts=True)
-            level = np.minimum(np.log2(counts).astype(np.int64), 6)
-            share = np.bincount(level, counts, 7) / len(grams)
-            places.append(_mixed(np.arange(7, dtype=np.uint64) + np.uint64(1 << 40)))
-            values.append(share)
-            continue
-        some, counts = np.unique(grams, return_counts=True)
-        weight = counts.astype(float) if k else np.log1p(counts)
-        places.append(some)
+        some, counts = np.unique(grams % np.uint64(BUCKETS - 2), return_counts=True)
+        weight = np.log1p(counts) if len(kinds) != 6 or k < 3 else counts.astype(float)
+        places.append(some.astype(np.int64) + 2)
         values.append(weight / np.sqrt(weight @ weight))
-    return np.concatenate([[1], (np.concatenate(places) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2]), np.concatenate([[1.0], *values])
+        if k == 2 and n > 2:
+            level = np.minimum(np.log2(counts).astype(np.int64), 6)
+            places.append((_mixed(np.arange(7, dtype=np.uint64) + np.uint64(1 << 40)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2)
+            values.append(np.bincount(level, counts, 7) / len(grams))
+    buckets, at = np.unique(np.concatenate(places), return_inverse=True)
+    return buckets, np.bincount(at, np.concatenate(values))
 
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,8 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def follow_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> np.ndarray:
-    """Weights by FTRL-proximal updates, one per row and epoch, in an order that only the rows decide."""
+    """Weights by FTRL-proximal updates, one per row and epoch, in an order that only the rows decide; a
+    row's buckets differ from each other."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     order = np.random.default_rng(0)
     for _ in range(epochs):
@@ -93,17 +94,26 @@ def follow_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int =
             zp, root = z[p], np.sqrt(n[p])
             w = np.where(np.abs(zp) <= l1, 0.0, (np.sign(zp) * l1 - zp) / ((beta + root) / alpha + l2))
             g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - label) * v
-            np.add.at(z, p, g - (np.sqrt(n[p] + g * g) - root) / alpha * w)
-            np.add.at(n, p, g * g)
+            z[p] += g - (np.sqrt(n[p] + g * g) - root) / alpha * w
+            n[p] += g * g
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights from about ``rows`` labelled texts at most, none of them held out. Without any, all are 0."""
+def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> np.ndarray:
+    """Weights from about ``rows`` labelled texts of ``chars`` characters at most, none of them held out.
+
+    Of an id with several texts one is taken. Without labelled texts all weights are 0.
+    """
     arrow_batches(documents.sparkSession)
     sample = labelled_sample(labels, "quality", rows)
-    marked = pick(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
-    found = marked.mapInArrow(_featurised, "doc_id bigint, label int, places binary, values binary").collect()
+    marked = one_text_each(pick(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    sizes = written(marked, "labelled")
+    total = sizes.agg(F.sum(F.length("text"))).head()[0] or 0
+    if total > chars:
+        share = int(chars / total * (1 << 30))
+        sizes = sizes.where(F.pmod(F.xxhash64("doc_id", F.lit("characters")), F.lit(1 << 30)) < share).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
+    found = sizes.mapInArrow(_featurised, "doc_id bigint, label int, places binary, values binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["places"])))
     return follow_leader([(r["label"], np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)) for r in found])
 

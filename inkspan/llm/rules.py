@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, pick, table
+from .common import labelled_sample, one_text_each, pick, table
 
 #: Labelled rows that a decision list is learned from, at most.
 SAMPLE_ROWS = 20_000
-#: Bits of a window's sort key that hold its position; longer texts take the wider key.
+#: Bits of a window's sort key that hold its place; where they or the rest don't do, whole hashes are sorted.
 _PLACE = 24
 
 #: The ratios that conditions speak of, by name: SQL over the statistics.
@@ -61,26 +61,30 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
 def _with_repeats(df: DataFrame) -> DataFrame:
     """n_repeat_words: words inside a 3-word window that the text holds twice or more.
 
-    Only texts with equal windows are looked into. Their windows are sorted by a key whose high bits are the hash and
-    whose low bits the place, so equal windows are neighbours; neighbours count only if their words' hashes agree.
+    Only texts with equal windows are looked into. A text's windows are sorted as numbers whose high bits are the low
+    bits of the hash and whose low bits the place, so equal windows are neighbours. Where that cut of the hash makes
+    two of the text's windows one, or places don't fit, windows are sorted by their words' whole hashes instead.
     """
     low = (1 << _PLACE) - 1
+    short = F.transform("_keys", lambda h: F.shiftleft(h, _PLACE))
+    kinds = F.size(F.array_distinct("_keys"))
+    some = kinds < F.size("_keys")
+    told_apart = (F.size("_keys") <= low) & (F.size(F.array_distinct(short)) == kinds)
     narrow = F.transform("_keys", lambda h, i: F.shiftleft(h, _PLACE).bitwiseOR(i.cast("long")))
-    full = F.transform("_keys", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    some = F.size(F.array_distinct("_keys")) < F.size("_keys")
-    df = df.withColumns({"_sorted": F.when((F.size("_keys") <= low) & some, F.sort_array(narrow)), "_wide": F.when((F.size("_keys") > low) & some, F.sort_array(full))})
-
-    def equal(a: Column, b: Column) -> Column:
-        return (F.get("_words", a) == F.get("_words", b)) & (F.get("_words", a + 1) == F.get("_words", b + 1)) & (F.get("_words", a + 2) == F.get("_words", b + 2))
+    full = F.transform("_keys", lambda h, i: F.struct(F.get("_words", i).alias("a"), F.get("_words", i + 1).alias("b"), F.get("_words", i + 2).alias("c"), i.alias("i")))
+    df = df.withColumns({"_sorted": F.when(some & told_apart, F.sort_array(narrow)), "_wide": F.when(some & ~told_apart, F.sort_array(full))})
 
     def place(v: Column) -> Column:
         return v.bitwiseAND(F.lit(low)).cast("int")
 
     def twin(v: Column, other: Column) -> Column:
-        return F.coalesce((F.shiftright(v, _PLACE) == F.shiftright(other, _PLACE)) & equal(place(v), place(other)), F.lit(False))
+        return F.coalesce(F.shiftright(v, _PLACE) == F.shiftright(other, _PLACE), F.lit(False))
+
+    def same(v: Column, other: Column) -> Column:
+        return F.coalesce((v["a"] == other["a"]) & (v["b"] == other["b"]) & (v["c"] == other["c"]), F.lit(False))
 
     found = F.filter("_sorted", lambda v, i: twin(v, F.get("_sorted", i - 1)) | twin(v, F.get("_sorted", i + 1)))
-    wide = F.filter("_wide", lambda v, i: F.coalesce(v["h"] == F.get("_wide", i - 1)["h"], F.lit(False)) | F.coalesce(v["h"] == F.get("_wide", i + 1)["h"], F.lit(False)))
+    wide = F.filter("_wide", lambda v, i: same(v, F.get("_wide", i - 1)) | same(v, F.get("_wide", i + 1)))
     df = df.withColumn("_places", F.when(F.col("_sorted").isNotNull(), F.transform(found, place)).when(F.col("_wide").isNotNull(), F.transform(wide, lambda v: v["i"])))
     near = F.concat("_places", F.transform("_places", lambda p: p + 1), F.transform("_places", lambda p: p + 2))
     return df.withColumn("n_repeat_words", F.when(F.col("_places").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(near))).cast("long")).drop("_sorted", "_wide", "_places")
@@ -178,7 +182,7 @@ def learn(rows: list[tuple[dict, int]], precision: float = 0.98, least: int = 5,
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learns from at most about ``rows`` labelled documents outside the held-out fifth (crc32 of the id modulo 5)."""
     sample = labelled_sample(labels, "quality", rows)
-    marked = pick(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id")
+    marked = one_text_each(pick(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id"))
     found = with_stats(marked).selectExpr("doc_id", "label", *[f"cast({sql} as double) as {name}" for name, sql in FEATURES.items()])
     data = sorted(found.collect(), key=lambda r: (r["doc_id"], *[r[k] for k in FEATURES]))
     return learn([({k: r[k] for k in FEATURES}, r["label"]) for r in data])

@@ -9,6 +9,7 @@ verbs of saying for quotation. A logistic model over these counts gives the scor
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out, labelled_sample, pick, table
+from .common import arrow_batches, held_out, labelled_sample, one_text_each, pick, table
 
 #: Labelled texts that lexicon and model are fitted on, at most.
 SAMPLE_ROWS = 12_000
@@ -58,7 +59,7 @@ class Lexicon:
 
 @lru_cache(1)
 def _alnum() -> np.ndarray:
-    return np.array([chr(c).isalnum() for c in range(65_536)])
+    return np.array([chr(c).isalnum() for c in range(sys.maxunicode + 1)])
 
 
 class Matcher:
@@ -87,11 +88,10 @@ class Matcher:
             own = ends[node][1] if node in ends and ends[node][0] == _WORD else 0
             reach[node] = max([own, *[reach[k] for k in trie[node].values()]])
         letters = sorted({c for node in trie for c in node})
-        self.classes = np.where(_alnum(), 1, 0).astype(np.uint8)
+        self.classes = _alnum().astype(np.int32)
         codes = {c: i + 2 for i, c in enumerate(letters)}
         for c, i in codes.items():
-            if ord(c) < 65_536:
-                self.classes[ord(c)] = i
+            self.classes[ord(c)] = i
         # A state is a set of (node, edits); reading c follows the trie, or spends the edit.
         start = frozenset({(0, 0)} | {(k, 1) for k in trie[0].values() if reach[k] >= FUZZY_FROM})
         number, rows, accepts, todo = {frozenset(): _DEAD, start: _START}, [], [], [frozenset(), start]
@@ -130,8 +130,8 @@ class Matcher:
     def find(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(starts, kinds) of the hits in a lower-cased text, in code points."""
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        own = np.zeros(len(points) + 1, np.uint8)
-        own[:-1] = np.where(points < 65_536, self.classes[np.minimum(points, 65_535)], 1)
+        own = np.zeros(len(points) + 1, np.int32)
+        own[:-1] = self.classes[points]
         at = np.flatnonzero((own[:-1] > 0) & np.concatenate([[True], own[:-2] == 0])) if len(points) else np.zeros(0, np.int64)
         begin, state, found = at, np.full(len(at), _START, np.int32), []
         while len(at):
@@ -201,16 +201,23 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     stems = by_word.select("bad", "good", F.explode(F.transform(F.lit(list(STEMS)), lambda n: F.when(F.length("word") > n, F.struct(F.substring("word", F.lit(1), n).alias("term"))))).alias("s")).where("s is not null")
     terms = by_word.select(F.col("word").alias("term"), F.lit(False).alias("stem"), "bad", "good").union(stems.groupBy("s.term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).select("term", F.lit(True), "bad", "good"))
     least = EXCESS * share / (1 - share)  # of bad to good
-    found = terms.where((F.col("bad") >= 5) & (F.col("bad") >= least * F.col("good")) & (F.length("term") >= 3)).orderBy(F.desc("bad"), "term", "stem").limit(8 * TERMS).collect()
-    real = [r for r in found if _log10_tail(r["bad"], r["bad"] + r["good"], share) < CHANCE]
+    # Ranked by how far the counts are from the share, which bounds the chance of them.
+    part = F.col("bad") / (F.col("bad") + F.col("good"))
+    excess = F.col("bad") * F.log(part / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    likely = terms.where((F.col("bad") >= 5) & (F.col("bad") >= least * F.col("good")) & (F.length("term") >= 3))
+    found = likely.orderBy(F.desc(excess), "term", "stem").limit(8 * TERMS).collect()
+    chances = {(r["term"], r["stem"]): _log10_tail(r["bad"], r["bad"] + r["good"], share) for r in found}
+    real = sorted((r for r in found if chances[r["term"], r["stem"]] < CHANCE), key=lambda r: (chances[r["term"], r["stem"]], r["term"]))
     chosen: list[str] = []
     for r in sorted((r for r in real if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
         # A stem counts if more than one word shares it: else it is the word.
         whole = max((w["bad"] for w in real if not w["stem"] and w["term"].startswith(r["term"])), default=0)
         if whole < 0.8 * r["bad"] and not any(r["term"].startswith(s) for s in chosen):
             chosen.append(r["term"])
-    plain = [r["term"] for r in real if not r["stem"] and not any(r["term"].startswith(s) for s in chosen)]
-    return Lexicon(tuple(sorted(plain[:TERMS])), tuple(sorted(chosen[:TERMS])))
+    # A word that begins with a stem is caught by it, but misspelled only as a word of its own.
+    plain = [r["term"] for r in real if not r["stem"] and (len(r["term"]) >= FUZZY_FROM or not any(r["term"].startswith(s) for s in chosen))]
+    rank = {r["term"]: i for i, r in reversed(list(enumerate(real))) if r["stem"]}
+    return Lexicon(tuple(sorted(plain[:TERMS])), tuple(sorted(sorted(chosen, key=rank.get)[:TERMS])))
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
@@ -243,7 +250,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tup
     """Lexicon and weights from about ``rows`` labelled texts at most, none of them held out."""
     arrow_batches(documents.sparkSession)
     sample = labelled_sample(labels, "toxic", rows)
-    marked = pick(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
+    marked = pick(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id")
+    marked = one_text_each(marked).select("label", "text")
     lexicon = learn_lexicon(marked)
     found = marked.mapInArrow(_counted(lexicon, 1), f"label int, {_COUNTS}").collect()
     data = np.array(sorted(tuple(map(float, r)) for r in found), float).reshape(-1, len(NAMES) + 1)
