@@ -1,26 +1,28 @@
-"""Benchmark decontamination with a positional inverted index, sharded by document.
+"""Benchmark decontamination with a stored positional inverted index, sharded by document.
 
-Each shard, a few MB of documents, stores the postings of its tokens: for each term, the sorted positions in the
-shard's running token count. Terms that no test item holds can't be part of a match and aren't stored. A window of a
-test item is looked up from its rarest term: that term's positions, less its offset in the window, are the
-candidates, and each further list, offset-adjusted, is intersected with them, rarest first. What remains are exact
-phrases. Proximity matches take, for each position of the rarest term, the nearest position of every other term.
+A shard is a few MB of documents. Its row of the index holds all its terms in order and, for each, the sorted places in
+the shard's running word count, so the next benchmark needs no reading of texts. Test items come in blocks of bounded
+size, one at a time. A block files each of its windows under the window's rarest term; a shard takes only the windows
+that are filed under terms it holds, and of these only those whose other terms it holds too. From the rarest list on,
+places less the offset in the window are intersected, and what remains are exact phrases. Proximity matches take, for
+each place of the rarest term, the nearest place of every other term.
 
-As shards hold whole documents, no posting crosses the network. Test items are taken in blocks of bounded size.
+As shards hold whole documents, no posting crosses the network.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick, slices, table
+from .common import arrow_batches, bitmaps, pick, slices, table, with_mark, written
 
 #: Words of test items that one block may have; its lists travel to every executor.
 BLOCK_WORDS = 2_000_000
@@ -30,9 +32,10 @@ SHARD_BYTES = 4 << 20
 #: Word bytes stay, A-Z in lower case; all else parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-INDEX = "doc_id array<bigint>, n_words array<int>, terms array<int>, counts array<int>, places binary"
-_INDEX_TYPES = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-_INDEX_NAMES = ["doc_id", "n_words", "terms", "counts", "places"]
+_INDEX = {"shard": pa.int64(), "doc_id": pa.list_(pa.int64()), "place": pa.list_(pa.int64()), "n_words": pa.list_(pa.int64()), "terms": pa.binary(), "counts": pa.binary(), "places": pa.binary()}
+INDEX = "shard bigint, doc_id array<bigint>, place array<bigint>, n_words array<bigint>, terms binary, counts binary, places binary"
+_FOUND = {"shard": pa.int64(), "at": pa.int32(), "bits": pa.binary(), "items": pa.list_(pa.string())}
+FOUND = "shard bigint, at int, bits binary, items array<string>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -40,53 +43,89 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Items:
-    """A block of test items: term ids and the windows, each once, with the items that hold it."""
+    """A block of test items: term ids and the windows, each once, with the items that hold it, filed by rarest term."""
 
-    def __init__(self, rows: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, rows: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.terms: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, words in rows:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
             for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
+                found.setdefault(tuple(ids[i : i + window]), set()).update([] if item is None else [item])
         self.windows = [np.array(k, np.int32) for k in found]
         self.items = [sorted(v) for v in found.values()]
+        often = Counter(t for k in found for t in set(k))
+        self.filed: dict[int, list[int]] = {}
+        for i, k in enumerate(found):
+            self.filed.setdefault(min(set(k), key=lambda t: (often[t], t)), []).append(i)
 
 
 def item_blocks(benchmark: DataFrame, window: int) -> Iterator[Items]:
-    """Test items, read to the driver a partition at a time, in blocks of about BLOCK_WORDS words."""
-    rows, total = [], 0
-    for r in pick(benchmark, "item_id", "text").where("text is not null and item_id is not null").withColumn("item_id", F.col("item_id").cast("string")).distinct().toLocalIterator():
+    """Test items, read to the driver a partition at a time, in blocks of about BLOCK_WORDS words; one at least."""
+    rows, total, any_block = [], 0, False
+    for r in pick(benchmark, "item_id", "text").where("text is not null").withColumn("item_id", F.col("item_id").cast("string")).distinct().toLocalIterator():
         words = words_of(r["text"].encode())
         rows.append((r["item_id"], words))
         total += len(words)
         if total >= BLOCK_WORDS:
             yield Items(rows, window)
-            rows, total = [], 0
-    yield Items(rows, window)
-
-
-def positional_index(documents: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """One row a shard: its documents, their word counts, and the postings of ``terms`` by term."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, _ in slices(batches, SHARD_BYTES):
-            yield from _index_rows(group, terms)
-
+            rows, total, any_block = [], 0, True
+    if rows or not any_block:
+        yield Items(rows, window)
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard = TaskContext.get().partitionId() << 33
+    for group, _ in slices(batches, SHARD_BYTES):
+        docs, places, counts, terms, ids = [], [], [], {}, []
+        for batch in group:
+            docs += batch.column(0).to_pylist()
+            places += batch.column(1).to_pylist()
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                words = words_of(text)
+                counts.append(len(words))
+                for w in words:
+                    if w not in terms:
+                        terms[w] = len(terms)
+                ids.append(np.fromiter(map(terms.__getitem__, words), np.int32, len(words)))
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        # Terms in order of their bytes, each one's places in order.
+        names = sorted(terms)
+        rank = np.empty(len(terms), np.int32)
+        rank[np.fromiter(map(terms.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
+        own = rank[flat]
+        values = [shard, docs, places, counts, b" ".join(names), np.bincount(own, minlength=len(names)).astype("<i4").tobytes(), np.argsort(own, kind="stable").astype("<i4").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _INDEX.values())], names=list(_INDEX))
+        shard += 1
+
+
+def positional_index(documents: DataFrame) -> DataFrame:
+    """The index as a stored table: one row a shard, with its documents, their word counts, and all postings."""
     arrow_batches(documents.sparkSession)
-    return documents.mapInArrow(run, INDEX)
+    texts = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
+    return written(texts.mapInArrow(_indexed, INDEX), "index")
 
 
 class Shard:
-    """Postings of one index row."""
+    """Postings of one index row for the terms of a block."""
 
-    def __init__(self, docs: list, n_words: list[int], terms: list[int], counts: list[int], places: bytes):
-        self.docs, self.n_words = docs, np.array(n_words, np.int64)
+    def __init__(self, n_words: list[int], terms: bytes, counts: bytes, places: bytes, ids: dict[bytes, int]):
+        self.n_words = np.array(n_words, np.int64)
         self.ends = np.cumsum(self.n_words)
-        flat = np.frombuffer(places, np.int64)
-        cuts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.lists = {t: flat[cuts[i] : cuts[i + 1]] for i, t in enumerate(terms)}
+        sizes, flat = np.frombuffer(counts, "<i4"), np.frombuffer(places, "<i4")
+        cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        names = terms.split()
+        known = np.fromiter(map(ids.get, names, repeat(-1)), np.int64, len(names))
+        self.lists = {int(known[i]): flat[cuts[i] : cuts[i + 1]].astype(np.int64) for i in np.flatnonzero(known >= 0).tolist()}
+
+    def windows(self, items: Items) -> Iterator[int]:
+        """Windows all of whose terms the shard holds, found by the terms that it holds."""
+        held = self.lists.keys()
+        for t in held & items.filed.keys():
+            for i in items.filed[t]:
+                if held >= set(items.windows[i].tolist()):
+                    yield i
 
     def phrase(self, window: np.ndarray) -> np.ndarray:
         """Starts of the window's exact occurrences inside one document."""
@@ -128,129 +167,107 @@ class Shard:
         return np.stack([first[keep], last[keep] + 1], 1)
 
 
-def matches(index: DataFrame, items: Items, within: int | None = None) -> DataFrame:
-    """(doc_id, row, n_words, kind, begin, end, items): occurrences of windows by document; ``begin`` is null in the
-    one row that each document has even without any. With ``within``, proximity matches too, as kind 'near'."""
-    names = ["doc_id", "row", "n_words", "kind", "begin", "end", "items"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, within: int | None = None) -> DataFrame:
+    """(doc_id, kind, begin, end, item_id): where windows of test items occur, counted in words from 0, end exclusive.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                shard, out = Shard(*row), []
-                begins = shard.ends - shard.n_words
-                for doc, n, at in zip(shard.docs, shard.n_words.tolist(), range(len(shard.docs))):
-                    out.append((doc, at, n, None, None, None, None))
-                for window, own in zip(items.windows, items.items):
-                    spans = [("phrase", s, s + len(window)) for s in shard.phrase(window).tolist()]
-                    if within is not None:
-                        spans += [("near", a, b) for a, b in shard.near(window, within).tolist()]
-                    for kind, a, b in spans:
-                        d = int(np.searchsorted(shard.ends, a, "right"))
-                        out.append((shard.docs[d], d, int(shard.n_words[d]), kind, a - int(begins[d]), b - int(begins[d]), own))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names=names)
-
-    return index.mapInArrow(run, "doc_id bigint, row bigint, n_words bigint, kind string, begin bigint, end bigint, items array<string>")
-
-
-def _covered(items: Items):
-    """Sums up phrases by document inside the shard: its words, the hit ones and the items."""
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "hit_bits", "items"]
+    Kind 'phrase' is an exact occurrence; with ``within`` there is a row of kind 'near' too wherever all of a window's
+    terms stand within so many words of its rarest one. Windows of items without an id have a null ``item_id``. A row
+    of documents that occurs twice has its matches twice.
+    """
+    index, parts = positional_index(documents), []
+    for block in item_blocks(benchmark, window):
+        shared = documents.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            for batch in batches:
+                for docs, n_words, terms, counts, places in zip(*[c.to_pylist() for c in batch.columns]):
+                    shard, out = Shard(n_words, terms, counts, places, items.terms), []
+                    begins = shard.ends - shard.n_words
+                    for i in shard.windows(items):
+                        spans = [("phrase", s, s + len(items.windows[i])) for s in shard.phrase(items.windows[i]).tolist()]
+                        if within is not None:
+                            spans += [("near", a, b) for a, b in shard.near(items.windows[i], within).tolist()]
+                        for kind, a, b in spans:
+                            d = int(np.searchsorted(shard.ends, a, "right"))
+                            out += [(docs[d], kind, a - int(begins[d]), b - int(begins[d]), item) for item in items.items[i] or [None]]
+                    columns = list(zip(*out)) or [()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "kind", "begin", "end", "item_id"])
+
+        parts.append(written(index.select("doc_id", "n_words", "terms", "counts", "places").mapInArrow(run, "doc_id bigint, kind string, begin bigint, end bigint, item_id string"), "matches"))
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _covered(shared):
+    """By document that holds a window: the bits of its hit words, and the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                shard = Shard(*row)
+            for number, n_words, terms, counts, places in zip(*[c.to_pylist() for c in batch.columns]):
+                shard = Shard(n_words, terms, counts, places, items.terms)
                 total = int(shard.ends[-1]) if len(shard.ends) else 0
-                edge, found = np.zeros(total + 1, np.int32), [set() for _ in shard.docs]
-                for window, own in zip(items.windows, items.items):
+                edge, found = np.zeros(total + 1, np.int32), {}
+                for i in shard.windows(items):
+                    window, own = items.windows[i], items.items[i]
                     starts = shard.phrase(window)
                     if len(starts):
                         np.add.at(edge, starts, 1)
                         np.add.at(edge, starts + len(window), -1)
                         for d in np.unique(np.searchsorted(shard.ends, starts, "right")).tolist():
-                            found[d].update(own)
+                            found.setdefault(d, set()).update(own)
                 hit = np.cumsum(edge[:-1]) > 0
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                begins = shard.ends - shard.n_words
-                n_hit = sums[shard.ends] - sums[begins]
-                ids = [sorted(x) for x in found]
-                bits = [np.packbits(hit[a:b], bitorder="little").tobytes() if n else None for a, b, n in zip(begins, shard.ends, n_hit)]
-                columns = [pa.array(shard.docs, pa.int64()), pa.array(shard.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]), pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                rows = [(number, d, np.packbits(hit[shard.ends[d] - shard.n_words[d] : shard.ends[d]], bitorder="little").tobytes(), sorted(own)) for d, own in sorted(found.items())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, _FOUND.values())], names=list(_FOUND))
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document, the bits of all blocks united."""
+    for batch in batches:
+        hits = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in own])).sum()) for own in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), batch.column(3)], names=["shard", "at", "n_hit", "items"])
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per row of documents: n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """Per row of documents: doc_id, place, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Items without words match nothing, as do null and empty texts; an item of fewer words than a window is one
-    window. A benchmark beyond one block is looked up block by block, and the blocks' word bitmaps are united.
+    window. Words that items without an id hit count in n_hit; such items aren't in n_items, items or the digest.
+    ``place`` is the xxhash64 of the text.
     """
-    texts = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, hit_bits binary, items array<string>"
-    blocks = list(item_blocks(benchmark, window))
-    arrow_batches(documents.sparkSession)
-    out = positional_index(texts, blocks[0].terms).mapInArrow(_covered(blocks[0]), schema) if len(blocks) == 1 else _united(texts, blocks, schema)
-    return out.drop("hit_bits").withColumn("contaminated", F.col("n_hit") > 0)
+    index, parts = positional_index(documents), []
+    for block in item_blocks(benchmark, window):
+        shared = documents.sparkSession.sparkContext.broadcast(block)
+        parts.append(written(index.select("shard", "n_words", "terms", "counts", "places").mapInArrow(_covered(shared), FOUND), "found"))
+    # A document has a row for each block that hits it, so its lists are as long as there are blocks.
+    by_doc = _union(parts).groupBy("shard", "at").agg(F.collect_list("bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = by_doc.mapInArrow(_counted, "shard bigint, at int, n_hit bigint, items array<string>")
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "place", "n_words")).alias("at", "d")).select("shard", "at", "d.doc_id", "d.place", "d.n_words")
+    out = rows.join(hits, ["shard", "at"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select("doc_id", "place", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "items")
 
 
 def without_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows that hold no window of a test item, with all their columns."""
-    blocks = list(item_blocks(benchmark, window))
-    arrow_batches(documents.sparkSession)
-    columns = documents.columns
-    at = [columns.index("doc_id"), columns.index("text")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, _ in slices(batches, SHARD_BYTES):
-            texts = [pa.RecordBatch.from_arrays([b.column(i) for i in at], names=["doc_id", "text"]) for b in group]
-            hit = np.zeros(sum(b.num_rows for b in group), bool)
-            for block in blocks:
-                for found in _covered(block)(_index_rows(texts, block.terms)):
-                    hit |= np.asarray(found.column(2)) > 0
-            for b in group:
-                yield b.filter(pa.array(~hit[: b.num_rows]))
-                hit = hit[b.num_rows :]
-
-    return documents.mapInArrow(run, documents.schema)
-
-
-def _united(texts: DataFrame, blocks: list[Items], schema: str) -> DataFrame:
-    """Several blocks: each row is indexed once a block in the same task, so its bitmaps meet without a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, _ in slices(batches, SHARD_BYTES):
-            parts = [list(_covered(b)(_index_rows(group, b.terms))) for b in blocks]
-            for same in zip(*parts):
-                rows = [p.to_pylist() for p in same]
-                out = []
-                for own in zip(*rows):
-                    bits = [np.frombuffer(x["hit_bits"], np.uint8) for x in own if x["hit_bits"] is not None]
-                    both = np.bitwise_or.reduce(bits) if bits else None
-                    ids = sorted(set().union(*[x["items"] for x in own]))
-                    out.append(own[0] | {"n_hit": int(np.unpackbits(both).sum()) if bits else 0, "hit_bits": both.tobytes() if bits else None, "n_items": len(ids), "items": ids, "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest()})
-                yield pa.RecordBatch.from_pylist(out, schema=same[0].schema)
-
-    return texts.mapInArrow(run, schema)
-
-
-def _index_rows(batches: list[pa.RecordBatch], terms: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    get = terms.get
-    docs, counts, ids = [], [], []
-    for batch in batches:
-        docs += batch.column(0).to_pylist()
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            words = words_of(text)
-            counts.append(len(words))
-            ids.append(np.fromiter(map(get, words, repeat(-1)), np.int32, len(words)))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    at = np.flatnonzero(flat >= 0)
-    at = at[np.argsort(flat[at], kind="stable")]
-    own, sizes = np.unique(flat[at], return_counts=True)
-    values = [docs, counts, own, sizes, at.astype(np.int64).tobytes()]
-    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _INDEX_TYPES)], names=_INDEX_NAMES)
+    """The rows that hold no window of a test item, with all their columns. Texts that may go are told apart by a
+    bitmap, so that no others are moved."""
+    own = contamination(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place")).distinct()
+    gone = written(own, "gone")
+    texts = documents.withColumns({"_doc": F.col("doc_id").cast("long"), "_place": F.xxhash64("text")})
+    marked = with_mark(texts, bitmaps(gone, "_doc", "_place"), "_doc", "_place")
+    right = gone.select(F.col("_doc").alias("_d"), F.col("_place").alias("_p")).hint("shuffle_hash")
+    left = marked.where("_marked")
+    stay = left.join(right, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_place") == F.col("_p")), "left_anti")
+    return marked.where("not _marked").select(*documents.columns).union(stay.select(*documents.columns))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +275,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def decontamination_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each match by itself, proximity matches within ten words of a window's rarest term among them."""
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=10)
+
+
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 OP4_SQL = f"""
-WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
 starts AS (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + 9), ' ') AS phrase FROM starts),
 docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
@@ -271,7 +293,7 @@ hits AS (
      FROM places, (SELECT DISTINCT size FROM windows) s WHERE i + s.size - 1 <= len(w)) p
   JOIN windows ON p.phrase = windows.phrase AND p.size = windows.size),
 covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id

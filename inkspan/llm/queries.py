@@ -9,6 +9,7 @@ QUERIES = {
     for f in (
         quality.op1_quality, rules.op2_quality_rules, simhash.op3_simhash, decontaminate.op4_decontamination, lines.op5_line_dedup,
         pii.op6_pii, lm.op7_lm_scoring, bpe.op8_bpe, urls.op9_url_filter, toxicity.op10_toxicity,
+        decontaminate.decontamination_matches,
     )
 }
 

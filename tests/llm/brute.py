@@ -67,7 +67,7 @@ def op4(rows: list[tuple], items: list[tuple]) -> dict:
     for item, text in items:
         words = op4_words(text)
         for i in range(max(1, len(words) - 9)) if words else ():
-            windows[tuple(words[i : i + 10])].add(str(item))
+            windows[tuple(words[i : i + 10])].update(() if item is None else {str(item)})
     sizes = sorted({len(w) for w in windows})
     out = {}
     for doc, text in rows:
@@ -75,13 +75,26 @@ def op4(rows: list[tuple], items: list[tuple]) -> dict:
         for n in sizes:
             for i in range(len(words) - n + 1):
                 own = windows.get(tuple(words[i : i + n]))
-                if own:
+                if own is not None:
                     hit.update(range(i, i + n))
                     found |= own
         out[doc] = (len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
     return out
 
 
+def matches(rows: list[tuple], items: list[tuple]) -> set:
+    """Every occurrence of a window."""
+    out = set()
+    for item, text in items:
+        words = op4_words(text)
+        for i in range(max(1, len(words) - 9)) if words else ():
+            window = words[i : i + 10]
+            for doc, own in rows:
+                own = op4_words(own)
+                out |= {(doc, "phrase", k, k + len(window), item) for k in range(len(own) - len(window) + 1) if own[k : k + len(window)] == window}
+    return out
+
+
 def op5(rows: list[tuple]) -> dict:
     where = defaultdict(set)
     for doc, text in rows:
