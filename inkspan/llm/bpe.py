@@ -2,9 +2,13 @@
 
 A merge (u, v) -> w adds a gadget: a state w entered wherever u could be entered, left wherever v could be left,
 while the arc from u to v closes. After all merges, a token sequence is the encoding of its bytes exactly if the
-automaton has an arc between each two neighbours. The gadgets are kept as three tables (left, right, rank): whether
-an arc is open is read off by taking gadgets apart from the latest on, and each answer is stored as a transition.
-Encoding a word fills, for each prefix, the one state that it leads to. Decoding emits the bytes on the arcs.
+automaton has an arc between each two neighbours. Nearly all pairs of states have one, billions in all, so arcs are
+not listed: the gadgets are kept as three tables (left, right, rank), by which an arc is open unless taking gadgets
+apart, from the latest on, meets a merge that closes it. Each answer is stored as a transition.
+
+A word is read byte by byte. A second table, the automaton of all states' labels, says which states end at each place;
+as every prefix has one encoding, just one of them has an arc from the state that the place of its first byte led to.
+So every byte leads to one state, and no step is taken back. Decoding emits the bytes on the arcs.
 
 Words are what the vocabulary's pre-split pattern cuts; special tokens written out in a text are taken as such, as
 the public library does.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_batches, pick, table
 
 #: Entries that a worker's memory of words and transitions may have before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: White space as the public library's pattern engine has it.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the published pre-split pattern of byte-level vocabularies.
@@ -67,11 +71,42 @@ class Automaton:
                 self.left[w], self.right[w], self.rank[w] = u, v, k
             self.merged[u, v] = w
         self.state = {b: i for b, i in self.token.items() if entered[i]}
-        self.longest = max(map(len, self.state))
+        self._compile_labels()
         self._ready()
 
+    def _compile_labels(self) -> None:
+        """The automaton of the states' labels: ``step`` of (place, byte), ``back`` to the longest shorter end of what
+        was read, and by place the states (with sizes, longest first) whose labels end there."""
+        self.step: dict[int, int] = {}
+        back, own, depth = [0], [-1], [0]
+        by_depth: list[list[tuple[int, int, int]]] = []
+        for label, t in sorted(self.state.items()):
+            at = 0
+            for d, b in enumerate(label):
+                to = self.step.get(at << 8 | b)
+                if to is None:
+                    to = self.step[at << 8 | b] = len(own)
+                    own.append(-1)
+                    back.append(0)
+                    depth.append(d + 1)
+                    if d == len(by_depth):
+                        by_depth.append([])
+                    by_depth[d].append((at, b, to))
+                at = to
+            own[at] = t
+        ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        for d, places in enumerate(by_depth):
+            for at, b, to in places:
+                if d:
+                    x = back[at]
+                    while x and x << 8 | b not in self.step:
+                        x = back[x]
+                    back[to] = self.step.get(x << 8 | b, 0)
+                ends[to] = (((own[to], d + 1),) if own[to] >= 0 else ()) + ends[back[to]]
+        self.back, self.longer, self.shortest = back, [e[:-1] for e in ends], [e[-1] if e else None for e in ends]
+
     def _ready(self) -> None:
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.words = regex.compile(_WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -101,43 +136,52 @@ class Automaton:
             else:
                 return True
 
-    def arc(self, s: int, t: int) -> bool:
-        known = self.arcs.get((s, t))
-        if known is None:
-            if len(self.arcs) >= REMEMBERED:
-                self.arcs.clear()
-            known = self.arcs[s, t] = self.open_until(s, t, float("inf"))
+    def arc(self, key: int) -> bool:
+        """Whether there is an arc from the state of the key's high bits to that of its low ones."""
+        if len(self.arcs) >= REMEMBERED:
+            self.arcs.clear()
+        known = self.arcs[key] = self.open_until(key >> 32, key & 0xFFFFFFFF, float("inf"))
         return known
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """The states on the word's way: from each, the longest transition first, back where none is left.
+    def _resumed(self, at: int, b: int) -> int:
+        """Where a byte leads that the labels' trie has no step for; the answer becomes a step."""
+        x, step = at, self.step
+        while x and x << 8 | b not in step:
+            x = self.back[x]
+        to = step.get(x << 8 | b, 0)
+        if len(step) < len(self.back) + REMEMBERED:
+            step[at << 8 | b] = to
+        return to
 
-        A prefix has one encoding, so a place from which no way leads on is closed whatever led to it, and no place
-        is left twice.
-        """
-        state, arc, n = self.state, self.arc, len(word)
-        whole = state.get(word)
+    def encode_word(self, word: bytes) -> list[int]:
+        """The states on the word's way, one for each prefix; those of the whole word are read off from its end."""
+        whole = self.state.get(word)
         if whole is not None:
             return [whole]
-        out: list[int] = []
-        begins: list[int] = []
-        closed: set[int] = set()
-        at, end, last = 0, min(n, self.longest), None
-        while at < n:
-            while end > at:
-                t = state.get(word[at:end])
-                if t is not None and end not in closed and (last is None or arc(last, t)):
+        step, longer, shortest, arcs, at, i = self.step.get, self.longer, self.shortest, self.arcs, 0, 0
+        led, sizes = [-1], [0]
+        for b in word:
+            i += 1
+            to = step(at << 8 | b)
+            at = self._resumed(at, b) if to is None else to
+            # One of the states must do, so the last need not be asked about.
+            t, size = shortest[at]
+            for longer_t, n in longer[at]:
+                if n == i:
+                    t, size = longer_t, n
                     break
-                end -= 1
-            if end > at:
-                out.append(t)
-                begins.append(at)
-                at, end, last = end, min(n, end + self.longest), t
-            else:
-                closed.add(at)
-                out.pop()
-                at, end = begins.pop(), at - 1
-                last = out[-1] if out else None
+                key = led[i - n] << 32 | longer_t
+                known = arcs.get(key)
+                if self.arc(key) if known is None else known:
+                    t, size = longer_t, n
+                    break
+            led.append(t)
+            sizes.append(size)
+        out = []
+        while i:
+            out.append(led[i])
+            i -= sizes[i]
+        out.reverse()
         return out
 
     def _packed(self, word: str) -> bytes:
