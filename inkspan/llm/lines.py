@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick, table, written
+from .common import arrow_batches, bitmaps, pick, table, with_mark, written
 
 _RUNS = {"kind": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64(), "sig": pa.int64(), "place": pa.int32(), "docs": pa.int64(), "best": pa.int64()}
 _DROP, _OPEN, _STAT = 0, 1, 2
@@ -130,17 +130,21 @@ def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3)
     settled = open_rows.join(F.broadcast(ends), ["h1", "h2"]).where("doc_id <> keeper")
     gone = runs.where(F.col("kind") == _DROP).select("doc_id", "sig", "place").union(settled.select("doc_id", "sig", "place"))
     by_text = gone.groupBy("doc_id", "sig").agg(F.collect_set("place").alias("places"))
-    return by_text.mapInArrow(_bitmaps, "doc_id bigint, sig bigint, dropped binary")
+    return written(by_text.mapInArrow(_bitmaps, "doc_id bigint, sig bigint, dropped binary"), "bitmaps")
 
 
 def with_kept_lines(documents: DataFrame, dropped: DataFrame, digest_only: bool = False) -> DataFrame:
     """The documents with n_lines, n_dropped and kept_text (or kept_sha256 in its place).
 
-    A null or empty text is one empty line. The bitmaps are the smaller side and are hashed; texts aren't sorted.
+    A null or empty text is one empty line. Texts that may lose lines are told apart by a bitmap of 8 MB and meet
+    theirs by a hash join; no others are moved, and none is sorted.
     """
-    left = documents.withColumn("_sig", F.xxhash64("text"))
-    right = dropped.select(F.col("doc_id").alias("_doc"), F.col("sig").alias("_s"), "dropped").hint("shuffle_hash")
-    joined = left.join(right, (left["doc_id"] == right["_doc"]) & (left["_sig"] == right["_s"]), "left").drop("_doc", "_s", "_sig")
+    names_of = documents.columns
+    left = documents.withColumns({"_doc": F.col("doc_id").cast("long"), "_sig": F.xxhash64("text")})
+    marked = with_mark(left, bitmaps(dropped, "doc_id", "sig"), "_doc", "_sig")
+    right = dropped.select(F.col("doc_id").alias("_d"), F.col("sig").alias("_s"), "dropped").hint("shuffle_hash")
+    met = marked.where("_marked").join(right, (F.col("_doc") == F.col("_d")) & (F.col("_sig") == F.col("_s")), "left")
+    joined = marked.where("not _marked").select(*names_of, F.lit(None).cast("binary").alias("dropped")).union(met.select(*names_of, "dropped"))
     at, column = joined.columns.index("text"), "kept_sha256" if digest_only else "kept_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
