@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast.
@@ -26,6 +26,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_remembered: dict[tuple[str, str], DataFrame] = {}
+
+
+def remembered(spark: SparkSession, name: str, make: Callable[[SparkSession], DataFrame]) -> DataFrame:
+    """The table of this name as this application made it first, cached; what is evicted is computed anew."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _remembered:
+        _remembered[key] = make(spark).cache()
+    return _remembered[key]
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Left join with defaults for what isn't found."""
     out = left.join(right, key, "left")

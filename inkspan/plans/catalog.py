@@ -12,7 +12,7 @@ from ..functions import dates, signals, tags, text
 from ..functions.taxonomy import Taxonomy
 from ..operators import chunks, dedup, joins
 from ..sources import html
-from . import analytics, dashboard, views
+from . import analytics, catalog_flow, catalog_text, dashboard, views
 
 CORPUS = Taxonomy(
     patterns={"conjunction": ("and", "with"), "article": ("the", "der", "la"), "preposition": ("of", "von", "de"), "verb": ("is", "ist", "est"), "abuse": ("idiot", "scum", "moron")},
@@ -218,8 +218,8 @@ def cross_source_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incremental_anti(spark: SparkSession, d: str) -> DataFrame:
-    new = _table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
-    return dedup.unseen(_table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment"), new, "key")
+    known = _table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"))
+    return dedup.unseen(_table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment"), known, "key")
 
 
 def narrative_themes(spark: SparkSession, d: str) -> DataFrame:
@@ -262,12 +262,17 @@ def page_bodies(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", F.md5(text.strip_boilerplate(html.strip_tags("html"), "agency_blog")).alias("body_md5"))
 
 
+def _groups_of_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of two years that aren't adjacent, tagged by customer group, so that some tags rise and some fall."""
+    return _orders(spark, d).where("year in (1995, 1998)").withColumn("tag", F.concat(F.lit("g"), (F.col("o_custkey") % 17).cast("string")))
+
+
 def emerging_rising(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.emerging(_orders(spark, d), "year", "tag", k=3)[0]
+    return analytics.emerging(_groups_of_customers(spark, d), "year", "tag", k=3)[0]
 
 
 def emerging_falling(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.emerging(_orders(spark, d), "year", "tag", k=3)[1]
+    return analytics.emerging(_groups_of_customers(spark, d), "year", "tag", k=3)[1]
 
 
 def view_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +349,7 @@ severe AS (SELECT doc_id, CASE {" ".join(f"WHEN list_contains(fraud_tags, '{f}')
 primaries AS (SELECT s.doc_id, coalesce(best.family, 'other') AS primary_tag, severest_tag FROM severe s LEFT JOIN best ON s.doc_id = best.doc_id)"""
 
 _ORDERS_SQL = "o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS tag, o_orderstatus AS status, year(o_orderdate) AS year, o_custkey FROM orders)"
-_YOY_SQL = f"{_ORDERS_SQL}, e AS (SELECT max(year) AS cur, (SELECT max(year) FROM o WHERE year < (SELECT max(year) FROM o)) AS prev FROM o), s AS (SELECT tag, count(*) FILTER (WHERE year = prev) AS previous, count(*) FILTER (WHERE year = cur) AS current FROM o, e WHERE year IN (prev, cur) GROUP BY tag), c AS (SELECT tag, previous, current, round_even(CAST(current - previous AS DOUBLE) / (previous + 1) * 100, 1) AS pct_change FROM s)"
+_YOY_SQL = "o AS (SELECT 'g' || o_custkey % 17 AS tag, year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) IN (1995, 1998)), s AS (SELECT tag, count(*) FILTER (WHERE year = 1995) AS previous, count(*) FILTER (WHERE year = 1998) AS current FROM o GROUP BY tag), c AS (SELECT tag, previous, current, round_even(CAST(current - previous AS DOUBLE) / (previous + 1) * 100, 1) AS pct_change FROM s)"
 _CHANGE_SQL = "tag, previous, current, current - previous AS delta, round_even(CAST(current - previous AS DOUBLE) / CASE WHEN previous = 0 THEN 1 ELSE previous END * 100, 1) AS pct"
 
 def _space(x: str) -> str:
@@ -382,7 +387,7 @@ ORACLE_SQL = {
     "dashboard_totals": "SELECT count(*) AS leads, count(DISTINCT source) AS vendors FROM documents",
     "dedup_first": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, md5(text) AS text_md5 FROM documents GROUP BY md5(text)",
     "cross_source_dedup": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) AS r FROM events WHERE event_type IN ('purchase', 'click', 'view')) WHERE r = 1",
-    "incremental_anti": "SELECT c_custkey AS key, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "incremental_anti": "SELECT c_custkey AS key, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
     "narrative_themes": r"SELECT word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[''’]s\b', '', 'g'), '\p{L}{2,}')) AS word FROM documents) WHERE word NOT IN ('the', 'of', 'and', 'der', 'die', 'de', 'la', 'el') GROUP BY word ORDER BY count(*) DESC, word LIMIT 50",
     "stable_id": "SELECT page_id, substring(sha1(url), 1, 14) AS stable_id, CASE WHEN rtrim(url, '/') LIKE 'http://%' OR rtrim(url, '/') LIKE 'https://%' THEN rtrim(url, '/') ELSE 'https://' || rtrim(url, '/') END AS url FROM pages",
     "html_heading": r"WITH h AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, len(regexp_extract_all(html, 'href=" + '"' + "([^" + '"' + "]*)" + '"' + r"', 1)) AS n_links FROM h",
@@ -404,3 +409,6 @@ ORACLE_SQL = {
     "wide_documents": f"WITH {_CHUNKS_SQL}, k AS (SELECT doc_id, chunk_id, list_filter({_KEYWORD_SQL.replace('lower(text)', 'lower(c)')}, lambda x: x IS NOT NULL) AS ks, list_filter([" + ", ".join(f"CASE WHEN contains(lower(c), '{s}') THEN '{s}' END" for s, _ in CORPUS.signal_rows()) + "], lambda x: x IS NOT NULL) AS ss FROM chunks), t AS (SELECT doc_id, tag, min(chunk_id) AS seen FROM (SELECT doc_id, chunk_id, unnest(CASE WHEN len(ks) = 0 THEN ['other'] ELSE ks END) AS tag FROM k) GROUP BY doc_id, tag), g AS (SELECT doc_id, s, min(chunk_id) AS seen FROM (SELECT doc_id, chunk_id, unnest(ss) AS s FROM k) GROUP BY doc_id, s), n AS (SELECT doc_id, count(*) AS num_chunks FROM k GROUP BY doc_id), ta AS (SELECT doc_id, string_agg(tag, ',' ORDER BY seen, tag) AS fraud_tags FROM t GROUP BY doc_id), ga AS (SELECT doc_id, string_agg(s, ',' ORDER BY seen, s) AS fraud_signals FROM g GROUP BY doc_id) SELECT n.doc_id, num_chunks, fraud_tags, coalesce(fraud_signals, '') AS fraud_signals FROM n JOIN ta ON n.doc_id = ta.doc_id LEFT JOIN ga ON n.doc_id = ga.doc_id",
     "page_bodies": "SELECT page_id, md5(" + _space("regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _space("regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')") + r", '(?i)Comments closed\..*$', '', 'g'), '(?i)Return to top$', '', 'g'), '(?i)Topics\s+.*$', '', 'g'), '(?i)Return to top', '', 'g')") + ") AS body_md5 FROM pages",
 }
+
+QUERIES |= catalog_text.QUERIES | catalog_flow.QUERIES
+ORACLE_SQL |= catalog_text.ORACLE_SQL | catalog_flow.ORACLE_SQL

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,11 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.dates import to_utc
 from ..functions.signals import indicators
 from ..functions.tags import pattern_tags
-from ..functions.taxonomy import DEFAULT, Taxonomy
+from ..functions.taxonomy import DEFAULT, EARLIER, Taxonomy
 from ..functions.text import joined, normalize_space, shortened, stable_id, strip_boilerplate
-from ..operators.chunks import chunk_rows, documents_of_chunks, tag_chunks
+from ..operators.chunks import chunk_rows, chunk_summary, documents_of_chunks, tag_chunks
 from ..operators.dedup import keep_first_chain
-from ..sources.readers import exists
+from ..sources import writers
+from ..sources.printed import Extractor, Optical, form_feeds, full_text, text_summary, with_pages
+from ..sources.readers import exists, missing_files
+from .analytics import analyse
+from .views import documents, master
 
 
 @dataclass(frozen=True)
@@ -33,6 +39,7 @@ class Source:
     chunked: bool = False
     fallback: bool = True
     taxonomy: Taxonomy = DEFAULT
+    ordered: bool = True
 
 
 SOURCES = {s.name: s for s in (
@@ -41,7 +48,8 @@ SOURCES = {s.name: s for s in (
     Source("vendor_blog", tag_text=("body_1",), longer_than=50),
     Source("security_news", "security_news"),
     Source("complaint_center", "complaint_center", chunked=True),
-    Source("bureau_news", "bureau_news", chunked=True, fallback=False),
+    # On the earlier edition, whose tags of a document stand in the taxonomy's order.
+    Source("bureau_news", "bureau_news", chunked=True, fallback=False, taxonomy=EARLIER, ordered=False),
 )}
 
 
@@ -58,7 +66,7 @@ def articles_to_documents(articles: DataFrame, source: Source) -> DataFrame:
     out = keep_first_chain(out, [[k] for k in source.unique], order)
     out = out.withColumns({
         "published_year": F.year("date"), "published_month": F.month("date"), "body_short": shortened("body_1"), "body_length": F.length("body_1"),
-        "fraud_tags": pattern_tags(joined(*source.tag_text), source.taxonomy), "fraud_signals": indicators(joined(*source.signal_text)),
+        "fraud_tags": pattern_tags(joined(*source.tag_text), source.taxonomy, ordered=source.ordered), "fraud_signals": indicators(joined(*source.signal_text)),
     })
     return out.select("doc_id", "date", "published_year", "published_month", "source", "fraud_tags", "fraud_signals", "title", "body_1", "body_short", "body_length", "url")
 
@@ -75,6 +83,41 @@ def run_source(articles: DataFrame, source: Source) -> DataFrame:
     return documents_to_chunked(out, source) if source.chunked else out
 
 
+def notices(files: DataFrame, listing: DataFrame, extract: Extractor = form_feeds, optical: Optical | None = None, taxonomy: Taxonomy = DEFAULT) -> dict[str, DataFrame]:
+    """The pipeline of printed notices, from downloaded files to tagged documents.
+
+    ``listing`` are publications (notice_id, title, doc_type, date, local_pdf_path, ..), ``files`` what lies in the
+    download folder (path, content). Tables: ``missing`` (listed, not downloaded), ``texts``, ``text_summary``,
+    ``chunks``, ``chunk_summary``, ``tagged`` and ``documents``, whose id is the notice's own.
+    """
+    keys = ["notice_id", "title", "doc_type", "date"]
+    here = files.select(F.regexp_replace("path", "^file:/+", "/").alias("local_pdf_path"), "content")
+    texts = full_text(with_pages(listing.join(here, "local_pdf_path"), extract, optical))
+    rows = texts.select(F.col("notice_id").alias("doc_id"), "title", "doc_type", F.lit("notices").alias("source"), "date", F.col("pdf_url").alias("url"), "full_text_clean")
+    chunked = chunk_rows(rows, "full_text_clean", ["doc_id", "title", "doc_type", "source", "date", "url"])
+    tagged = tag_chunks(chunked, taxonomy)
+    return {
+        "missing": missing_files(listing, here.select(F.col("local_pdf_path").alias("path"))), "texts": texts, "text_summary": text_summary(texts, keys), "chunks": chunked,
+        "chunk_summary": chunk_summary(chunked, ["doc_id", "title", "doc_type", "date"]), "tagged": tagged, "documents": documents_of_chunks(tagged, ["doc_id", "title", "doc_type", "source", "date", "url"]),
+    }
+
+
+def export_run(rows: DataFrame, directory: str, taxonomy: Taxonomy = DEFAULT, include_body: bool = False) -> dict[str, DataFrame]:
+    """Both views of normalised rows analysed and written: for each the three exports and the primary tags, and the
+    flat master. Returns the results by 'docs' and 'weighted' name. The master is written once and read by both."""
+    spark = rows.sparkSession
+    master(rows, taxonomy).write.mode("overwrite").parquet(f"{directory}/master")
+    whole = spark.read.parquet(f"{directory}/master")
+    results = {}
+    for suffix, view, weight in (("docs", documents(whole, taxonomy), None), ("weighted", whole, "chunk_weight")):
+        found = analyse(view, weight)
+        writers.export_view(found, directory, suffix)
+        writers.csv(found["primary_tag_distribution"], f"{directory}/primary_tag_distribution_{suffix}")
+        results |= {f"{name}_{suffix}": df for name, df in found.items()}
+    writers.csv(writers.flat_master(documents(whole, taxonomy), include_body), f"{directory}/master_docs")
+    return results
+
+
 def publications(parts: list[DataFrame]) -> DataFrame:
     """Union of listings of notices without repeats, by real date, undated last."""
     from ..functions.dates import us_date
@@ -103,7 +146,8 @@ STATUS = "name string, status string, seconds double, error string"
 def run_steps(spark: SparkSession, steps: list[Step], force: bool = False) -> DataFrame:
     """Runs steps in order and returns their status: done, skipped (output there), off, failed, late or blocked.
 
-    A step writes its output whole or not at all. A failing step doesn't stop others, except those that come after it.
+    A step writes its output whole or not at all. One that is not done in its time is late: its jobs are cancelled.
+    A step that fails or is late doesn't stop others, except those that come after it.
     """
     status, bad = [], set()
     for step in steps:
@@ -115,21 +159,37 @@ def run_steps(spark: SparkSession, steps: list[Step], force: bool = False) -> Da
         elif bad & set(step.after):
             state = "blocked"
         else:
-            tag = f"inkspan-{step.name}"
-            try:
-                spark.addTag(tag)
-                step.make(spark).write.mode("overwrite").parquet(step.output)
-                state = "done" if time.time() - began <= step.timeout else "late"
-            except Exception as e:  # reported as the step's status
-                state, error = "failed", str(e)[-300:]
-            finally:
-                spark.removeTag(tag)
-        if state in ("failed", "blocked"):
+            state, error = _in_time(spark, step)
+        if state in ("failed", "late", "blocked"):
             bad.add(step.name)
         status.append((step.name, state, round(time.time() - began, 3), error))
     return spark.createDataFrame(status, STATUS)
 
 
+def _in_time(spark: SparkSession, step: Step) -> tuple[str, str | None]:
+    tag, late = f"inkspan-{step.name}-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(step.timeout, stop)
+    timer.daemon = True
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        rows = step.make(spark)
+        if late.is_set():
+            raise TimeoutError(f"late after {step.timeout} s")
+        rows.write.mode("overwrite").parquet(step.output)
+        return ("late", f"late after {step.timeout} s") if late.is_set() and not exists(spark, f"{step.output}/_SUCCESS") else ("done", None)
+    except Exception as e:  # reported as the step's status
+        return ("late", f"late after {step.timeout} s") if late.is_set() else ("failed", str(e)[-300:])
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
 def ready(spark: SparkSession, steps: list[Step]) -> DataFrame:
     """(name, enabled, ready): which outputs are there."""
     return spark.createDataFrame([(s.name, s.enabled, exists(spark, f"{s.output}/_SUCCESS")) for s in steps], "name string, enabled boolean, ready boolean")

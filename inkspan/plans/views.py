@@ -10,6 +10,7 @@ from ..functions.dates import coerce_date, quarter_label
 from ..functions.tags import normalize_tags, primary_tag
 from ..functions.taxonomy import DEFAULT, Taxonomy
 from ..functions.text import fallback_id
+from ..operators.joins import union_all
 
 
 
@@ -71,6 +72,16 @@ def documents(df: DataFrame, taxonomy: Taxonomy = DEFAULT, keep_undated: bool =
     return out.withColumns({"tag_count": F.size("fraud_tags"), "signal_count": S.signal_count("signals") + F.size("keyword_signals"), "primary_tag": primary_tag("text", "fraud_tags", taxonomy)})
 
 
+def with_bodies(df: DataFrame, wide: list[DataFrame], key: str = "doc_id") -> DataFrame:
+    """Adds body_1..N of all sources' wide tables by ``key``. Tables are united by name, so none loses a column to
+    another, and a key that two have keeps the first that isn't null of each column."""
+    bodies = [w.select(key, *[c for c in w.columns if c.startswith("body_") and c[5:].isdigit()]) for w in wide]
+    every = union_all(bodies)
+    names = sorted((c for c in every.columns if c != key), key=lambda c: int(c[5:]))
+    once = every.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+    return df.join(once, key, "left")
+
+
 def tag_rows(view: DataFrame, others: bool = False) -> DataFrame:
     """A row for each tag; null, blank and (unless wanted) 'other' tags fall away."""
     out = view.withColumn("fraud_tag", F.explode("fraud_tags")).where("fraud_tag is not null and fraud_tag <> ''")

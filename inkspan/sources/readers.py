@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import first_of
+from ..functions.text import first_of, normalize_space, stable_id
 
 
 def _strings(names: str) -> T.StructType:
@@ -31,6 +34,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def landing(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where that is unset and the
+    session runs in one process, in a temporary one."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.gettempdir()
+    return f"{where.rstrip('/')}/inkspan-{name}-{uuid.uuid4().hex}"
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None) -> DataFrame:
     """JSON lines; blank lines are none. ``source`` names the rows, and what they said themselves becomes
     source_detail."""
@@ -66,6 +81,16 @@ def feed(spark: SparkSession, path: str, name: str) -> DataFrame:
     return out.where(F.col("url").startswith("http"))
 
 
+def feed_articles(items: DataFrame, order: str | Column = "published_raw") -> DataFrame:
+    """One article for each url of ``feed`` rows, the last in ``order`` winning: title, description as its body,
+    topics. ``order`` tells which feed, or which item, came later."""
+    body = normalize_space(F.regexp_replace(F.coalesce("description", F.lit("")), r"<[^>]+>", " "))
+    rows = items.select("url", normalize_space("title_hint").alias("title"), body.alias("body_raw"), "published_raw", F.col("source_feed").alias("source"), F.transform("topics", normalize_space).alias("topics"), (F.col(order) if isinstance(order, str) else order).alias("_order"))
+    rows = rows.withColumn("topics", F.sort_array(F.array_distinct(F.filter("topics", lambda t: t != ""))))
+    best = rows.groupBy("url").agg(F.max_by(F.struct("title", "body_raw", "published_raw", "source", "topics"), "_order").alias("r"))
+    return best.select(stable_id("url").alias("doc_id"), "url", "r.*")
+
+
 def archive_index(df: DataFrame, body: str = "body", limit: int | None = None, since: str | None = None, until: str | None = None, source: str = "archive") -> DataFrame:
     """Rows of a web archive's index: a JSON matrix with its header first.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "url string, status int, fetched_at timestamp, html string, error string"
@@ -56,3 +57,36 @@ class WebPages(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WebPages)
+
+
+def crawl(spark: SparkSession, page_url: Callable[[int], str], links: Callable[[DataFrame], DataFrame], pages: int = 50, first: int = 1, at_once: int = 1, stop_without_new: bool = False, **options: str) -> DataFrame:
+    """Listing rows of a paginated listing: page after page, until one has no link, or (if wanted) no new one.
+
+    ``links`` turns fetched pages (page_no, url, html) into rows with a ``url``; ``at_once`` pages are fetched
+    together. Each url stays with the first page that had it, and pages beyond the one that ended the listing don't
+    count. What is kept of a listing is bounded by its number of pages, not by a corpus.
+    """
+    register(spark)
+    found: list[tuple] = []
+    seen: set[str] = set()
+    schema = None
+    for begin in range(first, first + pages, at_once):
+        numbers = range(begin, min(begin + at_once, first + pages))
+        wanted = spark.createDataFrame([(page_url(n), n) for n in numbers], "url string, page_no int")
+        fetched = spark.read.format("webpages").options(urls="\n".join(map(page_url, numbers)), **options).load()
+        rows = links(fetched.join(F.broadcast(wanted), "url").select("page_no", "url", "html"))
+        schema, own = rows.schema, rows.collect()
+        for n in numbers:
+            page = [r for r in own if r["page_no"] == n]
+            news = [r for r in {r["url"]: r for r in reversed(page)}.values() if r["url"] not in seen]
+            found += sorted(map(tuple, news), key=str)
+            seen |= {r["url"] for r in news}
+            if not page or stop_without_new and not news:
+                return spark.createDataFrame(found, schema)
+    return spark.createDataFrame(found, schema) if schema else spark.createDataFrame([], "page_no int, url string")
+
+
+def last_page(html: Column | str) -> Column:
+    """The largest page number that a listing's pagination links show, else 1."""
+    numbers = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r'href="[^"]*/page/(\d+)'), F.lit(1))
+    return F.coalesce(F.array_max(F.transform(numbers, lambda n: n.cast("int"))), F.lit(1))

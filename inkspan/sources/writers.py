@@ -23,8 +23,13 @@ def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def json_array(df: DataFrame) -> DataFrame:
-    """One row whose value is the table as a JSON array: for small results, which fit one row."""
-    return df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value"))
+    """Rows ``value`` that make one JSON array when they are written as lines in their order: a bracket, an object a
+    line with its comma, a bracket. No row holds the table, so it may be of any size."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"), F.monotonically_increasing_id().alias("i"))
+    first = F.broadcast(rows.agg(F.min("i").alias("first")))
+    lines = rows.join(first).select((F.col("i") + 1).alias("i"), F.concat(F.when(F.col("i") == F.col("first"), F.lit("  ")).otherwise(F.lit(", ")), "j").alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, "["), ((1 << 63) - 1, "]")], "i long, value string")
+    return lines.union(ends).orderBy("i").select("value")
 
 
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

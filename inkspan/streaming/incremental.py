@@ -33,10 +33,11 @@ def tagged(stream: DataFrame, text: str, taxonomy: Taxonomy = DEFAULT) -> DataFr
     return stream.withColumn("fraud_tags", pattern_tags(text, taxonomy))
 
 
-def windowed_tag_counts(stream: DataFrame, time: str, window: str = "7 days", delay: str = "1 day") -> DataFrame:
-    """(period_start, period_end, fraud_tag, count); rows later than ``delay`` are too late."""
+def windowed_tag_counts(stream: DataFrame, time: str, window: str = "7 days", delay: str = "1 day", start: str | None = None) -> DataFrame:
+    """(period_start, period_end, fraud_tag, count); rows later than ``delay`` are too late. Windows begin ``start``
+    after the epoch's, which was a Thursday: '4 days' makes weeks begin on Mondays."""
     rows = stream.withWatermark(time, delay).select(time, F.explode("fraud_tags").alias("fraud_tag"))
-    return rows.groupBy(F.window(time, window), "fraud_tag").agg(F.count("*").alias("count")).select(F.col("window.start").alias("period_start"), F.col("window.end").alias("period_end"), "fraud_tag", "count")
+    return rows.groupBy(F.window(time, window, None, start), "fraud_tag").agg(F.count("*").alias("count")).select(F.col("window.start").alias("period_start"), F.col("window.end").alias("period_end"), "fraud_tag", "count")
 
 
 def run_batch(new: DataFrame, path: str, key: str = "doc_id", limit: int | None = None, order: str | None = None) -> DataFrame:

@@ -65,7 +65,9 @@ def test_writers(spark, tmp_path):
     assert writers.flat_master(df, True).columns == ["doc_id", "fraud_tags", "body", "body_1", "body_2"]
     writers.json_lines(df, str(tmp_path / "o"))
     assert json.loads("".join(x.read_text() for x in (tmp_path / "o").glob("part*")))["body"] is None
-    assert json.loads(writers.json_array(df).collect()[0][0])[0]["doc_id"] == "1"
+    assert json.loads("".join(r[0] for r in writers.json_array(df).collect()))[0]["doc_id"] == "1"
+    empty = [r[0] for r in writers.json_array(df.limit(0)).collect()]
+    assert json.loads("".join(empty)) == []
     good, bad = writers.split_failures(df, "body is not null")
     assert (good.count(), bad.count()) == (0, 1)
 
@@ -108,3 +110,30 @@ def test_notices(spark):
     assert set(rows) == {"https://g.gov/1", "https://g.gov/fin-2021-a004"}
     doc = spark.createDataFrame([([(1, "native", "word " * 40), (2, "native", "x")],)], "pages array<struct<page_num int, method string, text string>>")
     assert notices.with_page_decisions(doc).collect()[0]["ocr_wanted"] == [2]
+
+
+def test_a_crawl_ends_where_nothing_is_new(spark):
+    """With ``stop_without_new`` at the first page that only repeats; pages fetched together give the same rows."""
+    def page(n):
+        return "data:text/html," + "".join(f'<a href="https://l.org/{i}">t</a>' for i in range(min(n, 3)))
+
+    def links(pages):
+        return html.extract_links(pages, "page_no").select("page_no", "url")
+
+    for at_once in (1, 3):
+        rows = web.crawl(spark, page, links, pages=6, at_once=at_once, stop_without_new=True, pause="0").collect()
+        assert sorted(tuple(r) for r in rows) == [(1, "https://l.org/0"), (2, "https://l.org/1"), (3, "https://l.org/2")]
+
+
+# Characters of cleaned documents, and their chunks: how many, the shortest, the longest.
+CHUNKED = [(3452, 4, 452, 1200), (12818, 13, 800, 1200), (19958, 20, 905, 1200), (27269, 28, 221, 1200), (31186, 31, 1113, 1200), (38231, 38, 1134, 1200), (47258, 47, 1075, 1200)]
+
+
+def test_chunk_counts_of_known_documents(spark):
+    """Windows of 1200 characters every 1000. Cleaning takes characters away first, so a last window may fall away."""
+    from inkspan.operators import chunks
+
+    made = spark.createDataFrame([(n, "x" * n) for n, *_ in CHUNKED], "n int, body string")
+    own = {r["n"]: r for r in chunks.chunk_summary(chunks.chunk_rows(made, "body", ["n"], clean=False), ["n"]).collect()}
+    for n, total, least, most in CHUNKED:
+        assert own[n]["total_chunks"] - total in (0, 1) and own[n]["max_chunk_length"] == most and 150 < least <= most
