@@ -56,7 +56,8 @@ def filled_trend(df: DataFrame, interval: str, date: str = "date") -> DataFrame:
 def period_change(df: DataFrame, interval: str, tag: str = "primary_tag", date: str = "date", weight: str | None = None) -> DataFrame:
     """(tag, previous, current, delta, pct): the last full period against the one before; a previous 0 divides as 1.
 
-    Of three periods or more the last is still open, so the second and third last are compared; of two, both.
+    Of three periods or more the last is still open, so the second and third last are compared; of two, both. Periods
+    are ranked in one task and broadcast: there are as many as weeks, months, quarters or years, whatever the rows.
     """
     counts = periods(df, interval, date).groupBy("period", tag).agg(_amount(weight).alias("n"))
     steps = counts.select("period").distinct().withColumns({"place": F.row_number().over(Window.orderBy(F.desc("period"))), "all": F.count("*").over(Window.partitionBy())})
@@ -69,11 +70,13 @@ def period_change(df: DataFrame, interval: str, tag: str = "primary_tag", date:
 def year_to_date(df: DataFrame, tag: str = "primary_tag", date: str = "date") -> DataFrame:
     """(tag, previous, current, delta, pct): the latest date's year against the one before, both up to its day of the
     year; only tags that the current year has."""
-    latest = df.agg(F.max(date).alias("_last"))
-    rows = df.join(F.broadcast(latest)).where(F.dayofyear(date) <= F.dayofyear("_last"))
-    back = F.year("_last") - F.year(date)
-    out = rows.groupBy(tag).agg(F.count_if(back == 1).alias("previous"), F.count_if(back == 0).alias("current")).where("current > 0")
-    return _with_change(out, tag)
+    # Counts by tag and day first: both readers below share that one aggregate, so the table is read once.
+    days = df.groupBy(tag, F.to_date(date).alias("_day")).agg(F.count("*").alias("_n"))
+    last = days.agg(F.max("_day").alias("_last"))
+    rows = days.join(F.broadcast(last)).where(F.dayofyear("_day") <= F.dayofyear("_last"))
+    back = F.year("_last") - F.year("_day")
+    amount = lambda years: F.coalesce(F.sum(F.when(back == years, F.col("_n"))), F.lit(0)).alias("previous" if years else "current")
+    return _with_change(rows.groupBy(tag).agg(amount(1), amount(0)).where("current > 0"), tag)
 
 
 def _with_change(df: DataFrame, tag: str) -> DataFrame:
