@@ -70,7 +70,7 @@ def period_change(df: DataFrame, interval: str, tag: str = "primary_tag", date:
 def year_to_date(df: DataFrame, tag: str = "primary_tag", date: str = "date") -> DataFrame:
     """(tag, previous, current, delta, pct): the latest date's year against the one before, both up to its day of the
     year; only tags that the current year has."""
-    # Counts by tag and day first: both readers below share that one aggregate, so the table is read once.
+    # Counts by tag and day first, so that days meet the latest one, not rows; that one is read of the dates alone.
     days = df.groupBy(tag, F.to_date(date).alias("_day")).agg(F.count("*").alias("_n"))
     last = days.agg(F.max("_day").alias("_last"))
     rows = days.join(F.broadcast(last)).where(F.dayofyear("_day") <= F.dayofyear("_last"))
