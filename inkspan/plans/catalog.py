@@ -235,7 +235,7 @@ def html_heading(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_articles(spark: SparkSession, d: str) -> DataFrame:
-    return html.extract_articles(_table(spark, d, "pages"))
+    return html.extract_articles(_table(spark, d, "pages")).withColumn("topics", _joined(F.col("topics")))
 
 
 def html_links(spark: SparkSession, d: str) -> DataFrame:
@@ -356,6 +356,14 @@ def _space(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 
 
+def _plain(x: str) -> str:
+    """A fragment's text: tags are spaces, the four entities of the pages' texts are read."""
+    bare = rf"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for entity, c in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
+        bare = f"replace({bare}, '{entity}', {c})"
+    return _space(bare)
+
+
 ORACLE_SQL = {
     "category_distribution": f"WITH {_ROWS_SQL} SELECT fraud_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (), 1) AS pct FROM tag_rows GROUP BY fraud_tag",
     "tag_counts_by_source": f"WITH {_ROWS_SQL}, top AS (SELECT fraud_tag FROM tag_rows GROUP BY fraud_tag ORDER BY count(*) DESC, fraud_tag LIMIT 3) SELECT source, fraud_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (PARTITION BY source), 1) AS share FROM tag_rows WHERE fraud_tag IN (SELECT fraud_tag FROM top) GROUP BY source, fraud_tag",
@@ -391,6 +399,13 @@ ORACLE_SQL = {
     "narrative_themes": r"SELECT word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[''’]s\b', '', 'g'), '\p{L}{2,}')) AS word FROM documents) WHERE word NOT IN ('the', 'of', 'and', 'der', 'die', 'de', 'la', 'el') GROUP BY word ORDER BY count(*) DESC, word LIMIT 50",
     "stable_id": "SELECT page_id, substring(sha1(url), 1, 14) AS stable_id, CASE WHEN rtrim(url, '/') LIKE 'http://%' OR rtrim(url, '/') LIKE 'https://%' THEN rtrim(url, '/') ELSE 'https://' || rtrim(url, '/') END AS url FROM pages",
     "html_heading": r"WITH h AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, len(regexp_extract_all(html, 'href=" + '"' + "([^" + '"' + "]*)" + '"' + r"', 1)) AS n_links FROM h",
+    "html_links": r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS hints FROM pages),
+r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS base, unnest(hrefs) AS href, unnest(hints) AS hint, unnest(range(0, len(hrefs))) AS place FROM a),
+f AS (SELECT page_id, base || href AS url, arg_min(hint, place) AS title_hint, min(place) AS place FROM r GROUP BY 1, 2)
+SELECT page_id, url, replace(replace(title_hint, '&amp;', '&'), '&lt;', '<') AS title_hint, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS INTEGER) AS position FROM f""",
+    "html_articles": rf"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, html FROM pages),
+t AS (SELECT page_id, {_plain("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, {_plain("title")} AS title, {_plain("article")} AS body, list_filter(list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda x: {_plain("x")}), lambda x: length(x) > 40) AS ps FROM p)
+SELECT page_id, CASE WHEN length(h1) > 5 THEN h1 ELSE title END AS title, '' AS published_raw, CASE WHEN length(body) > 50 THEN body ELSE array_to_string(ps, ' ') END AS body_raw, '' AS topics FROM t""",
     "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "union_distinct": "SELECT c_nationkey AS nation, 'customer' AS kind FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier",
     "year_counts_aligned": "SELECT o_orderpriority AS tag, count(*) FILTER (WHERE year(o_orderdate) = 1995) AS previous, count(*) FILTER (WHERE year(o_orderdate) = 1996) AS current FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY o_orderpriority",
