@@ -5,21 +5,26 @@ runs over different ones. Each gets a row of distances to many reference fingerp
 to any pivot differ by more than the radius can't be within it, and only pairs that no pivot rules out are verified.
 
 On random fingerprints pivot distances cluster about 32, so the tables alone would leave all pairs to look at. They
-are therefore applied within partitions that lose no pair: the 64 bits fall into ``radius + 2`` blocks, two
-fingerprints within the radius agree on at least two blocks, and each pair of blocks is a partition key. A partition
+are therefore applied within partitions that lose no pair: the 64 bits fall into ``radius + k`` blocks, two
+fingerprints within the radius agree on at least k blocks, and each k blocks are a partition key; k is 2, and more if
+there are so many fingerprints that keys would be crowded. A partition
 larger than one task should hold is cut into pieces, and each two pieces meet in a task of their own. A task sends on
 a spanning forest of its links, never all pairs of a group, so what is sent grows with fingerprints, not pairs.
 Components are then found by star contraction on the links.
 
 A radius wide enough for texts that share four fifths of their shingles has no such blocks. ``one_of_each`` therefore
 takes wide fingerprints (four words of 64 bits) and, as partition keys, pairs of the text's smallest shingle hashes
-under six orders: texts of similarity 0.8 agree on at least two of the six in 998 of 1000 cases. There fingerprints
-only rule pairs out. What is left is verified by the shingles themselves, nearest pairs first; pairs that verified
-links connect already are no news, so a large group of near copies doesn't cost its square.
+under six orders: texts of similarity 0.8 agree on at least two of the six in 998 of 1000 cases. Distances to random
+pivots tell nothing at that radius, so pivots are taken from the partition's own fingerprints, each as far from the
+others as can be: what is near one of them is ruled out for all that is not. What is left is verified by the shingles
+themselves. First each text meets the nearest of its partitions' leaders, which connects most copies at the cost of
+one pair a text. Partitions that still hold more than one component are then searched with their shingles at hand:
+a task sends on the links that it finds, never the pairs that it looks at.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick, table, written
+from .common import arrow_batches, bitmaps, pick, table, with_mark, written
 
 SEED = 42
 RADIUS = 4
@@ -41,12 +46,10 @@ PIVOTS = 16
 WIDE, WIDE_RADIUS = 4, 64
 #: Near copies share so much of their shingles: a fraction.
 ALIKE = (4, 5)
-#: Each text's nearest candidates that are verified in the first round; each later round takes so many times more.
-NEAREST = 8
 #: Orders whose smallest shingle hashes are partition keys of wide fingerprints.
 ORDERS = 6
-#: Fingerprints of one partition key that a task takes at once.
-PIECE = 4096
+#: Fingerprints of one partition key that a task takes at once, and shingles of one piece.
+PIECE, PIECE_SHINGLES = 4096, 1 << 19
 
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -136,9 +139,15 @@ def wide_fingerprints(documents: DataFrame, size: int) -> DataFrame:
     return placed(documents).mapInArrow(_wide(size), ", ".join(f"{n} bigint" for n in ["doc_id", "place", "node", "n", *[f"p{k}" for k in range(WIDE)], *[f"m{k}" for k in range(ORDERS)]]))
 
 
-def blocks(radius: int) -> list[int]:
-    """Masks of radius + 2 runs of bits that make up all 64."""
-    cuts = np.linspace(0, 64, radius + 3).round().astype(int)
+def agreeing(n: int, radius: int) -> int:
+    """How many blocks a key takes, so that a key has about PIECE of ``n`` fingerprints spread evenly, at most. Any
+    number loses no pair; more blocks make longer keys, and more of them."""
+    return next((k for k in range(2, 8) if n >> 64 * k // (radius + k) <= PIECE), 8)
+
+
+def blocks(radius: int, agree: int = 2) -> list[int]:
+    """Masks of radius + agree runs of bits that make up all 64: within the radius so many of them agree."""
+    cuts = np.linspace(0, 64, radius + agree + 1).round().astype(int)
     return [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -155,8 +164,7 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int, count: int = PIVOTS)
     """A spanning forest of the links within ``a``, or between ``a`` and ``b``: rows (i, j) of places in a, then b.
 
     Fingerprints are rows of 64-bit words. Pairs already in one tree are no news. Of the others, those whose largest
-    difference of pivot distances exceeds the radius fall away one coordinate after another, and what is left is
-    verified.
+    difference of pivot distances exceeds the radius fall away, and what is left is verified.
     """
     every = a if b is None else np.concatenate([a, b])
     far = np.stack([np.bitwise_count(every ^ p).sum(1, dtype=np.int16) for p in pivots(count, every.shape[1])], 1)
@@ -168,10 +176,7 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int, count: int = PIVOTS)
         low, high = np.searchsorted(first, [far[i, 0] - radius, far[i, 0] + radius + 1])
         near = later[low:high]
         near = near[tree[near] != tree[i]]
-        for k in range(1, count):
-            if len(near) < 16:
-                break
-            near = near[np.abs(far[near, k] - far[i, k]) <= radius]
+        near = near[np.abs(far[near] - far[i]).max(1) <= radius]
         near = near[np.bitwise_count(every[near] ^ every[i]).sum(1, dtype=np.int16) <= radius]
         if len(near):
             others, at = np.unique(tree[near], return_index=True)
@@ -219,10 +224,10 @@ def _grouped_links(radius: int):
     return run
 
 
-def _meeting(rows: DataFrame, columns: list[str], keys: list[Column]) -> DataFrame:
-    """(key, code, pieces, own, node, columns): each row under each pair of ``keys`` that another row has too."""
-    pairs = [F.struct(F.lit(k).cast("long").alias("code"), F.xxhash64(x, y).alias("key")) for k, (x, y) in enumerate(combinations(keys, 2))]
-    keyed = rows.select("node", *columns, F.explode(F.array(*pairs)).alias("c")).select("node", *columns, "c.code", "c.key")
+def _meeting(rows: DataFrame, columns: list[str], keys: list[Column], agree: int) -> DataFrame:
+    """(key, code, pieces, own, node, columns): each row under each ``agree`` of ``keys`` that another row has too."""
+    own = [F.struct(F.lit(k).cast("long").alias("code"), F.xxhash64(*some).alias("key")) for k, some in enumerate(combinations(keys, agree))]
+    keyed = rows.select("node", *columns, F.explode(F.array(*own)).alias("c")).select("node", *columns, "c.code", "c.key")
     sizes = keyed.groupBy("code", "key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     # Keys of one fingerprint alone fall away here; the rest is cut into pieces by a hash.
     pieces = F.ceil(F.col("n_rows") / PIECE).cast("long")
@@ -241,91 +246,150 @@ def _dealt(tasks: DataFrame) -> DataFrame:
     return tasks.repartition("key", "code", "pair").sortWithinPartitions("key", "code", "pair")
 
 
-def near_links(rows: DataFrame, words: list[str], keys: list[Column], radius: int) -> DataFrame:
-    """(a, b): links between nodes that connect all that are within the radius and agree on two of ``keys``.
+def near_links(rows: DataFrame, words: list[str], keys: list[Column], radius: int, agree: int = 2) -> DataFrame:
+    """(a, b): links between nodes that connect all that are within the radius and agree on so many of ``keys``.
 
     ``rows`` has a column node and the fingerprints' ``words``. Not each link is listed, but each component is.
     """
-    tasks = _tasks(_meeting(rows, words, keys), words)
+    tasks = _tasks(_meeting(rows, words, keys, agree), words)
     return _dealt(tasks).mapInArrow(_grouped_links(radius), "a bigint, b bigint").distinct()
 
 
-def candidates(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs (i, j) of places in a and b: of each i the candidates of ranks ``low`` up to ``high``, nearest first, that
-    aren't connected yet; and whether any unconnected one ranks beyond.
-
-    Rows are node, label, number of shingles and fingerprint. Candidates are within WIDE_RADIUS, and their numbers of
-    shingles allow the similarity.
+def far_apart(prints: np.ndarray, count: int = PIVOTS) -> np.ndarray:
+    """Distances of each fingerprint to ``count`` of them, each pivot the one farthest from those before it."""
+    out, nearest, at = [], np.full(len(prints), 1 << 14, np.int16), 0
+    for _ in range(min(count, len(prints))):
+        out.append(np.bitwise_count(prints ^ prints[at]).sum(1, dtype=np.int16))
+        nearest = np.minimum(nearest, out[-1])
+        at = int(nearest.argmax())
+        if not nearest[at]:
+            break
+    return np.stack(out, 1)
+
+
+_CODES = list(combinations(range(ORDERS), 2))
+#: Of each set of agreeing orders, as bits, the first of its pairs: only there the two texts are compared.
+_FIRST = np.array([next((k for k, (x, y) in enumerate(_CODES) if bits >> x & bits >> y & 1), -1) for bits in range(1 << ORDERS)])
+
+
+class Group:
+    """Rows that share a key, or two pieces of them: columns node, label, n, fingerprint, smallest hashes; and sets."""
+
+    def __init__(self, columns: np.ndarray, sets: list[np.ndarray]):
+        self.node, self.n = columns[:, 0], columns[:, 2]
+        self.tree = np.unique(columns[:, 1], return_inverse=True)[1]
+        self.prints = np.ascontiguousarray(columns[:, 3 : 3 + WIDE]).view(np.uint64)
+        self.least = columns[:, 3 + WIDE :]
+        # For each shingle the rows that have it.
+        self.begins = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+        self.ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        self.owners = np.repeat(np.arange(len(sets), dtype=np.int32), np.diff(self.begins))[np.argsort(self.ids, kind="stable")]
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.ids))])
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many shingles each row shares with row i."""
+        own = self.ids[self.begins[i] : self.begins[i + 1]]
+        sizes = self.lists[own + 1] - self.lists[own]
+        at = np.repeat(self.lists[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.owners[at], minlength=len(self.node))
+
+
+def alike(group: Group, code: int, split: int | None = None, tally: Counter | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) between near copies that connect all that this group connects, labels taken for connected.
+
+    With ``split``, rows from that place on are another piece, and only pairs across are looked at. A pair is looked
+    at under the first of its common keys. Pairs whose distances to a pivot differ by more than the radius are
+    discarded; of the others fingerprints are compared, and what is within the radius is verified by shared shingles.
+    ``tally`` counts each.
     """
-    out, more = [], False
-    theirs, (part, whole) = np.ascontiguousarray(b[:, 3:]).view(np.uint64), ALIKE
-    for begin in range(0, len(a), 64):
-        own = a[begin : begin + 64]
-        apart = np.bitwise_count(np.ascontiguousarray(own[:, 3:]).view(np.uint64)[:, None] ^ theirs).sum(2, dtype=np.int16)
-        n, m = own[:, 2:3], b[:, 2]
-        near = (apart <= WIDE_RADIUS) & (whole * np.minimum(n, m) >= part * np.maximum(n, m)) & (own[:, :1] != b[:, 0])
-        for i in np.flatnonzero(near.sum(1) > low).tolist():
-            js = np.flatnonzero(near[i])
-            # Ranks don't depend on the order of rows, and no node is first for all.
-            js = js[np.lexsort((b[js, 0] ^ own[i, 0], apart[i, js]))]
-            news = b[js, 1] != own[i, 1]
-            out += [(begin + i, j) for j in js[low:high][news[low:high]].tolist()]
-            more = more or bool(news[high:].any())
-    return out, more
-
-
-def _grouped_candidates(low: int, high: int):
-    """Rows sorted by (key, code, pair), then side and the columns of ``candidates``. A group that has more gives a row
-    of its own key and no pair."""
-    names = ["a", "b", "key", "code", "pair"]
-
-    def solve(group: np.ndarray) -> list[tuple]:
-        own, a, b = group[0, :3].tolist(), group[group[:, 3] == 0, 4:], group[group[:, 3] == 1, 4:]
-        # A piece meets itself, or another: then both sides look for their nearest.
-        sides = [(a, b), (b, a)] if len(b) else [(a, a)]
-        pairs, more = set(), False
-        for x, y in sides:
-            found, rest = candidates(x, y, low, high)
-            more = more or rest
-            for i, j in found:
-                p, q = int(x[i, 0]), int(y[j, 0])
-                pairs.add((min(p, q), max(p, q)))
-        return [(p, q, *own) for p, q in sorted(pairs)] + ([(None, None, *own)] if more else [])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-        for batch in batches:
-            table = np.stack([np.asarray(c) for c in batch.columns], 1)
-            if not len(table):
+    (part, whole), tree, n = ALIKE, group.tree, len(group.node)
+    far = far_apart(group.prints)
+    other, out = np.ascontiguousarray(far.T), []
+    for begin in range(0, n if split is None else split, 64):
+        end = min(begin + 64, n if split is None else split)
+        rows = np.arange(begin, end)
+        possible = (np.arange(n) > rows[:, None]) if split is None else np.broadcast_to(np.arange(n) >= split, (len(rows), n)).copy()
+        possible &= tree[rows][:, None] != tree
+        pairs = int(possible.sum())
+        for k in range(len(other)):
+            possible &= np.abs(far[rows, k : k + 1] - other[k]) <= WIDE_RADIUS
+        x, y = np.nonzero(possible)
+        apart = np.bitwise_count(group.prints[rows[x]] ^ group.prints[y]).sum(1, dtype=np.int16)
+        near = (apart <= WIDE_RADIUS) & (whole * np.minimum(group.n[rows[x]], group.n[y]) >= part * np.maximum(group.n[rows[x]], group.n[y]))
+        if tally is not None:
+            tally.update(pairs=pairs, compared=len(x), near=int(near.sum()))
+        x, y = x[near], y[near]
+        agree = ((group.least[rows[x]] == group.least[y]) << np.arange(ORDERS)).sum(1)
+        here = _FIRST[agree] == code
+        x, y = x[here], y[here]
+        cuts = np.searchsorted(x, np.arange(len(rows) + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            i, js = int(rows[k]), y[cuts[k] : cuts[k + 1]]
+            js = js[tree[js] != tree[i]]
+            if not len(js):
                 continue
-            cuts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(1)) + 1
-            found: list[tuple] = []
-            for own in np.split(table, cuts):
-                if rest and (own[0, :3] != rest[0][0, :3]).any():
-                    found += solve(np.concatenate(rest))
-                    rest = []
-                rest.append(own)
-            yield batch_of(found)
-        if rest:
-            yield batch_of(solve(np.concatenate(rest)))
+            both = group.shared(i)[js]
+            js = js[whole * both >= part * (group.n[i] + group.n[js] - both)]
+            trees, first = np.unique(tree[js], return_index=True)
+            out += [(i, j) for j in js[first].tolist()]
+            if len(trees):
+                tree[np.isin(tree, trees)] = tree[i]
+    return out
+
+
+def _grouped_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, pair), then code, side, the columns of ``Group`` and hashes."""
+    key, numbers, sets = None, [], []
+
+    def solve() -> pa.RecordBatch:
+        table = np.concatenate(numbers)
+        order = np.argsort(table[:, 1], kind="stable")
+        split = int((table[:, 1] == 0).sum())
+        pairs = []
+        if len(order) > 1 and split:
+            group = Group(table[order, 2:], [sets[i] for i in order.tolist()])
+            pairs = alike(group, int(table[0, 0]), split if split < len(order) else None)
+            pairs = [(int(group.node[i]), int(group.node[j])) for i, j in pairs]
+        columns = list(zip(*[(min(p), max(p)) for p in pairs])) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.stack([np.asarray(c) for c in batch.columns[:-1]], 1)
+        cuts = [0, *(np.flatnonzero((table[1:, :2] != table[:-1, :2]).any(1)) + 1).tolist(), len(table)]
+        hashes = batch.column(batch.num_columns - 1)
+        for a, b in zip(cuts, cuts[1:]):
+            if key is not None and (table[a, :2] != key).any():
+                yield solve()
+                numbers, sets = [], []
+            key = table[a, :2]
+            numbers.append(table[a:b, 2:])
+            sets += [np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in range(a, b)]
+    if numbers:
+        yield solve()
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text, size).tobytes() for text in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+            nodes, sets = [], []
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                hashes = shingle_set(text, size)
+                if len(hashes):
+                    nodes.append(_digest(hashes))
+                    sets.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
     return run
 
 
+def shingle_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of the rows (doc_id, place) that are wanted, and of a few more: no text is shuffled for it."""
+    marked = with_mark(placed(documents), bitmaps(wanted, "doc_id", "place"), "doc_id", "place")
+    return marked.where("_marked").select("text").mapInArrow(_sets(size), "node bigint, hashes binary")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, whole = ALIKE
     for batch in batches:
@@ -337,42 +401,66 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, least: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """Those of (a, b) whose shingles are alike, by the texts of the nodes themselves."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = least.join(nodes, "node", "left_semi").select("doc_id", "place", "node")
-    texts = placed(documents).join(wanted.hint("shuffle_hash"), ["doc_id", "place"]).select("node", "text")
-    sets = written(texts.mapInArrow(_sets(size), "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of (a, b) whose sets of shingles are alike."""
+    pairs = small_or_shuffled(pairs)
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_alike, "a bigint, b bigint")
 
 
+def small_or_shuffled(pairs: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Pairs of numbers with a broadcast hint, if they are so few."""
+    return F.broadcast(pairs) if pairs.limit(rows + 1).count() <= rows else pairs
+
+
+def _together(least: DataFrame, words: list[str], keys: list[Column]) -> DataFrame:
+    """(key, code, pieces, own, node, words): each node under each pair of ``keys`` that another node has too.
+
+    Only numbers of keys and nodes meet to find that out; fingerprints follow for the nodes that are left.
+    """
+    pairs = [F.xxhash64(F.lit(k), keys[x], keys[y]) for k, (x, y) in enumerate(_CODES)]
+    keyed = least.select("node", "n", F.posexplode(F.array(*pairs)).alias("code", "key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_shingles")).where("n_rows > 1")
+    pieces = F.greatest(F.ceil(F.col("n_rows") / PIECE), F.ceil(F.col("n_shingles") / PIECE_SHINGLES)).cast("long")
+    met = keyed.join(sizes, "key").select("key", F.col("code").cast("long").alias("code"), "node", pieces.alias("pieces"))
+    return met.join(least.select("node", *words), "node").select("key", "code", "pieces", F.pmod(F.xxhash64("node"), "pieces").alias("own"), "node", *words)
+
+
+def _led(met: DataFrame) -> DataFrame:
+    """(a, b): of each node the nearest of its keys' leaders that is within the radius.
+
+    A leader is a key's smallest node: minima are taken before the shuffle, and a node takes part in one pair only.
+    """
+    prints = [f"p{k}" for k in range(WIDE)]
+    part, whole = ALIKE
+    leaders = met.groupBy("key").agg(F.min(F.struct("node", "n", *prints)).alias("l"))
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"l.{p}"))) for p in prints), F.lit(0))
+    near = met.join(leaders, "key").where(F.col("node") != F.col("l.node")).withColumn("apart", apart)
+    near = near.where((F.col("apart") <= WIDE_RADIUS) & (whole * F.least("n", "l.n") >= part * F.greatest("n", "l.n")))
+    best = near.groupBy("node").agg(F.min(F.struct("apart", F.col("l.node").alias("leader"))).alias("m"))
+    return best.select(F.least("node", "m.leader").alias("a"), F.greatest("node", "m.leader").alias("b")).distinct()
+
+
 def alike_components(least: DataFrame, documents: DataFrame, size: int) -> DataFrame:
     """(node, root) of all nodes that links between near copies reach.
 
-    ``least`` has a row of ``wide_fingerprints`` for each node. Every candidate pair is verified, except those of
-    texts that are in one component already.
+    ``least`` has a row of ``wide_fingerprints`` for each node. Every pair of a key within the radius is verified,
+    except those of texts that are in one component already.
     """
-    words = ["n", *[f"p{k}" for k in range(WIDE)]]
-    met = written(_meeting(least, words, [F.col(f"m{k}") for k in range(ORDERS)]), "met")
-    low, high, edges, groups, left = 0, NEAREST, None, None, None
-    while True:
-        rows = met.withColumn("label", F.col("node"))
-        if groups is not None:
-            rows = met.join(groups, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        tasks = _tasks(rows, ["label", *words])
-        if left is not None:
-            tasks = tasks.join(left, ["key", "code", "pair"], "left_semi")
-        found = _dealt(tasks).mapInArrow(_grouped_candidates(low, high), "a bigint, b bigint, key bigint, code bigint, pair bigint")
-        found = written(found, "candidates")
-        links = written(verified(found.where("a is not null").select("a", "b").distinct(), least, documents, size), "alike")
-        edges = links if edges is None else edges.union(links)
-        groups = components(edges)
-        left = found.where("a is null").select("key", "code", "pair")
-        if left.isEmpty():
-            return groups
-        low, high = high, high * NEAREST
+    words = ["n", *[f"p{k}" for k in range(WIDE)], *[f"m{k}" for k in range(ORDERS)]]
+    met = written(_together(least, words, [F.col(f"m{k}") for k in range(ORDERS)]), "met")
+    wanted = least.select("doc_id", "place", "node").join(met.select("node").distinct(), "node", "left_semi")
+    sets = written(shingle_sets(documents, wanted, size).dropDuplicates(["node"]), "sets")
+    led = written(verified(written(_led(met), "led"), sets), "alike")
+    groups = components(led)
+    rows = met.join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    # A key whose nodes are all connected has nothing to say.
+    open_keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    rows = rows.join(open_keys, "key", "left_semi").join(sets, "node")
+    tasks = _tasks(rows, ["label", *words, "hashes"]).select("key", "pair", "code", "side", "node", "label", *words, "hashes")
+    found = tasks.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_grouped_alike, "a bigint, b bigint")
+    return components(led.union(found))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -406,9 +494,10 @@ def near_components(documents: DataFrame, size: int = 4, radius: int = RADIUS) -
     Repeated rows and ids stay.
     """
     prints = written(fingerprints(documents, size), "prints")
-    least = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    keys = [F.col("node").bitwiseAND(F.lit(signed(m))) for m in blocks(radius)]
-    groups = components(near_links(least.select(F.col("print").alias("node"), F.col("print").alias("p0")), ["p0"], keys, radius))
+    least = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "least")
+    agree = agreeing(least.count(), radius)
+    keys = [F.col("node").bitwiseAND(F.lit(signed(m))) for m in blocks(radius, agree)]
+    groups = components(near_links(least.select(F.col("print").alias("node"), F.col("print").alias("p0")), ["p0"], keys, radius, agree))
     rooted = least.join(groups, least["print"] == groups["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("print", "component_id")
@@ -416,30 +505,29 @@ def near_components(documents: DataFrame, size: int = 4, radius: int = RADIUS) -
 
 
 def one_of_each(documents: DataFrame, size: int = 5) -> DataFrame:
-    """The documents without near copies: of each component the row of the smallest id, of repeated ids one row.
+    """The documents without near copies: of each component one row, that of the smallest id.
 
-    Texts are near copies if they share at least 0.8 (ALIKE) of their different ``size``-word shingles. Rows without
-    an id, and texts without words, are no copies of anything: they stay.
+    Texts are near copies if they share at least 0.8 (ALIKE) of their different ``size``-word shingles. Of repeated
+    rows, equal in id and text, one stays; different texts under one id are judged each by itself. Rows without an
+    id, and texts without words, are no copies of anything: they stay.
     """
     prints = written(wide_fingerprints(documents, size), "wide")
     first = F.min(F.struct("doc_id", "place")).alias("first")
     least = prints.groupBy("node").agg(first, *[F.min(c).alias(c) for c in prints.columns[3:]]).select("node", "first.*", *prints.columns[3:])
     least = written(least, "least")
     groups = alike_components(least, documents, size)
-    rooted = least.join(groups, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("kept")).distinct()
-    # By id: what has words and is not its component's first goes.
-    ids = prints.groupBy("doc_id").agg(F.count("*").alias("rows")).join(kept, "doc_id", "left")
-    gone = ids.where("kept is null").select("doc_id")
-    twice = ids.where("kept and rows > 1").select("doc_id")
-    if twice.isEmpty():
-        return _without(documents, gone)
-    repeated = documents.join(twice.hint("shuffle_hash"), "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"])
-    return _without(documents, gone.union(twice)).union(repeated)
-
-
-def _without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    return documents.join(ids.hint("shuffle_hash"), "doc_id", "left_anti").select(*documents.columns)
+    rooted = least.join(groups, "node", "left").select("doc_id", "place", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "place")).alias("k")).select("k.doc_id", "k.place", F.lit(True).alias("kept"))
+    rows = prints.groupBy("doc_id", "place").agg(F.count("*").alias("rows")).join(kept, ["doc_id", "place"], "left")
+    touched = written(rows.where("kept is null or rows > 1").select("doc_id", "place", F.coalesce("kept", F.lit(False)).alias("kept")), "touched")
+    # What may go, or is repeated, is settled by an exact join; most texts can't be and aren't moved.
+    texts = documents.withColumns({"_doc": F.col("doc_id").cast("long"), "_place": F.xxhash64("text")})
+    marked = with_mark(texts, bitmaps(touched, "doc_id", "place"), "_doc", "_place")
+    right = touched.select(F.col("doc_id").alias("_d"), F.col("place").alias("_p"), F.col("kept").alias("_kept")).hint("shuffle_hash")
+    doubtful = marked.where("_marked and _doc is not null").join(right, (F.col("_doc") == F.col("_d")) & (F.col("_place") == F.col("_p")), "left")
+    stay = marked.where("not _marked or _doc is null").select(*documents.columns).union(doubtful.where("_kept is null").select(*documents.columns))
+    repeated = doubtful.where("_kept").dropDuplicates(["_doc", "_place"]).select(*documents.columns)
+    return stay.union(repeated)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
