@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_batches, pick, table
 
-#: Entries that a worker's memory of words and transitions may have before it starts anew.
-REMEMBERED = 400_000
+#: Words, and transitions, that a worker may remember before it starts anew: some 40 MB.
+REMEMBERED, ARCS = 150_000, 100_000
 #: White space as the public library's pattern engine has it.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the published pre-split pattern of byte-level vocabularies.
@@ -112,7 +112,7 @@ class Automaton:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "known", "words", "cut")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "known", "words", "cut", "token")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -138,7 +138,7 @@ class Automaton:
 
     def arc(self, key: int) -> bool:
         """Whether there is an arc from the state of the key's high bits to that of its low ones."""
-        if len(self.arcs) >= REMEMBERED:
+        if len(self.arcs) >= ARCS:
             self.arcs.clear()
         known = self.arcs[key] = self.open_until(key >> 32, key & 0xFFFFFFFF, float("inf"))
         return known
@@ -149,7 +149,7 @@ class Automaton:
         while x and x << 8 | b not in step:
             x = self.back[x]
         to = step.get(x << 8 | b, 0)
-        if len(step) < len(self.back) + REMEMBERED:
+        if len(step) < len(self.back) + ARCS:
             step[at << 8 | b] = to
         return to
 
