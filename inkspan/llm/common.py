@@ -76,9 +76,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """The driver's JVM removes it when it ends, whether or not the session is there still."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

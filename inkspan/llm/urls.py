@@ -16,7 +16,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_batches, new_path, pick, table
+from .common import arrow_batches, new_path, pick, remove_at_end, table
 
 # The contract's rules.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -114,6 +114,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: I
     out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
     out.write(bytearray(build_index([*((k, v, True) for k, v in rules), *((h, "block", False) for h in blocked)])))
     out.close()
+    remove_at_end(spark, path)
     spark.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[1]
 
