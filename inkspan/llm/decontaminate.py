@@ -3,9 +3,9 @@
 A shard is a few MB of documents. Its row of the index holds all its terms in order and, for each, the sorted places in
 the shard's running word count, so the next benchmark needs no reading of texts. Test items come in blocks of bounded
 size, one at a time. A block files each of its windows under the window's rarest term; a shard takes only the windows
-that are filed under terms it holds, and of these only those whose other terms it holds too. From the rarest list on,
+that are filed under terms it holds, and of these only those whose other terms it holds too. From its shortest list on,
 places less the offset in the window are intersected, and what remains are exact phrases. Proximity matches take, for
-each place of the rarest term, the nearest place of every other term.
+each place of the window's rarest term, the nearest place of every other term.
 
 As shards hold whole documents, no posting crosses the network.
 """
@@ -55,10 +55,12 @@ class Items:
                 found.setdefault(tuple(ids[i : i + window]), set()).update([] if item is None else [item])
         self.windows = [np.array(k, np.int32) for k in found]
         self.items = [sorted(v) for v in found.values()]
-        often = Counter(t for k in found for t in set(k))
+        often, word = Counter(t for k in found for t in set(k)), list(self.terms)
+        #: Of each window the term that the fewest windows hold, the first of equals by its bytes; and windows by it.
+        self.rarest = [min(set(k), key=lambda t: (often[t], word[t])) for k in found]
         self.filed: dict[int, list[int]] = {}
-        for i, k in enumerate(found):
-            self.filed.setdefault(min(set(k), key=lambda t: (often[t], t)), []).append(i)
+        for i, t in enumerate(self.rarest):
+            self.filed.setdefault(t, []).append(i)
 
 
 def item_blocks(benchmark: DataFrame, window: int) -> Iterator[Items]:
@@ -146,18 +148,15 @@ class Shard:
         doc = np.searchsorted(self.ends, starts, "right")
         return starts[starts + len(window) <= self.ends[doc]]
 
-    def near(self, window: np.ndarray, within: int) -> np.ndarray:
+    def near(self, window: np.ndarray, rarest: int, within: int) -> np.ndarray:
         """(first, last) of places where all the window's terms stand within so many words of its rarest one."""
-        terms = set(map(int, window))
-        lists = [self.lists.get(t) for t in terms]
-        if any(x is None for x in lists):
+        anchor, others = self.lists.get(rarest), [self.lists.get(t) for t in set(map(int, window)) - {rarest}]
+        if anchor is None or any(x is None for x in others):
             return np.zeros((0, 2), np.int64)
-        lists.sort(key=len)
-        anchor = lists[0]
         first, last = anchor.copy(), anchor.copy()
         doc, keep = np.searchsorted(self.ends, anchor, "right"), np.ones(len(anchor), bool)
         begin, end = self.ends[doc] - self.n_words[doc], self.ends[doc]
-        for own in lists[1:]:
+        for own in others:
             right = np.searchsorted(own, anchor)
             a, b = own[np.clip(right - 1, 0, len(own) - 1)], own[np.clip(right, 0, len(own) - 1)]
             ok_a, ok_b = [(abs(x - anchor) <= within) & (x >= begin) & (x < end) for x in (a, b)]
@@ -187,7 +186,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, within
                     for i in shard.windows(items):
                         spans = [("phrase", s, s + len(items.windows[i])) for s in shard.phrase(items.windows[i]).tolist()]
                         if within is not None:
-                            spans += [("near", a, b) for a, b in shard.near(items.windows[i], within).tolist()]
+                            spans += [("near", a, b) for a, b in shard.near(items.windows[i], items.rarest[i], within).tolist()]
                         for kind, a, b in spans:
                             d = int(np.searchsorted(shard.ends, a, "right"))
                             out += [(docs[d], kind, a - int(begins[d]), b - int(begins[d]), item) for item in items.items[i] or [None]]
@@ -298,3 +297,26 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
 """
+
+MATCHES_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0),
+held AS (SELECT DISTINCT item, list_slice(w, i, i + 9) AS words FROM starts),
+windows AS (SELECT row_number() OVER () AS id, words FROM (SELECT DISTINCT words FROM held)),
+owners AS (SELECT windows.id, held.item FROM held JOIN windows ON held.words = windows.words),
+terms AS (SELECT DISTINCT id, unnest(words) AS term FROM windows),
+often AS (SELECT term, count(*) AS n FROM terms GROUP BY term),
+rarest AS (SELECT id, arg_min(terms.term, (n, terms.term)) AS term, count(*) AS n_terms FROM terms JOIN often ON terms.term = often.term GROUP BY id),
+docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS term FROM docs),
+anchors AS (SELECT rarest.id, n_terms, rarest.term, doc_id, i FROM rarest JOIN places ON rarest.term = places.term),
+others AS (SELECT a.id, a.doc_id, a.i, t.term, arg_min(p.i, (abs(p.i - a.i), p.i)) AS q
+  FROM anchors a JOIN terms t ON a.id = t.id AND a.term <> t.term JOIN places p ON p.doc_id = a.doc_id AND p.term = t.term AND p.i BETWEEN a.i - 10 AND a.i + 10
+  GROUP BY a.id, a.doc_id, a.i, t.term),
+near AS (SELECT a.id, a.doc_id, least(a.i, coalesce(min(q), a.i)) AS begin, greatest(a.i, coalesce(max(q), a.i)) + 1 AS "end"
+  FROM anchors a LEFT JOIN others o ON a.id = o.id AND a.doc_id = o.doc_id AND a.i = o.i GROUP BY a.id, a.doc_id, a.i, n_terms HAVING count(q) = n_terms - 1),
+phrases AS (SELECT windows.id, p.doc_id, p.i AS begin, p.i + len(words) AS "end" FROM windows JOIN places p ON p.term = words[1]
+  JOIN docs ON docs.doc_id = p.doc_id WHERE list_slice(docs.w, p.i + 1, p.i + len(words)) = words)
+SELECT doc_id, 'near' AS kind, begin, "end", item AS item_id FROM near JOIN owners ON near.id = owners.id
+UNION ALL SELECT doc_id, 'phrase', begin, "end", item FROM phrases JOIN owners ON phrases.id = owners.id
+"""

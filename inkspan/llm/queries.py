@@ -13,4 +13,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op4_decontamination": decontaminate.OP4_SQL, "op5_line_dedup": lines.OP5_SQL, "op9_url_filter": urls.OP9_SQL}
+ORACLE_SQL = {"op4_decontamination": decontaminate.OP4_SQL, "decontamination_matches": decontaminate.MATCHES_SQL, "op5_line_dedup": lines.OP5_SQL, "op9_url_filter": urls.OP9_SQL}

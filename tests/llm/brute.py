@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +30,43 @@ def op2(text: str | None) -> tuple:
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
+def op2_ratios(text: str | None) -> dict[str, float]:
+    n, chars, symbols, dup, repeats, _ = op2(text)
+    lines = sum(1 for x in (text or "").split("\n") if WORD.search(x))
+    upper = sum(unicodedata.category(c) == "Lu" for c in text or "")
+    return {"mean_word_chars": chars / max(n, 1), "symbols_per_word": symbols / max(n, 1), "dup_line_share": dup / max(lines, 1), "repeat_share": repeats / max(n, 1), "upper_share": upper / max(chars, 1), "words": float(n)}
+
+
+def kept_by_rules(text: str | None, rules: list) -> bool:
+    """The verdict of a decision list, condition by condition."""
+    own = op2_ratios(text)
+    hit = any(all(own[c.feature] > c.threshold if c.above else own[c.feature] <= c.threshold for c in r.conditions) for r in rules)
+    return not op2(text)[5] and not hit
+
+
+def without_near_copies(rows: list[tuple[int, str]]) -> set[int]:
+    """Ids that stay: of texts that share 0.8 of their five-word shingles, directly or by others, the smallest."""
+    sets = {}
+    for d, t in rows:
+        words = WORD.findall((t or "").translate(LOWER))
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    root = {d: d for d in sets}
+
+    def find(d: int) -> int:
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 4 * max(len(x), len(y)) <= 5 * min(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {d for d in ids if find(d) == d}
+
+
 def fingerprint(text: str | None, size: int = 4) -> int:
     words = WORD.findall((text or "").translate(LOWER))
     if not words:
@@ -82,20 +120,35 @@ def op4(rows: list[tuple], items: list[tuple]) -> dict:
     return out
 
 
-def matches(rows: list[tuple], items: list[tuple]) -> set:
-    """Every occurrence of a window."""
-    out = set()
+def matches(rows: list[tuple], items: list[tuple], within: int) -> set:
+    """Every occurrence of a window, and every place of its rarest term that has all its other terms nearby."""
+    windows = defaultdict(set)
     for item, text in items:
         words = op4_words(text)
         for i in range(max(1, len(words) - 9)) if words else ():
-            window = words[i : i + 10]
-            for doc, own in rows:
-                own = op4_words(own)
-                out |= {(doc, "phrase", k, k + len(window), item) for k in range(len(own) - len(window) + 1) if own[k : k + len(window)] == window}
+            windows[tuple(words[i : i + 10])].add(item)
+    often = defaultdict(int)
+    for w in windows:
+        for t in set(w):
+            often[t] += 1
+    out = set()
+    for window, own in windows.items():
+        rarest = min(set(window), key=lambda t: (often[t], t.encode()))
+        for doc, text in rows:
+            words, found = op4_words(text), []
+            for k in range(len(words) - len(window) + 1):
+                if tuple(words[k : k + len(window)]) == window:
+                    found.append(("phrase", k, k + len(window)))
+            for p in [k for k, w in enumerate(words) if w == rarest]:
+                nearest = [min((abs(q - p), q) for q, w in enumerate(words) if w == t) if t in words else (within + 1, 0) for t in set(window) - {rarest}]
+                if all(apart <= within for apart, _ in nearest):
+                    places = [p, *[q for _, q in nearest]]
+                    found.append(("near", min(places), max(places) + 1))
+            out |= {(doc, *f, str(item)) for f in found for item in own}
     return out
 
 
-def op5(rows: list[tuple]) -> dict:
+def op5_kept(rows: list[tuple]) -> dict:
     where = defaultdict(set)
     for doc, text in rows:
         for line in (text or "").split("\n"):
@@ -105,10 +158,14 @@ def op5(rows: list[tuple]) -> dict:
         lines = (text or "").split("\n")
         keys = [x.strip(BLANKS).translate(LOWER) for x in lines]
         kept = [x for x, k in zip(lines, keys) if not (len(k) >= 20 and len(where[k]) >= 3 and max(where[k]) != doc)]
-        out[doc] = (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
+        out[doc] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
 
 
+def op5(rows: list[tuple]) -> dict:
+    return {d: (n, gone, sha(kept)) for d, (n, gone, kept) in op5_kept(rows).items()}
+
+
 def luhn(d: str) -> bool:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
 

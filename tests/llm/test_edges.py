@@ -50,9 +50,11 @@ def test_rules_on_windows(spark, docs):
     assert got == {i: brute.op2(t)[4] for i, t in enumerate(texts)}
 
 
-def test_wide_texts_take_the_other_key(spark, docs, monkeypatch):
-    monkeypatch.setattr(rules, "_PLACE", 1)
-    texts = ["a b c a b c", "a b c d e f", "q " * 40]
+@pytest.mark.parametrize("place", [1, 58])
+def test_windows_that_a_short_hash_takes_for_one(spark, docs, monkeypatch, place):
+    """With one bit for places no text fits, with six for hashes different windows get one key."""
+    monkeypatch.setattr(rules, "_PLACE", place)
+    texts = ["a b c a b c", "a b c d e f", "q " * 40, "a b c d e a b c d " * 9, " ".join(f"w{i} v{i % 5} u{i % 3}" for i in range(60)) + " a b c x w1 v1 u1 y a b c"]
     got = {r["doc_id"]: r["n_repeat_words"] for r in rules.with_stats(docs(texts)).collect()}
     assert got == {i: brute.op2(t)[4] for i, t in enumerate(texts)}
 
@@ -97,6 +99,19 @@ def test_links_join_what_a_double_loop_joins():
     assert groups([*across.tolist(), *simhash.links(prints[:half], None, 4).tolist(), *(simhash.links(prints[half:], None, 4) + half).tolist()]) == groups(all_pairs)
 
 
+@pytest.mark.parametrize("agree", [3, 4])
+def test_longer_keys_lose_no_pair(spark, docs, monkeypatch, agree):
+    monkeypatch.setattr(simhash, "agreeing", lambda n, radius: agree)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*words[:k], f"new{k}", *words[k + 1 :]])) for k in range(0, 80, 2)]
+    assert {d: c for d, c in by_text(simhash.near_components(docs(rows)), "component_id")} == {d: w[1] for d, w in brute.op3(rows).items()}
+    assert simhash.blocks(4, agree)[-1] >> 63 and sum(simhash.blocks(4, agree)) == (1 << 64) - 1
+
+
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert [simhash.agreeing(n, 4) for n in (10, 10**6, 10**9, 10**10, 10**12, 10**13)] == [2, 2, 2, 3, 4, 4]
+
+
 def test_hot_keys_are_cut_up(spark, docs, monkeypatch):
     monkeypatch.setattr(simhash, "PIECE", 4)
     words = [f"w{i}" for i in range(300)]
@@ -133,8 +148,9 @@ def test_lines_over_many_partitions(spark, docs):
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "lorem ipsum dolor lorem ipsum dolor lorem ipsum dolor lorem"), (2, "one"), (3, None), (4, ""), (2, "one"), (None, "x")], "item_id long, text string")
     got = sorted(by_text(decontaminate.contamination(odd, items), "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), key=str)
-    named = [(r["item_id"], r["text"]) for r in items.collect() if r["item_id"] is not None]
-    assert got == sorted([(d, *brute.op4([(d, t)], named)[d]) for d, t in ODD], key=str)
+    rows = [(r["item_id"], r["text"]) for r in items.collect()]
+    assert got == sorted([(d, *brute.op4([(d, t)], rows)[d]) for d, t in ODD], key=str)
+    assert (9, 6, 2, 0) not in got and any(g[0] == 9 and g[2] and not g[3] for g in got)
     none = decontaminate.contamination(odd, items.limit(0))
     assert none.count() == len(ODD) and none.where("contaminated").count() == 0
     assert decontaminate.without_matches(odd, items).where("doc_id in (4, 5)").count() == 0
@@ -151,10 +167,20 @@ def test_blocks_of_items_meet(spark, docs, monkeypatch):
 def test_proximity(spark, docs):
     rows = docs(["alpha beta gamma", "gamma x alpha y beta", "alpha " + "z " * 30 + "beta gamma", None])
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    block = next(decontaminate.item_blocks(items, 10))
-    texts = rows.select("doc_id", "text")
-    found = decontaminate.matches(decontaminate.positional_index(texts, block.terms), block, within=4).where("kind is not null")
-    assert sorted((r["doc_id"], r["kind"], r["begin"], r["end"]) for r in found.collect()) == [(0, "near", 0, 3), (0, "phrase", 0, 3), (1, "near", 0, 5)]
+    found = decontaminate.matches(rows, items, within=4).collect()
+    assert sorted((r["doc_id"], r["kind"], r["begin"], r["end"]) for r in found) == [(0, "near", 0, 3), (0, "phrase", 0, 3), (1, "near", 0, 5)]
+
+
+def test_matches_are_those_of_all_windows(spark, docs):
+    words = "the of and to in is was for on that by this with from they we say her she or".split()
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(words[: 3 + i % 4], 60)) for i in range(25)]
+    items = [(i, " ".join(rng.choice(words[:4], 10 if i % 2 else 4))) for i in range(40)] + [(99, texts[3][:70])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for partitions in (1, 5):
+        found = decontaminate.matches(docs(texts, partitions), table, within=6).collect()
+        assert {(r["doc_id"], r["kind"], r["begin"], r["end"], r["item_id"]) for r in found} == brute.matches(list(enumerate(texts)), items, 6)
+        assert {r["kind"] for r in found} == {"phrase", "near"}
 
 
 def test_pii(odd):
@@ -214,6 +240,15 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0 and urls.judge(df, [], []).where("verdict = 'block'").count() == 0
 
 
+def test_urls_of_very_many_labels_and_hosts_from_a_table(spark):
+    long = "http://" + "a." * 100_000 + "com/en/x"
+    df = spark.createDataFrame([(1, long), (2, "http://x.bad.org/"), (3, "http://.../en/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, blocked=spark.createDataFrame([("bad.org",), (None,)], "host string")).collect()}
+    assert got == {1: ("com/en/", "block"), 2: (None, "block"), 3: (None, "allow")}
+    host = long[7:-5]
+    assert len(list(urls._candidates(host, "/en/x", 3, [0, 4]))) == 6
+
+
 def test_url_digests_confirm_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda key: 7)
     (tmp_path / "i").write_bytes(urls.build_index([("a/x", "block", True), ("b/y", "allow", True)]))
@@ -228,6 +263,90 @@ def test_quality_and_toxicity_of_odd_rows(spark, odd):
         assert len(q) == len(t) == len(ODD) and all(0 <= r["score"] <= 1 for r in [*q, *t])
 
 
+def test_a_lexicon_of_many_letters_and_of_letters_beyond_16_bits():
+    han = [chr(0x4E00 + 3 * i) + chr(0x5E00 + 2 * i) + chr(0x6E00 + i) for i in range(120)]
+    deseret = "".join(chr(0x10428 + i) for i in range(6))
+    m = toxicity.Matcher(toxicity.Lexicon((*han, deseret), ()))
+    f = m.features([f"x {han[77]} y", deseret, deseret[:3] + deseret[4:], han[0][:2]])
+    assert f[:, 0].tolist() == [1, 1, 0, 0] and f[:, 2].tolist() == [0, 0, 1, 0]
+
+
+def test_words_of_a_stem_are_caught_misspelled_inside_it():
+    m = toxicity.Matcher(toxicity.Lexicon(("chllano",), ("chlla",)))
+    f = m.features(["chllano", "chxlano", "chlano"])
+    assert f[:, 1].tolist() == [1, 0, 0] and f[:, 2].tolist() == [0, 1, 1]
+
+
+def test_word_order_makes_features_and_scores_are_plain_dot_products(spark, docs):
+    texts = ["alpha beta gamma delta", "delta gamma beta alpha", None, "", "x", "x y", "a b c a b c a b c " * 40]
+    a, b = (dict(zip(*(x.tolist() for x in quality.features(t.encode())))) for t in texts[:2])
+    assert a != b and len(set(a) & set(b)) < len(a)
+    weights = np.random.default_rng(0).normal(size=quality.BUCKETS).astype(np.float32)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs(texts), weights).collect()}
+    for i, t in enumerate(texts):
+        total = 0.0
+        for p, v in zip(*quality.features(t.encode() if t else None)):
+            total += float(weights[p]) * float(v)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-5)
+
+
+def test_follow_leader_is_the_published_update(monkeypatch):
+    """Against the update written out weight by weight."""
+    monkeypatch.setattr(quality, "BUCKETS", 12)
+    rng = np.random.default_rng(1)
+    rows = [(int(i % 3 == 0), np.sort(rng.permutation(12)[:4]), rng.random(4)) for i in range(30)]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.5
+    z, n = [0.0] * 12, [0.0] * 12
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (np.sign(z[i]) * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for k in order.permutation(30).tolist():
+            y, p, v = rows[k]
+            w = [weight(i) for i in p]
+            chance = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, v))))
+            for i, x, own in zip(p, v, w):
+                g = (chance - y) * x
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * own
+                n[i] += g * g
+    assert quality.follow_leader(rows, 2, alpha, beta, l1, l2) == pytest.approx([weight(i) for i in range(12)])
+
+
+def test_toxicity_scores_are_the_model_written_out(spark, docs):
+    lexicon, w = toxicity.Lexicon(("idiot", "scum"), ("chlla",)), [-3.0, 2.0, 1.0, 1.0, 0.5, -1.5]
+    texts = ["you idiot scum", "an idot", "clean text here", None, 'he said "scum"', "chllax " * 5]
+    for r in toxicity.scored(docs(texts), lexicon, w).collect():
+        own = r["words"] + 0.5 * r["fuzzy"]
+        x = [1, np.log1p(own), np.log1p(r["stems"]), np.log1p((own + r["stems"]) * 100 / max(r["n_words"], 1)), np.log1p(r["address"]), np.log1p(r["quoted"])]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x)))))
+
+
+def test_fuzzy_matches_are_those_of_edit_distance():
+    """Every word within one edit of the lexicon, and no other."""
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = ("abcab", "bcabca", "cabbage")
+    m, rng = toxicity.Matcher(toxicity.Lexicon(words, ())), np.random.default_rng(4)
+    for w in words:
+        for _ in range(150):
+            t = list(w)
+            for _ in range(rng.integers(0, 3)):
+                i = rng.integers(0, len(t) + 1)
+                t[i : i + rng.integers(0, 2)] = rng.choice(list("abcx"), rng.integers(0, 2)).tolist()
+            t = "".join(t)
+            if t:
+                f, least = m.features([t])[0], min(apart(t, x) for x in words)
+                assert (f[0], f[2]) == (least == 0, least == 1), t
+
+
 def test_misspelled_and_quoted_words():
     m = toxicity.Matcher(toxicity.Lexicon(("idiot", "scum"), ("chlla",)))
     texts = ["you IDIOT", "an idot here", "idiiot ixiot xidiot", "idxoxt", "scun", "chllaxyz", "idiots", 'he said "idiot" once', None, "", "didiotx"]
@@ -236,6 +355,69 @@ def test_misspelled_and_quoted_words():
     assert f[:, 2].tolist() == [0, 1, 3, 0, 0, 0, 1, 0, 0, 0, 0] and f[0, 3] == 1 and f[7, 4] == 1
 
 
+def test_two_texts_of_one_id_are_judged_each_by_itself(docs):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    got = sorted(r["text"] for r in simhash.one_of_each(docs([(7, one), (7, two), (7, two), (8, two + " more"), (9, one)])).collect())
+    assert got == [one, two]
+
+
+def test_pivots_rule_out_what_is_far():
+    """Sixteen groups of near fingerprints: pivots discard most pairs of different groups and none within the radius."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, (16, simhash.WIDE), dtype=np.uint64)
+    flips = np.packbits(rng.random((320, 64 * simhash.WIDE)) < 0.07, axis=1).view(np.uint64)
+    prints = np.repeat(centres, 20, 0) ^ flips
+    rows = np.column_stack([np.arange(320), np.arange(320), np.full(320, 100), prints.view(np.int64)])
+    tally = simhash.Counter()
+    # Sets of 100 shingles: rows of one group share 90 of them, under keys of which the first two agree.
+    sets = [np.unique(np.concatenate([np.arange(90) + 1000 * (i // 20), 10**6 + np.arange(10) + 10 * i])).astype(np.uint64) for i in range(320)]
+    rows = np.column_stack([np.arange(320), np.arange(320), np.full(320, 100), prints.view(np.int64), np.zeros((320, 2), np.int64), np.arange(320 * 4).reshape(-1, 4)])
+    for split in (None, 100):
+        group = simhash.Group(rows, sets)
+        links = simhash.alike(group, 0, split, tally)
+        assert all(i // 20 == j // 20 for i, j in links)
+        if split is None:
+            apart = np.bitwise_count(prints[:, None] ^ prints).sum(2)
+            assert len(np.unique(group.tree)) == 16 and all(apart[i, j] <= simhash.WIDE_RADIUS for i, j in links)
+            assert tally["compared"] < 0.25 * tally["pairs"]
+    assert simhash.alike(simhash.Group(rows, sets), 1) == []
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from inkspan.llm import common
+
+    class Nothing:
+        def get(self, *_):
+            return None
+
+        def isDefined(self):
+            return False
+
+    class Session:
+        conf = Nothing()
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(Nothing)
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("C", (), {"getCheckpointDir": staticmethod(Nothing)})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
+def test_marks_miss_nothing(spark):
+    from inkspan.llm.common import bitmaps, with_mark
+
+    every = spark.range(20_000).withColumn("x", F.col("id") * 3)
+    out = with_mark(every, bitmaps(every.where("id < 2000"), "id", "x"), "id", "x")
+    assert out.where("id < 2000 and not _marked").count() == 0 and out.where("id >= 2000 and _marked").count() < 50
+    assert with_mark(every, bitmaps(every.limit(0), "id", "x"), "id", "x").where("_marked").count() == 0
+
+
 def test_lm_base_and_sums(spark, docs):
     rows = [(i, t) for i, t in enumerate(["a b a", "b c", None, "", "A  b\nnew", "zz top", "a " * 50, "b"] * 4)]
     got = {r["doc_id"]: r for r in lm.score_documents(docs(rows)).collect()}
@@ -265,21 +447,87 @@ def test_lm_counts_of_rare_words_and_odd_rows(spark, docs, odd, monkeypatch):
     assert lm.score_documents(odd).count() == len(ODD)
 
 
+def small_vocabulary(words=30):
+    names = [f"w{i}".encode() for i in range(words)]
+    kinds = {}
+    for i, w in enumerate(names):
+        n, m = kinds.get(lm.kind_of(w), (0, 0))
+        kinds[lm.kind_of(w)] = (n + 40 - i, m + 1)
+    return lm.Vocabulary(names, np.arange(40, 40 - words, -1), sum(range(41 - words, 41)) + 9, words + 1, 9, kinds)
+
+
 def test_lm_gradients_and_probabilities():
-    v = lm.Vocabulary([b" ", *[f"w{i}".encode() for i in range(30)]], np.arange(40, 9, -1), 900, 60)
+    v = small_vocabulary()
     net = lm.Network(v)
-    h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    size = len(v.own)
-    logs = net.log_probs(np.repeat(h, size + 1, 0), np.arange(size + 1))
-    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
-    stream = np.tile([0, 1, 2, 3, 4], 2000)
+    h = lm.with_one([np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)])
+    size = len(v.own) + lm.KINDS
+    logs, _ = net.heads(np.repeat(h, size, 0), np.arange(size))
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4) and v.mass.tolist() == [1] * lm.KINDS
+    # The states' gradients are those that differences of the mean log-likelihood show.
+    goal, many = np.arange(8), np.repeat(h, 8, 0)
+    net.to_class += np.random.default_rng(1).normal(0, 0.3, net.to_class.shape).astype(np.float32)
+    net.to_word += np.random.default_rng(2).normal(0, 0.3, net.to_word.shape).astype(np.float32)
+    _, back = net.heads(many, goal, {})
+    moved = many.copy()
+    moved[:, 3] += 1e-2
+    differences = -(net.heads(moved, goal)[0] - net.heads(many, goal)[0]) / 1e-2 / 8
+    assert back[:, 3] == pytest.approx(differences, abs=2e-3)
+    net = lm.Network(v)
+    stream = np.tile([0, 1, 2, 3, 4], 4001)[:20_001]
     before = net.score([np.array([1, 2, 3, 4, 0])])[0]
-    net.train(stream)
+    assert net.train(stream) <= 20_000
     assert net.score([np.array([1, 2, 3, 4, 0])])[0] > before + 5
     docs = [np.array(x) for x in ([1, 2, 0], [0], [4] * 80 + [0], [3, 0])]
     assert net.score(docs).tolist() == pytest.approx([net.score([d])[0] for d in docs], rel=1e-4)
 
 
+def test_lm_probabilities_of_all_words_sum_to_one(spark, docs, monkeypatch):
+    """Of one-word texts, over every word that training texts hold and one unseen of each kind."""
+    monkeypatch.setattr(lm, "WORDS", 4)
+    monkeypatch.setattr(lm, "FREQUENT", 9)
+    rows = docs([(i, f"w{i % 29} w{i % 7} é{i % 3} x") for i in range(120)])
+    texts = pick(rows, "doc_id", "text")
+    counts = lm.token_counts(texts)
+    v = lm.vocabulary(counts)
+    words = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    assert all(r["k"] == lm.kind_of(bytes(r["word"])) for r in counts.withColumn("k", lm._kind()).collect())
+    total = lm.Network(v).heads(lm.with_one([np.zeros((len(v.own) + lm.KINDS, lm.HIDDEN), np.float32)]), np.arange(len(v.own) + lm.KINDS))[0]
+    inside = np.zeros(lm.KINDS)
+    for w, n in words.items():
+        if w not in v.own:
+            inside[lm.kind_of(w)] += (n + 1) / v.mass[lm.kind_of(w)]
+    inside += 1 / v.mass
+    assert inside == pytest.approx(np.ones(lm.KINDS)) and np.exp(total).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_counts_the_end_beside_many_words_of_one_occurrence(spark, docs):
+    import math
+    import zlib
+
+    train = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2)
+    r = lm.score_documents(docs([(train, " ".join(f"w{i}" for i in range(140_000)))])).head()
+    assert r["n_known"] == r["n_tokens"] == 140_001 and r["base_score"] == pytest.approx(140_001 * math.log10(2 / (140_001 + 140_001 + 1)))
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "PART_TOKENS", 300)
+    rows = [(i, f"word{i % 7} and word{i % 3} follow word{i % 5}" * (1 + i % 4)) for i in range(200)]
+    a, b = ({r["doc_id"]: r["score"] for r in lm.score_documents(docs(rows, n)).collect()} for n in (2, 7))
+    assert a.keys() == b.keys() and all(a[d] == pytest.approx(b[d], rel=1e-5) for d in a)
+
+
+def test_lm_memory_of_short_texts_is_bounded():
+    """200,000 texts of ten tokens in one group: SIDE of them are in a window at once."""
+    import tracemalloc
+
+    net, rng = lm.Network(small_vocabulary()), np.random.default_rng(0)
+    texts = [np.append(x, 0) for x in rng.integers(0, 30, (200_000, 9))]
+    tracemalloc.start()
+    net.score(texts)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_empty_tables(spark, docs):
     none, labels = docs([]), labelled(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
@@ -326,14 +574,14 @@ def test_near_copies_are_verified_by_their_shingles(docs, monkeypatch):
             for y in sets:
                 if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
                     root[x] = root[y] = min(root[x], root[y])
-    for piece, nearest in ((4096, 8), (7, 2)):
+    for piece in (4096, 7):
         monkeypatch.setattr(simhash, "PIECE", piece)
-        monkeypatch.setattr(simhash, "NEAREST", nearest)
         assert {r["doc_id"] for r in simhash.one_of_each(docs(texts)).collect()} == set(root.values())
 
 
 def test_all_training_texts_reach_the_network(spark, docs, monkeypatch):
-    """Each replica tells how many tokens it trained on: together, all that were counted and a start for each replica."""
+    """Each replica tells how many tokens it was made to predict: together, all that were counted."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 100)
     rows = docs([(i, f"word{i % 7} and word{i % 3} follow word{i % 5}") for i in range(200)])
     texts = pick(rows, "doc_id", "text")
     v = lm.vocabulary(lm.token_counts(texts))
@@ -346,5 +594,5 @@ def test_all_training_texts_reach_the_network(spark, docs, monkeypatch):
         return out
 
     monkeypatch.setattr(lm, "written", noted)
-    lm.fit(texts, v)
-    assert sum(seen) == v.total + len(seen)
+    lm.fit(lm.encoded(texts, spark.sparkContext.broadcast(v)), v)
+    assert len(seen) > 9 and sum(seen) == v.total
