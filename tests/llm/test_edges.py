@@ -224,6 +224,20 @@ def test_bpe_on_every_kind_of_character_and_long_words():
         assert np.frombuffer(AUTOMATON.encode(text), "<u4").tolist() == e.ids, repr(text[:20])
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(256)], max_size=40))
+def test_both_engines_cut_latin_texts_alike(text):
+    assert AUTOMATON.latin_words.findall(text) == AUTOMATON.words.findall(text)
+
+
+def test_words_that_were_remembered_before_are_the_same(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    own = bpe.Automaton(bpe.default_vocabulary())
+    for text in ["one two three four five six one two", "seven one nevora two", "one two three"] * 2:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(own.known) <= 3 and len(own.before) <= 3
+
+
 def test_bpe_of_odd_rows(odd):
     got = sorted(by_text(bpe.round_trip(odd), "n_tokens", "decoded_sha256"), key=str)
     assert got == sorted([(d, len(LIBRARY.encode(t or "", add_special_tokens=False).ids), brute.sha(t or "")) for d, t in ODD], key=str)
