@@ -7,7 +7,7 @@ is unknown. Texts are turned into ids once; training and scoring both read those
 
 Weights start at the unigram model and are fitted by truncated backpropagation in numpy over all training texts. A
 hash of its id says which replica a text trains, whatever the partitions. One replica begins; the next eight start
-from its weights, the next sixty-four from the average of those, and so on. Scoring runs texts side by side, a window
+from its weights, the next sixty-four, of more texts each, from the average of those, and so on. Scoring runs texts side by side, a window
 at a time, and carries each text's state on, so whole texts are scored.
 """
 
@@ -34,10 +34,13 @@ CLASSES, KINDS = 32, 32
 HIDDEN = 16
 #: Words whose counts every worker has at hand; of the others, counts are joined.
 FREQUENT = 131_072
-#: Steps that gradients run back, and streams trained side by side: in the first replica, in others.
-WINDOW, FIRST_LANES, LANES = 16, 64, 512
-#: Tokens that a replica trains on, about; how many more replicas each round has; tokens that are in memory at once.
-REPLICA_TOKENS, GROWTH, GROUP_TOKENS = 1 << 22, 8, 1 << 20
+#: Steps that gradients run back, and streams trained side by side.
+WINDOW, LANES = 16, 512
+#: Tokens of one part of the training texts, about, and tokens that are in memory at once.
+PART_TOKENS, GROUP_TOKENS = 1 << 20, 1 << 20
+#: The first rounds: replicas, parts that each trains on, streams side by side. Later rounds have GROWTH times as many
+#: replicas as the one before, of as many parts as the last of these.
+ROUNDS, GROWTH = ((1, 1, 64), (8, 1, 128), (64, 4, LANES)), 8
 #: Texts scored side by side, and states whose outputs are made at once.
 SIDE, ROWS = 16_384, 4096
 #: Entries of a worker's counter before it is handed on.
@@ -345,22 +348,39 @@ def _encoding(v):
         ids, to_net, counts = vocab.tables()
         size, logs, masses = len(vocab.own), np.log10(counts + 1.0), np.log10(vocab.mass)
         row = TaskContext.get().partitionId() << 33
+
+        def rows_of(some: list[tuple], words: list[bytes], ends: list[int]) -> pa.RecordBatch:
+            """Of some texts, all of whose tokens stand in ``words``, each up to its end."""
+            own = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+            known, rare = own >= 0, np.flatnonzero(own < 0)
+            names = [words[i] for i in rare.tolist()]
+            net = to_net[own]
+            net[rare] = np.fromiter(map(kind_of, names), np.int64, len(names)) + size
+            base, beyond = np.where(known, logs[own], 0.0), net >= size
+            rest = np.where(beyond, base - masses[np.where(beyond, net - size, 0)], 0.0)
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            cuts = np.searchsorted(rare, [0, *ends]).tolist()
+            rarer = [Counter(names[a:b]) for a, b in zip(cuts, cuts[1:])]
+            packed = net.astype("<u2").tobytes()
+            columns = [
+                [s[0] for s in some], [s[1] for s in some], [s[2] for s in some], [s[0] if s[1] is None else s[3] for s in some], np.diff([0, *ends]),
+                np.add.reduceat((known & (counts[own] > 0)).astype(np.int64), begins), np.add.reduceat(base, begins), np.add.reduceat(rest, begins),
+                [packed[2 * a : 2 * b] for a, b in zip(begins.tolist(), ends)], [list(c.keys()) for c in rarer], [list(c.values()) for c in rarer],
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ENCODED.values())], names=list(_ENCODED))
+
         for batch in batches:
-            out: list[tuple] = []
+            some, words, ends = [], [], []
             for doc, train, dealt, text in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3).cast(pa.binary()).to_pylist()):
-                words = tokens(text)
-                own = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
-                rare, known = np.flatnonzero(own < 0), own >= 0
-                net = to_net[own]
-                names = [words[i] for i in rare.tolist()]
-                net[rare] = [size + kind_of(w) for w in names]
-                count = Counter(names)
-                base = np.where(known, logs[own], 0.0)
-                beyond = net >= size
-                rest = float(base[beyond].sum() - masses[net[beyond] - size].sum())
-                out.append((row, doc, train, row if doc is None else dealt, len(words), int((counts[own[known]] > 0).sum()), float(base.sum()), rest, net.astype("<u2").tobytes(), list(count.keys()), list(count.values())))
+                words += tokens(text)
+                ends.append(len(words))
+                some.append((row, doc, train, dealt))
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(_ENCODED), _ENCODED.values())], names=list(_ENCODED))
+                if len(words) >= GROUP_TOKENS // 4:
+                    yield rows_of(some, words, ends)
+                    some, words, ends = [], [], []
+            if some:
+                yield rows_of(some, words, ends)
 
     return run
 
@@ -375,10 +395,9 @@ def encoded(documents: DataFrame, v) -> DataFrame:
     return rows.mapInArrow(_encoding(v), _ENCODED_SQL)
 
 
-def _replica(v, weights, first: bool):
+def _replica(v, weights, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, key, seen, rest = None, None, 0, np.zeros(0, np.int64)
-        lanes = FIRST_LANES if first else LANES
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([seen + net.train(rest, 1)], pa.int64()), pa.array([net.packed()], pa.binary())], names=["replica", "n", "weights"])
@@ -438,28 +457,29 @@ _REPLICAS = "replica bigint, n bigint, weights binary"
 def fit(texts: DataFrame, v: Vocabulary, shared=None) -> bytes:
     """Weights after all training rows of ``texts`` (train, dealt, ids), each trained on once.
 
-    Replicas have about REPLICA_TOKENS tokens. The replicas of a round start from the last round's average, and their
-    own is taken eight at a time, so few reach the driver.
+    Texts are dealt into parts of about PART_TOKENS tokens. The replicas of a round start from the last round's
+    average, and their own is taken eight at a time, so few reach the driver.
     """
     spark = texts.sparkSession
     shared = shared or spark.sparkContext.broadcast(v)
-    replicas = max(1, -(-v.total // REPLICA_TOKENS))
-    rows = texts.where("train").select(F.pmod("dealt", F.lit(replicas)).alias("replica"), "ids", "dealt")
-    low, size, weights = 0, 1, None
-    while low < replicas:
-        high = min(replicas, low + size)
-        own = rows.where(F.col("replica").between(low, high - 1))
-        dealt = own.repartitionById(high - low, (F.col("replica") - low).cast("int")).sortWithinPartitions("replica", "dealt", "ids").select("replica", "ids")
-        found = written(dealt.mapInArrow(_replica(shared, weights, low == 0), _REPLICAS), "replicas")
-        parts = high - low
-        found = found.withColumn("replica", F.col("replica") - low)
-        while parts > 8:
-            parts = -(-parts // 8)
-            found = found.repartitionById(parts, F.floor(F.col("replica") / 8).cast("int")).mapInArrow(_averaged, _REPLICAS)
+    parts = max(1, -(-v.total // PART_TOKENS))
+    rows = texts.where("train").select(F.pmod("dealt", F.lit(parts)).alias("part"), "ids", "dealt")
+    low, weights, rounds = 0, None, list(ROUNDS)
+    while low < parts:
+        replicas, each, lanes = rounds.pop(0)
+        high = min(parts, low + replicas * each)
+        replicas = -(-(high - low) // each)
+        own = rows.where(F.col("part").between(low, high - 1)).withColumn("replica", F.floor((F.col("part") - low) / each).cast("long"))
+        dealt = own.repartitionById(replicas, F.col("replica").cast("int")).sortWithinPartitions("replica", "dealt", "ids").select("replica", "ids")
+        found, left = written(dealt.mapInArrow(_replica(shared, weights, lanes), _REPLICAS), "replicas"), replicas
+        while left > 8:
+            left = -(-left // 8)
+            found = found.repartitionById(left, F.floor(F.col("replica") / 8).cast("int")).mapInArrow(_averaged, _REPLICAS)
         mean = _mean([(r["replica"], r["n"], bytes(r["weights"])) for r in found.collect()])
         if mean:
             weights = spark.sparkContext.broadcast(mean[1])
-        low, size = high, size * GROWTH
+        low = high
+        rounds = rounds or [(replicas * GROWTH, each, lanes)]
     return weights.value if weights is not None else Network(v).packed()
 
 
