@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_batches, pick, table
 
-#: Words that a worker has at hand, beside as many that it had before them, and transitions: some 60 MB in all.
-REMEMBERED, ARCS = 150_000, 100_000
+#: Words that a worker has at hand, beside as many that it had before them, and transitions: some 35 MB in all.
+REMEMBERED, ARCS = 75_000, 75_000
 #: White space as the public library's pattern engine has it.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the published pre-split pattern of byte-level vocabularies.

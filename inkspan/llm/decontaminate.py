@@ -27,7 +27,7 @@ from .common import arrow_batches, bitmaps, pick, slices, table, with_mark, writ
 #: Words of test items that one block may have; its lists travel to every executor.
 BLOCK_WORDS = 2_000_000
 #: Bytes of text in one shard of the index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 #: Word bytes stay, A-Z in lower case; all else parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
