@@ -91,6 +91,7 @@ def follow_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int =
     for _ in range(epochs):
         for i in order.permutation(len(rows)).tolist():
             label, p, v = rows[i]
+            v = v.astype(float)
             zp, root = z[p], np.sqrt(n[p])
             w = np.where(np.abs(zp) <= l1, 0.0, (np.sign(zp) * l1 - zp) / ((beta + root) / alpha + l2))
             g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - label) * v
@@ -115,7 +116,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars:
         sizes = sizes.where(F.pmod(F.xxhash64("doc_id", F.lit("characters")), F.lit(1 << 30)) < share).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
     found = sizes.mapInArrow(_featurised, "doc_id bigint, label int, places binary, values binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["places"])))
-    return follow_leader([(r["label"], np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)) for r in found])
+    return follow_leader([(r["label"], np.frombuffer(r["places"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in found])
 
 
 def scored(documents: DataFrame, weights: np.ndarray) -> DataFrame:
