@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dictionary import AUTOMATON_CHARS, families_of, fits, keyword_rows, matcher
 from .taxonomy import DEFAULT, OTHER, Taxonomy
 from .text import occurrences
 
@@ -66,23 +67,28 @@ def _letters(n: int, place: Column) -> Column:
     return F.substring("_low", place, F.lit(n))
 
 
-def tagged_by_table(df: DataFrame, text: str, key: str, dictionary: DataFrame, fallback: bool = True, most: int = 10_000) -> DataFrame:
+def tagged_by_table(df: DataFrame, text: str, key: str, dictionary: DataFrame, fallback: bool = True, most: int = AUTOMATON_CHARS) -> DataFrame:
     """keyword_tags with the dictionary (keyword, family) as a table; for dictionaries that users keep as data.
 
-    A dictionary of up to ``most`` rows is broadcast. Beyond that, texts and keywords meet by the first one, two or
-    three letters that a keyword has: only keys and those letters go through the join, and the candidates of a row
-    are verified by its text. Both ways give the same tags. Rows of one key, or of none, are told apart by their text.
+    Up to ``most`` characters of keywords one automaton reads each text once, and no text is shuffled. A dictionary
+    beyond that is joined (``_tagged_by_join``), with the same tags; it alone needs ``key``.
     """
-    rows = dictionary.select(F.lower("keyword").alias("keyword"), "family").where("keyword <> ''").distinct()
+    rows = keyword_rows(dictionary)
+    if not fits(rows, most):
+        return _tagged_by_join(df, text, key, rows, fallback)
+    return df.withColumn("fraud_tags", _or_other(families_of(matcher(rows, most)(text)), fallback))
+
+
+def _tagged_by_join(df: DataFrame, text: str, key: str, rows: DataFrame, fallback: bool) -> DataFrame:
+    """Texts and keywords meet by the first one, two or three letters that a keyword has: only keys and those letters
+    go through the join, and the candidates of a row are verified by its text. Rows of one key, or of none, are told
+    apart by their text."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     marked = df.withColumns({"_low": low, "_at": F.xxhash64(low)})
-    if rows.limit(most + 1).count() <= most:
-        met = marked.select(key, "_at", "_low").join(F.broadcast(rows), F.col("_low").contains(F.col("keyword")))
-    else:
-        places = F.sequence(F.lit(1), F.length("_low"))
-        letters = [F.transform(places, partial(_letters, n)) for n in (1, 2, 3)]
-        grams = marked.where("_low <> ''").select(key, "_at", F.explode(F.array_distinct(F.concat(*letters))).alias("_gram"))
-        met = grams.join(rows.withColumn("_gram", F.substring("keyword", 1, 3)), "_gram")
+    places = F.sequence(F.lit(1), F.length("_low"))
+    letters = [F.transform(places, partial(_letters, n)) for n in (1, 2, 3)]
+    grams = marked.where("_low <> ''").select(key, "_at", F.explode(F.array_distinct(F.concat(*letters))).alias("_gram"))
+    met = grams.join(rows.withColumn("_gram", F.substring("keyword", 1, 3)), "_gram")
     found = met.groupBy(F.col(key).alias("_key"), F.col("_at").alias("_of")).agg(F.collect_set(F.struct("keyword", "family")).alias("_found"))
     joined = marked.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_of")), "left")
     own = F.filter(F.coalesce("_found", F.array().cast("array<struct<keyword:string,family:string>>")), lambda x: F.col("_low").contains(x["keyword"]))

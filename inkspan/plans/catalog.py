@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, signals, tags, text
+from ..functions import dates, dictionary, signals, tags, text
 from ..functions.taxonomy import Taxonomy
 from ..operators import chunks, dedup, joins
 from ..sources import html
@@ -281,8 +281,29 @@ def view_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tagging_by_table(spark: SparkSession, d: str) -> DataFrame:
-    dictionary = spark.createDataFrame(CORPUS.keyword_rows(), "keyword string, family string")
-    return tags.tagged_by_table(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", dictionary).select("doc_id", _joined("fraud_tags").alias("fraud_tags"))
+    words = spark.createDataFrame(CORPUS.keyword_rows(), "keyword string, family string")
+    return tags.tagged_by_table(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", words).select("doc_id", _joined("fraud_tags").alias("fraud_tags"))
+
+
+def _benchmark_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary that grows with the data: every three words in a row of the benchmark, by item."""
+    words = _table(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("words"))
+    places = F.expr("sequence(1, size(words) - 2)")
+    phrase = F.transform(places, lambda i: F.array_join(F.slice("words", i, 3), " "))
+    return words.where("size(words) > 2").select(F.explode(phrase).alias("keyword"), F.concat(F.lit("item "), "item_id").alias("family"))
+
+
+def dictionary_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Which phrases of the benchmark every document holds: for each item how many, and where the first is."""
+    rows = dictionary.dictionary_hits(_table(spark, d, "documents").select("doc_id", "text"), "text", _benchmark_phrases(spark, d))
+    return rows.select("doc_id", F.inline("hits"))
+
+
+def primary_tag_by_table(spark: SparkSession, d: str) -> DataFrame:
+    """Tags, and the one of most hits, of a keyword dictionary that is a table."""
+    words = spark.createDataFrame(CORPUS.keyword_rows(), "keyword string, family string")
+    rows = dictionary.dictionary_hits(_tagged(spark, d).select("doc_id", "text", "fraud_tags"), "text", words)
+    return rows.select("doc_id", _joined(dictionary.families_of("hits")).alias("families"), dictionary.primary_of_hits("hits", "fraud_tags", CORPUS.priority).alias("primary_tag"))
 
 
 def chained_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -330,7 +351,7 @@ QUERIES = {
         wide_documents, clean_text, trend_by_year, trend_by_quarter, yoy_change, new_categories, trend_period, trend_filled, period_over_period, ytd_compare,
         source_audit, category_matrix, dashboard_totals, dedup_first, cross_source_dedup, incremental_anti, narrative_themes, stable_id, html_heading, html_articles,
         html_links, null_counts, union_distinct, year_counts_aligned, page_bodies,
-        emerging_rising, emerging_falling, view_summary, tagging_by_table, chained_dedup, last_values, date_forms, ytd_by_status, top_tags, signal_trend,
+        emerging_rising, emerging_falling, view_summary, tagging_by_table, dictionary_hits, primary_tag_by_table, chained_dedup, last_values, date_forms, ytd_by_status, top_tags, signal_trend,
         chunk_tag_distribution, title_labels,
     )
 }
@@ -370,6 +391,17 @@ ORACLE_SQL = {
     "source_share_pivot": f"WITH {_ROWS_SQL} SELECT source, " + ", ".join(f"count(*) FILTER (WHERE fraud_tag = '{t}') AS {t}" for t in ("abuse", "article", "conjunction", "preposition", "verb")) + " FROM tag_rows GROUP BY source",
     "keyword_vs_word_tagging": f"WITH {_TAGGED_SQL}, k AS (SELECT doc_id, list_filter({_KEYWORD_SQL}, lambda x: x IS NOT NULL) AS ks, list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{s}') THEN '{s}' END" for s, _ in CORPUS.signal_rows()) + "], lambda x: x IS NOT NULL) AS ss FROM documents) SELECT t.doc_id, array_to_string(fraud_tags, ',') AS word_tags, CASE WHEN len(ks) = 0 THEN 'other' ELSE array_to_string(list_sort(ks), ',') END AS keyword_tags, array_to_string(list_sort(ss), ',') AS signals FROM tagged t JOIN k ON t.doc_id = k.doc_id",
     "primary_tag_hits": f"WITH {_PRIMARY_SQL} SELECT doc_id, primary_tag, severest_tag FROM primaries",
+    "primary_tag_by_table": f"""WITH {_PRIMARY_SQL},
+k AS (SELECT doc_id, list_filter({_KEYWORD_SQL}, lambda x: x IS NOT NULL) AS ks FROM documents)
+SELECT k.doc_id, array_to_string(list_sort(ks), ',') AS families, primary_tag FROM k JOIN primaries p ON k.doc_id = p.doc_id""",
+    "dictionary_hits": """WITH words AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+keys AS (
+  SELECT DISTINCT 'item ' || item_id AS family, array_to_string(w[i:i + 2], ' ') AS keyword
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) > 2)),
+met AS (
+  SELECT doc_id, family, (length(low) - length(replace(low, keyword, ''))) // length(keyword) AS n, strpos(low, keyword) AS place
+  FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN keys ON contains(low, keyword))
+SELECT doc_id, family, CAST(sum(n) AS INTEGER) AS hits, CAST(min(place) AS INTEGER) AS place FROM met GROUP BY doc_id, family""",
     "primary_tag_distribution": f"WITH {_PRIMARY_SQL} SELECT primary_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (), 2) AS pct FROM primaries GROUP BY primary_tag",
     "tag_multiplicity": f"WITH {_TAGGED_SQL} SELECT count(*) FILTER (WHERE len(fraud_tags) = 1) AS single_tag, count(*) FILTER (WHERE len(fraud_tags) > 1) AS multi_tag, count(*) AS documents FROM tagged",
     "signal_extract": f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)\\b{_URL_RE}'))), ',') AS urls, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_EMAIL_RE}'), lambda x: lower(x)))), ',') AS emails, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_PHONE_RE}'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))))), ',') AS phones, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{signals.IP}'))), ',') AS ips, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '{signals.BTC}', 1), regexp_extract_all(text, '{signals.ETH}')))), ',') AS wallets FROM documents",

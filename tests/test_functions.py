@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from inkspan.functions import dates, signals, tags, text
+from inkspan.functions import dates, dictionary, signals, tags, text
 from inkspan.functions.taxonomy import DEFAULT, EARLIER, KEYWORDS, SIGNALS
 
 
@@ -122,6 +122,45 @@ def test_tags_by_table_do_not_depend_on_the_dictionarys_size(spark):
         assert {(r["id"], r["x"]): r["fraud_tags"] for r in tags.tagged_by_table(df, "x", "id", dictionary).collect()} == want
 
 
+def test_dictionaries_of_any_size_give_the_same_tags_without_moving_texts(spark):
+    """One, ten thousand and a million keywords, each with the same few that occur; and beyond the automaton's limit."""
+    df = spark.createDataFrame([(1, "alpha scam beta SCAMS"), (2, "nothing"), (None, "ponzi and scam"), (None, None), (4, "")], "id int, x string").repartition(1)
+    want = {(1, "alpha scam beta SCAMS"): ["fraud"], (2, "nothing"): ["other"], (None, "ponzi and scam"): ["fraud"], (None, None): ["other"], (4, ""): ["other"]}
+    for n in (0, 10_000, 1_000_000):
+        words = spark.range(n).selectExpr("concat('zq', id, 'x') AS keyword", "concat('f', id % 7) AS family")
+        words = words.union(spark.createDataFrame([("Scam", "fraud"), ("", "none"), (None, "none")], "keyword string, family string"))
+        out = tags.tagged_by_table(df, "x", "id", words)
+        assert {(r["id"], r["x"]): r["fraud_tags"] for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "ArrowEvalPython" in plan and plan.count("Repartition") == 1
+    joined = tags.tagged_by_table(df, "x", "id", words.where("family <> 'f1'").limit(500), most=10)
+    assert joined.where("id = 4").first()["fraud_tags"] == ["other"] and "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_count_like_plain_python(spark):
+    """Nested, overlapping, repeated and shared keywords in odd scripts; places count characters from 1."""
+    words = [("aa", "x"), ("aaa", "x"), ("ab", "y"), ("a", "z"), ("ß", "y"), ("straße", "s"), ("AA", "x"), ("ab", "x"), ("日本", "j"), ("𝒳", "j")]
+    texts = ["aaaaa", "abaab", "", None, "STRASSE straße", "日本日本 𝒳 aa", "b" * 5000 + "aab", "AaAaB"]
+    keys = {(k.lower(), f) for k, f in words}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r["i"]: [tuple(h) for h in r["hits"]] for r in dictionary.dictionary_hits(df, "x", spark.createDataFrame(words, "keyword string, family string")).collect()}
+    for i, t in enumerate(texts):
+        low, want = (t or "").lower(), {}
+        for k, f in keys:
+            if k in low:
+                n, at = want.get(f, (0, len(low)))
+                want[f] = (n + low.count(k), min(at, low.index(k)))
+        assert got[i] == [(f, n, at + 1) for f, (n, at) in sorted(want.items())]
+
+
+def test_primary_tag_of_hits(spark):
+    """Most hits, then priority, then name; 'other', null and unknown tags; no tags at all."""
+    hits = "array(named_struct('family', 'b', 'hits', 2, 'place', 1), named_struct('family', 'c', 'hits', 2, 'place', 1), named_struct('family', 'd', 'hits', 9, 'place', 1))"
+    cases = [("array('b', 'c', 'a')", "c"), ("array('b', 'a', 'other')", "b"), ("array('y', 'x')", "x"), ("array('other')", "other"), ("array(null, 'a')", "a"), ("cast(array() as array<string>)", "other")]
+    for tags_sql, want in cases:
+        assert spark.sql(f"SELECT {hits} AS h, {tags_sql} AS t").select(dictionary.primary_of_hits("h", "t", ("d", "c"))).first()[0] == want
+
+
 def test_primary_tags_count_the_earlier_keywords(spark):
     """Words that came into the dictionary later tag a text, but don't count as hits."""
     df = spark.createDataFrame([("bitcoin ethereum smishing dark web phishing", ["crypto_fraud", "cybercrime"]), ("bitcoin bitcoin wallet", ["crypto_fraud", "cybercrime"])], "x string, t array<string>")
