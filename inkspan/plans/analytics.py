@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import COMPOUNDS, FLAGS
-from ..operators.joins import top_semi
 
 
 def _amount(weight: str | None) -> Column:
@@ -28,17 +27,24 @@ def distribution(rows: DataFrame, tag: str = "fraud_tag", weight: str | None = N
     return counts.withColumn("pct", percent("count", F.sum("count").over(Window.partitionBy()), digits)).orderBy(F.desc("count"), tag)
 
 
+def _largest(counts: DataFrame, tag: str, top: int | None) -> DataFrame:
+    """Of counts by tag and something else those of the ``top`` tags by their sums, ties by name. Its windows run over
+    counts, a row for each group, so the rows that were counted are read once."""
+    if not top:
+        return counts
+    summed = counts.where(F.col(tag).isNotNull()).withColumn("_sum", F.sum("count").over(Window.partitionBy(tag)))
+    return summed.withColumn("_rank", F.dense_rank().over(Window.orderBy(F.desc("_sum"), tag))).where(F.col("_rank") <= top).drop("_sum", "_rank")
+
+
 def trend(rows: DataFrame, period: str, tag: str = "fraud_tag", weight: str | None = None, top: int | None = 8) -> DataFrame:
     """(period, tag, count) of the largest tags; rows without a period fall away."""
-    dated = rows.where(F.col(period).isNotNull())
-    chosen = top_semi(dated, tag, weight, top) if top else dated
-    return chosen.groupBy(period, tag).agg(_amount(weight).alias("count")).orderBy(period, tag)
+    counts = rows.where(F.col(period).isNotNull()).groupBy(period, tag).agg(_amount(weight).alias("count"))
+    return _largest(counts, tag, top).orderBy(period, tag)
 
 
 def by_source(rows: DataFrame, source: str = "source", tag: str = "fraud_tag", weight: str | None = None, top: int | None = 8) -> DataFrame:
     """(source, tag, count, share): counts of the largest tags, and their share of the source's row in percent."""
-    chosen = top_semi(rows, tag, weight, top) if top else rows
-    counts = chosen.groupBy(source, tag).agg(_amount(weight).alias("count"))
+    counts = _largest(rows.groupBy(source, tag).agg(_amount(weight).alias("count")), tag, top)
     return counts.withColumn("share", percent("count", F.sum("count").over(Window.partitionBy(source)), 1)).orderBy(source, tag)
 
 
@@ -83,19 +89,13 @@ def signal_rates(view: DataFrame, by: str, flags=FLAGS) -> DataFrame:
     return view.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.bround(F.avg(F.col(f).cast("int")) * 100, 1).alias(f) for f in flags]).orderBy(by)
 
 
-def last_two(rows: DataFrame, period: str) -> DataFrame:
-    """One row (previous, current) of the last two periods that are present, adjacent or not; none if there are fewer."""
-    years = rows.where(F.col(period).isNotNull()).select(period).distinct().orderBy(F.desc(period)).limit(2)
-    both = years.agg(F.min(period).alias("previous"), F.max(period).alias("current"))
-    return both.where("previous < current")
-
-
 def year_on_year(rows: DataFrame, period: str = "year", tag: str = "fraud_tag", weight: str | None = None) -> DataFrame:
-    """(tag, previous, current, pct_change) of the last two periods: (current - previous) / (previous + 1) in percent."""
-    ends = last_two(rows, period)
-    near = rows.join(F.broadcast(ends), F.col(period).isin(F.col("previous"), F.col("current")))
-    amount = F.lit(1) if weight is None else F.col(weight)
-    sums = near.groupBy(tag).agg(F.sum(F.when(F.col(period) == F.col("previous"), amount).otherwise(0)).alias("previous"), F.sum(F.when(F.col(period) == F.col("current"), amount).otherwise(0)).alias("current"))
+    """(tag, previous, current, pct_change) of the last two periods that are present, adjacent or not; nothing if there
+    are fewer. The change is (current - previous) / (previous + 1) in percent. Windows run over counts by period."""
+    counts = rows.where(F.col(period).isNotNull()).groupBy(tag, period).agg(_amount(weight).alias("count"))
+    ranked = counts.withColumn("_back", F.dense_rank().over(Window.orderBy(F.desc(period)))).where("_back <= 2")
+    both = ranked.withColumn("_periods", F.max("_back").over(Window.partitionBy())).where("_periods = 2")
+    sums = both.groupBy(tag).agg(*[F.coalesce(F.sum(F.when(F.col("_back") == n, F.col("count"))), F.lit(0)).alias(name) for n, name in ((2, "previous"), (1, "current"))])
     change = F.bround((F.col("current") - F.col("previous")).cast("double") / (F.col("previous") + 1) * 100, 1)
     return sums.withColumn("pct_change", change).orderBy(F.desc("pct_change"), tag)
 
@@ -127,14 +127,46 @@ def null_counts(df: DataFrame) -> DataFrame:
     return sums.selectExpr(f"stack({len(df.columns)}, " + ", ".join(f"'{c}', `{c}`" for c in df.columns) + ") as (column_name, nulls)").orderBy("column_name")
 
 
-def analyse(view: DataFrame, weight: str | None = None) -> dict[str, DataFrame]:
-    """All tag analyses of one view; read the view from a cache or table, as each is a query of its own."""
-    from .views import tag_rows
-
-    rows = tag_rows(view)
-    rising, falling = emerging(rows, weight=weight)
+#: What ``tag_cube`` counts by, each beside the tag; a row says by its ``kind`` which of them it is of.
+CUBE = ("tag", "year", "quarter", "source")
+
+
+def tag_cube(view: DataFrame, weight: str | None = None) -> DataFrame:
+    """(kind, fraud_tag, year, quarter, source, count): all counts of a view's tags, by one pass over it.
+
+    One Expand feeds one aggregate over GROUPING SETS: the tag alone, and with the year, the quarter and the source.
+    ``kind`` is 'primary' for counts of primary tags, which rows bring along as a tag of another sort, and one of CUBE
+    else. Columns that a set doesn't group by are null; a null inside a set is a group of its own. Null, blank and
+    'other' tags fall away, but not as primary tags. Counts are weighted if a ``weight`` is named.
+    """
+    empty = F.array().cast("array<string>")
+    named = F.filter(F.coalesce("fraud_tags", empty), lambda t: t.isNotNull() & ~t.isin("", "other"))
+    sorts = [F.transform(named, lambda t: F.struct(F.lit(False).alias("primary"), t.alias("fraud_tag")))]
+    if "primary_tag" in view.columns:
+        sorts.append(F.array(F.struct(F.lit(True).alias("primary"), F.col("primary_tag").alias("fraud_tag"))))
+    amount = [] if weight is None else [weight]
+    rows = view.select("year", "quarter", "source", *amount, F.inline(F.concat(*sorts)))
+    sets = [["primary", "fraud_tag"], *[["primary", "fraud_tag", c] for c in CUBE[1:]]]
+    out = rows.groupingSets(sets, "primary", "fraud_tag", *CUBE[1:]).agg(F.grouping_id().alias("_set"), _amount(weight).alias("count"))
+    # In a grouping id the bit of a column that isn't grouped by is 1, and the last column has the lowest bit.
+    kinds = {7: "tag", 3: "year", 5: "quarter", 6: "source"}
+    kind = F.coalesce(*[F.when(F.col("_set") == bits, F.lit(name)) for bits, name in kinds.items()])
+    out = out.where(~F.col("primary") | (F.col("_set") == 7))
+    return out.select(F.when(F.col("primary"), F.lit("primary")).otherwise(kind).alias("kind"), "fraud_tag", *CUBE[1:], "count")
+
+
+def analyses_of(cube: DataFrame) -> dict[str, DataFrame]:
+    """All tag analyses from a cube, which is read from a cache or a table: none goes back to the view."""
+    rows = {kind: cube.where(F.col("kind") == kind) for kind in (*CUBE, "primary")}
+    rising, falling = emerging(rows["year"], weight="count")
     return {
-        "category_distribution": distribution(rows, weight=weight), "trend_by_year": trend(rows, "year", weight=weight), "trend_by_quarter": trend(rows, "quarter", weight=weight),
-        "source_by_category": by_source(rows, weight=weight), "rising": rising, "falling": falling, "new_categories": new_categories(rows),
-        "primary_tag_distribution": distribution(view, "primary_tag", weight, 2),
+        "category_distribution": distribution(rows["tag"], weight="count"), "trend_by_year": trend(rows["year"], "year", weight="count"),
+        "trend_by_quarter": trend(rows["quarter"], "quarter", weight="count"), "source_by_category": by_source(rows["source"], weight="count"),
+        "rising": rising, "falling": falling, "new_categories": new_categories(rows["year"]),
+        "primary_tag_distribution": distribution(rows["primary"].withColumnRenamed("fraud_tag", "primary_tag"), "primary_tag", "count", 2),
     }
+
+
+def analyse(view: DataFrame, weight: str | None = None) -> dict[str, DataFrame]:
+    """All tag analyses of one view. The view is read once: its cube, a few rows for each tag, is cached."""
+    return analyses_of(tag_cube(view, weight).persist())

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import tags, text
 from ..functions.taxonomy import DEFAULT, EARLIER
 from ..operators import chunks, dedup, joins
-from ..sources import html, notices, readers, web, writers
+from ..sources import html, notices, readers, releases, web, writers
 from ..streaming import incremental
 from . import analytics, dashboard, pipelines, views
 from .catalog_text import CASES, cases, comma, keyword_sql, or_other, pattern_sql, primary_sql, table
@@ -364,6 +364,7 @@ def exported_run(spark, d):
     """Both views analysed and written; what is read back of their distributions, and the flat master's first columns."""
     at = readers.landing(spark, "run")
     pipelines.export_run(_rows(spark, d), at)
+    at = releases.current(spark, at)
     parts = [readers.csv(spark, f"{at}/category_distribution_{v}").select(F.lit(v).alias("view"), F.col("fraud_tag").alias("tag"), F.round(F.col("count").cast("double"), 6).alias("count")) for v in ("docs", "weighted")]
     flat = readers.csv(spark, f"{at}/master_docs")
     head = ",".join(flat.columns[:14])
@@ -374,6 +375,7 @@ def exported_run(spark, d):
 def exported_primary_tags(spark, d):
     at = readers.landing(spark, "run")
     pipelines.export_run(_rows(spark, d), at)
+    at = releases.current(spark, at)
     return readers.csv(spark, f"{at}/primary_tag_distribution_docs").select("primary_tag", F.col("count").cast("long").alias("count"), F.col("pct").cast("double").alias("pct"))
 
 
@@ -482,3 +484,17 @@ def analysed_trend(spark, d):
     """One of the results that ``analyse`` returns for a view, read as a chart's data would be."""
     rows = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), F.lit("2000Q1").alias("quarter"), F.lit("s").alias("source"), F.array("o_orderpriority").alias("fraud_tags"), F.col("o_orderpriority").alias("primary_tag"))
     return analytics.analyse(rows)["trend_by_year"].select("year", F.col("fraud_tag").alias("tag"), "count")
+
+
+@query("""WITH r AS (SELECT year(o_orderdate) AS year, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, o_orderstatus AS source, o_orderpriority AS p, (o_custkey % 2) || '-' || o_orderstatus AS t FROM orders),
+t AS (SELECT year, quarter, source, unnest([p, t]) AS fraud_tag FROM r)
+SELECT CASE WHEN grouping(year) = 0 THEN 'year' WHEN grouping(quarter) = 0 THEN 'quarter' WHEN grouping(source) = 0 THEN 'source' ELSE 'tag' END AS kind, fraud_tag, year, quarter, source, count(*) AS count
+FROM t GROUP BY GROUPING SETS ((fraud_tag), (fraud_tag, year), (fraud_tag, quarter), (fraud_tag, source))
+UNION ALL SELECT 'primary', p, NULL, NULL, NULL, count(*) FROM r GROUP BY p""")
+def counts_of_a_view(spark, d):
+    """Everything that is counted of a view's tags, from one scan of it."""
+    rows = table(spark, d, "orders")
+    tags_of = F.array("o_orderpriority", F.concat_ws("-", F.col("o_custkey") % 2, "o_orderstatus"), F.lit("other"), F.lit(None), F.lit(""))
+    quarter = F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate"))
+    view = rows.select(F.year("o_orderdate").alias("year"), quarter.alias("quarter"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("primary_tag"), tags_of.alias("fraud_tags"))
+    return analytics.tag_cube(view)

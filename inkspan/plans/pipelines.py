@@ -18,10 +18,10 @@ from ..functions.taxonomy import DEFAULT, EARLIER, Taxonomy
 from ..functions.text import joined, normalize_space, shortened, stable_id, strip_boilerplate
 from ..operators.chunks import chunk_rows, chunk_summary, documents_of_chunks, tag_chunks
 from ..operators.dedup import keep_first_chain
-from ..sources import writers
+from ..sources import releases, writers
 from ..sources.printed import Extractor, Optical, form_feeds, full_text, text_summary, with_pages
 from ..sources.readers import exists, missing_files
-from .analytics import analyse
+from .analytics import analyses_of, tag_cube
 from .views import documents, master
 
 
@@ -103,18 +103,32 @@ def notices(files: DataFrame, listing: DataFrame, extract: Extractor = form_feed
 
 
 def export_run(rows: DataFrame, directory: str, taxonomy: Taxonomy = DEFAULT, include_body: bool = False) -> dict[str, DataFrame]:
-    """Both views of normalised rows analysed and written: for each the three exports and the primary tags, and the
-    flat master. Returns the results by 'docs' and 'weighted' name. The master is written once and read by both."""
+    """Both views of normalised rows analysed and published together: for each its cube, the three exports and the
+    primary tags, and the flat master. Returns the results by 'docs' and 'weighted' name.
+
+    The master is written once and read once for each view's cube, from which all analyses come. ``releases.current``
+    gives the path of what was published last; a run that fails changes nothing of it.
+    """
     spark = rows.sparkSession
-    master(rows, taxonomy).write.mode("overwrite").parquet(f"{directory}/master")
-    whole = spark.read.parquet(f"{directory}/master")
-    results = {}
-    for suffix, view, weight in (("docs", documents(whole, taxonomy), None), ("weighted", whole, "chunk_weight")):
-        found = analyse(view, weight)
-        writers.export_view(found, directory, suffix)
-        writers.csv(found["primary_tag_distribution"], f"{directory}/primary_tag_distribution_{suffix}")
-        results |= {f"{name}_{suffix}": df for name, df in found.items()}
-    writers.csv(writers.flat_master(documents(whole, taxonomy), include_body), f"{directory}/master_docs")
+    results, outputs = {}, {"master": lambda path: master(rows, taxonomy).write.parquet(path)}
+
+    def whole(path: str) -> DataFrame:
+        return spark.read.parquet(f"{path.rsplit('/', 1)[0]}/master")
+
+    def add(suffix: str, weight: str | None) -> None:
+        def cube(path: str) -> None:
+            view = documents(whole(path), taxonomy) if weight is None else whole(path)
+            tag_cube(view, weight).write.parquet(path)
+            results.update({f"{name}_{suffix}": df for name, df in analyses_of(spark.read.parquet(path)).items()})
+
+        outputs[f"cube_{suffix}"] = cube
+        for name in (*writers.VIEW_EXPORTS, "primary_tag_distribution"):
+            outputs[f"{name}_{suffix}"] = lambda path, of=f"{name}_{suffix}": writers.csv(results[of], path)
+
+    add("docs", None)
+    add("weighted", "chunk_weight")
+    outputs["master_docs"] = lambda path: writers.csv(writers.flat_master(documents(whole(path), taxonomy), include_body), path)
+    releases.publish(spark, directory, outputs)
     return results
 
 

@@ -35,15 +35,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def landing(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where that is unset and the
-    session runs in one process, in a temporary one."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), removed when the driver ends.
+
+    Where that is unset, a session that runs in one process (``local[...]``) takes a temporary folder, and any other is
+    refused: executors of their own, be they on the driver's machine, don't see the driver's files.
+    """
     context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir", None)
+    where = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.gettempdir()
-    return f"{where.rstrip('/')}/inkspan-{name}-{uuid.uuid4().hex}"
+    parent = context._jvm.org.apache.hadoop.fs.Path(f"{where.rstrip('/')}/inkspan-{uuid.uuid4().hex}")
+    files = parent.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(parent)
+    files.deleteOnExit(parent)
+    return f"{parent.toString()}/{name}"
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None) -> DataFrame:

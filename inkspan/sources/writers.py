@@ -36,9 +36,13 @@ def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     encoded(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+#: What is exported of each view.
+VIEW_EXPORTS = ("category_distribution", "trend_by_year", "source_by_category")
+
+
 def export_view(results: dict[str, DataFrame], directory: str, suffix: str) -> None:
     """category_distribution, trend_by_year and source_by_category of one view, each a CSV folder."""
-    for name in ("category_distribution", "trend_by_year", "source_by_category"):
+    for name in VIEW_EXPORTS:
         csv(results[name], f"{directory}/{name}_{suffix}")
 
 

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspan.operators import chunks, dedup, joins
 from inkspan.plans import analytics, dashboard, pipelines, views
+from inkspan.sources import releases
 
 
 def test_chunk_edges(spark):
@@ -116,3 +118,110 @@ def test_steps(spark, tmp_path):
     assert [r["status"] for r in pipelines.run_steps(spark, steps).collect()] == ["done", "failed", "blocked", "off"]
     assert [r["status"] for r in pipelines.run_steps(spark, steps).collect()][0] == "skipped"
     assert [r["ready"] for r in pipelines.ready(spark, steps).collect()] == [True, False, False, False]
+
+
+def _counted(view, weight):
+    """The cube in plain Python."""
+    out = {}
+    for r in view:
+        amount = 1 if weight is None else r[weight]
+        keys = [("primary", r["primary_tag"], None, None, None)]
+        for t in r["fraud_tags"] or []:
+            if t not in (None, "", "other"):
+                keys += [("tag", t, None, None, None), ("year", t, r["year"], None, None), ("quarter", t, None, r["quarter"], None), ("source", t, None, None, r["source"])]
+        for k in keys:
+            out[k] = out.get(k, 0) + amount
+    return out
+
+
+def _cube_view(spark, n=400):
+    r = random.Random(5)
+    tags = ["a", "b", "c", "other", "", None]
+    rows = [(r.choice([None, 2020, 2021, 2022]), r.choice([None, "2020-Q1", "2021-Q4"]), r.choice(["s1", "s2", None]), r.choice([None, [], r.sample(tags, r.randint(1, 6))]), r.choice(["a", "b", "other"]), r.choice([0.5, 0.25, 1.0])) for _ in range(n)]
+    return spark.createDataFrame(rows, "year int, quarter string, source string, fraud_tags array<string>, primary_tag string, chunk_weight double")
+
+
+@pytest.mark.parametrize("weight", [None, "chunk_weight"])
+def test_cube(spark, weight):
+    view = _cube_view(spark)
+    cube = analytics.tag_cube(view, weight)
+    got = {(r["kind"], r["fraud_tag"], r["year"], r["quarter"], r["source"]): r["count"] for r in cube.collect()}
+    assert got == _counted([r.asDict() for r in view.collect()], weight)
+    plan = cube._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("Aggregate [") == 1 and plan.count("LogicalRDD") == 1
+
+
+@pytest.mark.parametrize("weight", [None, "chunk_weight"])
+def test_analyses_come_from_one_scan_and_equal_separate_ones(spark, weight):
+    """Each analysis equals that of the tag rows themselves, and none reads the view again."""
+    view = _cube_view(spark)
+    rows = views.tag_rows(view)
+    rising, falling = analytics.emerging(rows, weight=weight)
+    want = {
+        "category_distribution": analytics.distribution(rows, weight=weight), "trend_by_year": analytics.trend(rows, "year", weight=weight), "trend_by_quarter": analytics.trend(rows, "quarter", weight=weight),
+        "source_by_category": analytics.by_source(rows, weight=weight), "rising": rising, "falling": falling, "new_categories": analytics.new_categories(rows),
+        "primary_tag_distribution": analytics.distribution(view, "primary_tag", weight, 2),
+    }
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = analytics.analyse(view.mapInArrow(counted, view.schema), weight)
+    assert set(got) == set(want)
+    for name, df in want.items():
+        assert [tuple(r) for r in got[name].collect()] == [tuple(r) for r in df.collect()], name
+    assert read.value == 400
+    empty = analytics.analyse(view.limit(0), weight)
+    assert all(df.count() == 0 for df in empty.values())
+
+
+def test_outputs_are_published_together(spark, tmp_path):
+    at = str(tmp_path / "out")
+    assert releases.current(spark, at) is None and releases.outputs(spark, at) == [] and releases.prune(spark, at) == []
+
+    def numbers(n):
+        return {name: lambda path, k=k: spark.range(n + k).write.parquet(path) for k, name in enumerate(("one", "two"))}
+
+    def read():
+        here = releases.current(spark, at)
+        return [spark.read.parquet(f"{here}/{name}").count() for name in releases.outputs(spark, at)]
+
+    first = releases.publish(spark, at, numbers(3))
+    assert read() == [3, 4]
+
+    def fails(path):
+        assert read() == [3, 4]
+        raise RuntimeError("half-way")
+
+    with pytest.raises(RuntimeError):
+        releases.publish(spark, at, numbers(7) | {"three": fails})
+    assert read() == [3, 4] and releases.current(spark, at) == first
+    second = releases.publish(spark, at, numbers(5))
+    assert read() == [5, 6] and spark.read.parquet(f"{first}/one").count() == 3
+    assert len(releases.prune(spark, at, keep=1)) == 2 and read() == [5, 6] and releases.current(spark, at) == second
+
+
+def test_a_failing_export_leaves_the_former_one_whole(spark, tmp_path, monkeypatch):
+    from inkspan.functions.signals import indicators
+    from inkspan.sources import writers
+
+    at = str(tmp_path / "run")
+    rows = views.normalized(_rows(spark).withColumn("fraud_signals", indicators("text")), "text")
+    assert pipelines.export_run(rows, at)["category_distribution_docs"].count() == 3
+    before, names = releases.current(spark, at), releases.outputs(spark, at)
+    assert len(names) == 12
+
+    def broken(df, path, mode="overwrite"):
+        if path.endswith("source_by_category_weighted"):
+            raise OSError("disk")
+        return plain(df, path, mode)
+
+    plain = writers.csv
+    monkeypatch.setattr(writers, "csv", broken)
+    with pytest.raises(OSError):
+        pipelines.export_run(rows.where("source = 's2'"), at)
+    assert releases.current(spark, at) == before and releases.outputs(spark, at) == names
+    assert all(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{before}/{n}").count() > 0 for n in names)
