@@ -1,26 +1,27 @@
 """Benchmark decontamination with a stored positional inverted index, sharded by document.
 
 A shard is a few MB of documents. Its row of the index holds all its terms in order and, for each, the sorted places in
-the shard's running word count, so the next benchmark needs no reading of texts. Test items come in blocks of bounded
-size, one at a time. A block files each of its windows under the window's rarest term; a shard takes only the windows
-that are filed under terms it holds, and of these only those whose other terms it holds too. From its shortest list on,
-places less the offset in the window are intersected, and what remains are exact phrases. Proximity matches take, for
-each place of the window's rarest term, the nearest place of every other term.
+the shard's running word count, so a benchmark that comes later needs no reading of texts (``positional_index``). Test
+items come in blocks of bounded size, one at a time. A block files each of its windows under the window's rarest term;
+a shard takes only the windows that are filed under terms it holds, and of these only those whose other terms it holds
+too. From its shortest list on, places less the offset in the window are intersected, and what remains are exact
+phrases. Proximity matches take, for each place of the window's rarest term, the nearest place of every other term.
 
 As shards hold whole documents, no posting crosses the network.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batches, bitmaps, pick, slices, table, with_mark, written
 
@@ -34,8 +35,6 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 _INDEX = {"shard": pa.int64(), "doc_id": pa.list_(pa.int64()), "place": pa.list_(pa.int64()), "n_words": pa.list_(pa.int64()), "terms": pa.binary(), "counts": pa.binary(), "places": pa.binary()}
 INDEX = "shard bigint, doc_id array<bigint>, place array<bigint>, n_words array<bigint>, terms binary, counts binary, places binary"
-_FOUND = {"shard": pa.int64(), "at": pa.int32(), "bits": pa.binary(), "items": pa.list_(pa.string())}
-FOUND = "shard bigint, at int, bits binary, items array<string>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -43,38 +42,110 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Items:
-    """A block of test items: term ids and the windows, each once, with the items that hold it, filed by rarest term."""
+    """A block of test items in flat arrays: its terms in order of their bytes with their digests, the windows as rows of
+    term numbers, each once, with the items that hold it, and the windows filed under each term."""
 
-    def __init__(self, rows: list[tuple[str | None, list[bytes]]], window: int):
+    def __init__(self, names: list[bytes], flat: np.ndarray, lengths: np.ndarray, owners: list[str | None], window: int):
         self.window = window
-        self.terms: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, words in rows:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                found.setdefault(tuple(ids[i : i + window]), set()).update([] if item is None else [item])
-        self.windows = [np.array(k, np.int32) for k in found]
-        self.items = [sorted(v) for v in found.values()]
-        often, word = Counter(t for k in found for t in set(k)), list(self.terms)
-        #: Of each window the term that the fewest windows hold, the first of equals by its bytes; and windows by it.
-        self.rarest = [min(set(k), key=lambda t: (often[t], word[t])) for k in found]
-        self.filed: dict[int, list[int]] = {}
-        for i, t in enumerate(self.rarest):
-            self.filed.setdefault(t, []).append(i)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        self._keep_terms([names[i] for i in order])
+        self.owners = sorted({o for o in owners if o is not None})
+        number = {o: i for i, o in enumerate(self.owners)}
+        windows, held_by = _windows(rank[flat] if len(flat) else flat, lengths, np.array([number.get(o, -1) for o in owners], np.int32), window)
+        # Equal windows come together, and each item counts once for one.
+        if len(windows):
+            keys = windows.view(np.dtype((np.void, 4 * (window + 1))))[:, 0]
+            order = np.lexsort((held_by, np.unique(keys, return_inverse=True)[1]))
+            windows, held_by = windows[order], held_by[order]
+        new = np.ones(len(windows), bool)
+        new[1:] = (windows[1:] != windows[:-1]).any(1)
+        at = np.cumsum(new) - 1
+        fresh = held_by >= 0
+        fresh[1:] &= new[1:] | (held_by[1:] != held_by[:-1])
+        self.held_by = held_by[fresh]
+        self.windows, self.sizes = np.ascontiguousarray(windows[new, 1:]), windows[new, 0].astype(np.int32)
+        self.held_from = np.concatenate([[0], np.cumsum(np.bincount(at[fresh], minlength=len(self.sizes)))])
+        self._file()
+
+    def _keep_terms(self, names: list[bytes]) -> None:
+        digests = np.fromiter(map(xxhash.xxh64_intdigest, names), "<u8", len(names))
+        self.by_digest = np.argsort(digests, kind="stable").astype(np.int32)
+        self.digests = digests[self.by_digest]
+        self.text = b"".join(names)
+        self.ends = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
+
+    def _file(self) -> None:
+        """Files each window under the term that the fewest windows hold, the first of equals by its bytes."""
+        n = len(self.ends)
+        often = np.zeros(n, np.int64)
+        for at in range(0, len(self.windows), 1 << 16):
+            own = np.sort(self.windows[at : at + (1 << 16)], axis=1)
+            once = own >= 0
+            once[:, 1:] &= own[:, 1:] != own[:, :-1]
+            often += np.bincount(own[once], minlength=n)
+        self.rarest = np.empty(len(self.windows), np.int32)
+        for at in range(0, len(self.windows), 1 << 16):
+            own = self.windows[at : at + (1 << 16)]
+            cost = np.where(own >= 0, often[own] * n + own, np.iinfo(np.int64).max)
+            self.rarest[at : at + (1 << 16)] = own[np.arange(len(own)), cost.argmin(1)]
+        self.filed = np.argsort(self.rarest, kind="stable").astype(np.int32)
+        self.filed_from = np.searchsorted(self.rarest[self.filed], np.arange(n + 1))
+
+    def numbers(self, names: list[bytes]) -> np.ndarray:
+        """Each name's number among the terms, or -1; equal digests of other names are passed over."""
+        own = np.fromiter(map(xxhash.xxh64_intdigest, names), "<u8", len(names))
+        low, high = np.searchsorted(self.digests, own), np.searchsorted(self.digests, own, "right")
+        out = np.full(len(names), -1, np.int32)
+        for i in np.flatnonzero(high > low).tolist():
+            for k in self.by_digest[low[i] : high[i]].tolist():
+                if self.text[self.ends[k - 1] if k else 0 : self.ends[k]] == names[i]:
+                    out[i] = k
+        return out
+
+    def window_of(self, i: int) -> np.ndarray:
+        return self.windows[i, : self.sizes[i]]
+
+    def items_of(self, i: int) -> list[str]:
+        return [self.owners[k] for k in self.held_by[self.held_from[i] : self.held_from[i + 1]].tolist()]
+
+
+def _windows(flat: np.ndarray, lengths: np.ndarray, owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of items that have words, as rows of (size, terms, -1 ..), and whose each is; short items are one."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+    counts = np.where(lengths > 0, np.maximum(1, lengths - window + 1), 0)
+    of = np.repeat(np.arange(len(lengths)), counts)
+    first = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.full((len(of), window + 1), -1, np.int32)
+    out[:, 0] = np.minimum(lengths[of], window)
+    for k in range(window):
+        some = k < out[:, 0]
+        out[some, k + 1] = flat[first[some] + k]
+    return out, owners[of]
 
 
 def item_blocks(benchmark: DataFrame, window: int) -> Iterator[Items]:
-    """Test items, read to the driver a partition at a time, in blocks of about BLOCK_WORDS words; one at least."""
-    rows, total, any_block = [], 0, False
+    """Test items, read to the driver a partition at a time, in blocks of about BLOCK_WORDS words; one at least.
+
+    A word is a number as soon as it is read: a block of 2 M words takes some 200 MB here and 150 in a worker.
+    """
+
+    def block() -> Items:
+        return Items(list(terms), np.concatenate(flat) if flat else np.zeros(0, np.int32), np.array(lengths, np.int64), owners, window)
+
+    terms, flat, lengths, owners, total, any_block = {}, [], [], [], 0, False
     for r in pick(benchmark, "item_id", "text").where("text is not null").withColumn("item_id", F.col("item_id").cast("string")).distinct().toLocalIterator():
         words = words_of(r["text"].encode())
-        rows.append((r["item_id"], words))
+        flat.append(np.fromiter((terms.setdefault(w, len(terms)) for w in words), np.int32, len(words)))
+        lengths.append(len(words))
+        owners.append(r["item_id"])
         total += len(words)
         if total >= BLOCK_WORDS:
-            yield Items(rows, window)
-            rows, total, any_block = [], 0, True
-    if rows or not any_block:
-        yield Items(rows, window)
+            yield block()
+            terms, flat, lengths, owners, total, any_block = {}, [], [], [], 0, True
+    if lengths or not any_block:
+        yield block()
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,32 +173,79 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard += 1
 
 
-def positional_index(documents: DataFrame) -> DataFrame:
-    """The index as a stored table: one row a shard, with its documents, their word counts, and all postings."""
+def _texts(documents: DataFrame) -> DataFrame:
     arrow_batches(documents.sparkSession)
-    texts = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
-    return written(texts.mapInArrow(_indexed, INDEX), "index")
+    return pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
+
+
+def positional_index(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """The index as a stored table: one row a shard, with its documents, their word counts, and all postings.
+
+    With a ``path`` it is kept there, for benchmarks to come: pass it as ``index``, and no text is read again. Else it
+    goes with the session.
+    """
+    made = _texts(documents).mapInArrow(_indexed, INDEX)
+    if path is None:
+        return written(made, "index")
+    made.write.mode("errorifexists").parquet(path)
+    return documents.sparkSession.read.schema(INDEX).parquet(path)
+
+
+def _each_block(documents: DataFrame | None, benchmark: DataFrame, window: int, index: DataFrame | None, match, fields: str) -> tuple[DataFrame, DataFrame]:
+    """The index, and what ``match`` (items, shard, its documents) finds by shard, block after block.
+
+    Where there is no index yet, the first block is looked up in each shard as it is made and stored, so postings are
+    read back for further blocks only. A block leaves the executors when it is done with.
+    """
+    spark = benchmark.sparkSession
+    arrow_batches(spark)
+    kind = to_arrow_type(T._parse_datatype_string(f"array<struct<{fields}>>"))
+    parts = []
+    for block in item_blocks(benchmark, window):
+        shared = spark.sparkContext.broadcast(block)
+
+        def looked_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            for batch in batches:
+                of = [batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_words", "terms", "counts", "places")]
+                found = [match(items, Shard(*rest, items), docs) for _, docs, *rest in zip(*of)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "found"])
+
+        def made(batches: Iterator[pa.RecordBatch], looked_up=looked_up) -> Iterator[pa.RecordBatch]:
+            return looked_up(_indexed(batches))
+
+        schema = f"{INDEX}, found array<struct<{fields}>>"
+        if index is None:
+            stored = written(_texts(documents).mapInArrow(made, schema), "index")
+            index, found = stored.drop("found"), stored.select("shard", "found")
+        else:
+            found = written(index.select(*_INDEX).mapInArrow(looked_up, schema).select("shard", "found"), "found")
+        parts.append(found.select("shard", F.inline("found")))
+        shared.destroy()
+    return index, _union(parts)
 
 
 class Shard:
     """Postings of one index row for the terms of a block."""
 
-    def __init__(self, n_words: list[int], terms: bytes, counts: bytes, places: bytes, ids: dict[bytes, int]):
+    def __init__(self, n_words: list[int], terms: bytes, counts: bytes, places: bytes, items: Items):
         self.n_words = np.array(n_words, np.int64)
         self.ends = np.cumsum(self.n_words)
         sizes, flat = np.frombuffer(counts, "<i4"), np.frombuffer(places, "<i4")
         cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        names = terms.split()
-        known = np.fromiter(map(ids.get, names, repeat(-1)), np.int64, len(names))
+        known = items.numbers(terms.split())
         self.lists = {int(known[i]): flat[cuts[i] : cuts[i + 1]].astype(np.int64) for i in np.flatnonzero(known >= 0).tolist()}
 
-    def windows(self, items: Items) -> Iterator[int]:
+    def windows(self, items: Items) -> list[int]:
         """Windows all of whose terms the shard holds, found by the terms that it holds."""
-        held = self.lists.keys()
-        for t in held & items.filed.keys():
-            for i in items.filed[t]:
-                if held >= set(items.windows[i].tolist()):
-                    yield i
+        held = np.zeros(len(items.ends) + 1, bool)  # the last place stands for what pads short windows
+        held[list(self.lists)] = held[-1] = True
+        out: list[int] = []
+        for t in sorted(self.lists):
+            own = items.filed[items.filed_from[t] : items.filed_from[t + 1]]
+            if len(own):
+                out += own[held[items.windows[own]].all(1)].tolist()
+        return out
 
     def phrase(self, window: np.ndarray) -> np.ndarray:
         """Starts of the window's exact occurrences inside one document."""
@@ -166,35 +284,28 @@ class Shard:
         return np.stack([first[keep], last[keep] + 1], 1)
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, within: int | None = None) -> DataFrame:
+def matches(documents: DataFrame | None, benchmark: DataFrame, window: int = 10, within: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, kind, begin, end, item_id): where windows of test items occur, counted in words from 0, end exclusive.
 
     Kind 'phrase' is an exact occurrence; with ``within`` there is a row of kind 'near' too wherever all of a window's
     terms stand within so many words of its rarest one. Windows of items without an id have a null ``item_id``. A row
-    of documents that occurs twice has its matches twice.
+    of documents that occurs twice has its matches twice. With an ``index`` made before, documents aren't read.
     """
-    index, parts = positional_index(documents), []
-    for block in item_blocks(benchmark, window):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                for docs, n_words, terms, counts, places in zip(*[c.to_pylist() for c in batch.columns]):
-                    shard, out = Shard(n_words, terms, counts, places, items.terms), []
-                    begins = shard.ends - shard.n_words
-                    for i in shard.windows(items):
-                        spans = [("phrase", s, s + len(items.windows[i])) for s in shard.phrase(items.windows[i]).tolist()]
-                        if within is not None:
-                            spans += [("near", a, b) for a, b in shard.near(items.windows[i], items.rarest[i], within).tolist()]
-                        for kind, a, b in spans:
-                            d = int(np.searchsorted(shard.ends, a, "right"))
-                            out += [(docs[d], kind, a - int(begins[d]), b - int(begins[d]), item) for item in items.items[i] or [None]]
-                    columns = list(zip(*out)) or [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "kind", "begin", "end", "item_id"])
-
-        parts.append(written(index.select("doc_id", "n_words", "terms", "counts", "places").mapInArrow(run, "doc_id bigint, kind string, begin bigint, end bigint, item_id string"), "matches"))
-    return _union(parts)
+    def match(items: Items, shard: Shard, docs: list[int]) -> list[tuple]:
+        out, begins = [], shard.ends - shard.n_words
+        for i in shard.windows(items):
+            own = items.window_of(i)
+            spans = [("phrase", s, s + len(own)) for s in shard.phrase(own).tolist()]
+            if within is not None:
+                spans += [("near", a, b) for a, b in shard.near(own, int(items.rarest[i]), within).tolist()]
+            for kind, a, b in spans:
+                d = int(np.searchsorted(shard.ends, a, "right"))
+                out += [(docs[d], kind, a - int(begins[d]), b - int(begins[d]), item) for item in items.items_of(i) or [None]]
+        return out
+
+    fields = "doc_id:bigint,kind:string,begin:bigint,end:bigint,item_id:string"
+    return _each_block(documents, benchmark, window, index, match, fields)[1].drop("shard")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -204,29 +315,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _covered(shared):
-    """By document that holds a window: the bits of its hit words, and the items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        for batch in batches:
-            for number, n_words, terms, counts, places in zip(*[c.to_pylist() for c in batch.columns]):
-                shard = Shard(n_words, terms, counts, places, items.terms)
-                total = int(shard.ends[-1]) if len(shard.ends) else 0
-                edge, found = np.zeros(total + 1, np.int32), {}
-                for i in shard.windows(items):
-                    window, own = items.windows[i], items.items[i]
-                    starts = shard.phrase(window)
-                    if len(starts):
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + len(window), -1)
-                        for d in np.unique(np.searchsorted(shard.ends, starts, "right")).tolist():
-                            found.setdefault(d, set()).update(own)
-                hit = np.cumsum(edge[:-1]) > 0
-                rows = [(number, d, np.packbits(hit[shard.ends[d] - shard.n_words[d] : shard.ends[d]], bitorder="little").tobytes(), sorted(own)) for d, own in sorted(found.items())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, _FOUND.values())], names=list(_FOUND))
-
-    return run
+def _covered(items: Items, shard: Shard, _: list[int]) -> list[tuple]:
+    """Of each document that holds a window: its place in the shard, the bits of its hit words, and the items."""
+    edge, found = np.zeros((int(shard.ends[-1]) if len(shard.ends) else 0) + 1, np.int32), {}
+    for i in shard.windows(items):
+        window = items.window_of(i)
+        starts = shard.phrase(window)
+        if len(starts):
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + len(window), -1)
+            for d in np.unique(np.searchsorted(shard.ends, starts, "right")).tolist():
+                found.setdefault(d, set()).update(items.items_of(i))
+    hit = np.cumsum(edge[:-1]) > 0
+    return [(d, np.packbits(hit[shard.ends[d] - shard.n_words[d] : shard.ends[d]], bitorder="little").tobytes(), sorted(own)) for d, own in sorted(found.items())]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,19 +337,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), batch.column(3)], names=["shard", "at", "n_hit", "items"])
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination(documents: DataFrame | None, benchmark: DataFrame, window: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Per row of documents: doc_id, place, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Items without words match nothing, as do null and empty texts; an item of fewer words than a window is one
     window. Words that items without an id hit count in n_hit; such items aren't in n_items, items or the digest.
-    ``place`` is the xxhash64 of the text.
+    ``place`` is the xxhash64 of the text. With an ``index`` made before, documents aren't read.
     """
-    index, parts = positional_index(documents), []
-    for block in item_blocks(benchmark, window):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
-        parts.append(written(index.select("shard", "n_words", "terms", "counts", "places").mapInArrow(_covered(shared), FOUND), "found"))
+    index, found = _each_block(documents, benchmark, window, index, _covered, "at:int,bits:binary,items:array<string>")
     # A document has a row for each block that hits it, so its lists are as long as there are blocks.
-    by_doc = _union(parts).groupBy("shard", "at").agg(F.collect_list("bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    by_doc = found.groupBy("shard", "at").agg(F.collect_list("bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hits = by_doc.mapInArrow(_counted, "shard bigint, at int, n_hit bigint, items array<string>")
     rows = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "place", "n_words")).alias("at", "d")).select("shard", "at", "d.doc_id", "d.place", "d.n_words")
     out = rows.join(hits, ["shard", "at"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
@@ -270,6 +368,8 @@ def without_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all of ``benchmark``; ``contamination`` says how nulls, empty and short texts, items
+    without an id and repeated rows count."""
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 

@@ -1,5 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and columns whose names clash."""
 
+import pickle
+import random
+import subprocess
+import sys
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -145,6 +151,56 @@ def test_lines_over_many_partitions(spark, docs):
     assert got == brute.op5(rows)
 
 
+def test_a_block_of_two_million_words_is_small_in_a_worker(tmp_path):
+    """What travels to every executor: under 300 MB once it is unpacked, whatever the words."""
+    r = np.random.default_rng(1)
+    names = [f"w{i:07d}".encode() for i in range(400_000)]
+    lengths = np.full(20_000, 100, np.int64)
+    block = decontaminate.Items(names, r.integers(0, len(names), 2_000_000).astype(np.int32), lengths, [f"item {i}" for i in range(len(lengths))], 10)
+    assert len(block.windows) == 20_000 * 91 and block.items_of(0) and (block.sizes == 10).all()
+    path = tmp_path / "block"
+    path.write_bytes(pickle.dumps(block, 5))
+    size = "int(re.search(r'VmHWM:\\s+(\\d+)', open('/proc/self/status').read())[1])"
+    code = f"import pickle, re, sys; import inkspan.llm.decontaminate; a = {size}; x = pickle.load(open(sys.argv[1], 'rb')); print({size} - a)"
+    grown = int(subprocess.run([sys.executable, "-c", code, str(path)], capture_output=True, text=True, check=True).stdout)
+    assert grown < 300_000
+
+
+def test_windows_of_a_block_are_those_of_its_items():
+    """Repeated windows and items, short and empty items, items without an id."""
+    r = random.Random(4)
+    texts = [(r.choice(["a", "b", None]), [r.choice([b"x", b"y", b"z"]) for _ in range(r.choice([0, 1, 3, 4, 5, 9]))]) for _ in range(60)]
+    names = [b"z", b"x", b"y"]
+    block = decontaminate.Items(names, np.array([names.index(w) for _, t in texts for w in t], np.int32), np.array([len(t) for _, t in texts], np.int64), [o for o, _ in texts], 4)
+    want = {}
+    for owner, t in texts:
+        for i in range(max(1, len(t) - 3)) if t else ():
+            want.setdefault(tuple(t[i : i + 4]), set()).update([owner] if owner else [])
+    ordered = sorted(names)
+    got = {tuple(ordered[k] for k in block.window_of(i)): set(block.items_of(i)) for i in range(len(block.windows))}
+    assert got == want and len(block.windows) == len(want)
+    often = Counter(w for t in want for w in set(t))
+    for i in range(len(block.windows)):
+        assert ordered[block.rarest[i]] == min({ordered[k] for k in block.window_of(i)}, key=lambda w: (often[w], w))
+    filed = [block.filed[block.filed_from[t] : block.filed_from[t + 1]].tolist() for t in range(3)]
+    assert sorted(sum(filed, [])) == list(range(len(want))) and all(block.rarest[i] == t for t, own in enumerate(filed) for i in own)
+    assert block.numbers([b"y", b"", b"zz", b"x"]).tolist() == [1, -1, -1, 0]
+
+
+def test_a_kept_index_serves_later_benchmarks_without_texts(spark, docs, tmp_path):
+    rows = docs(["a b c d e f g h i j k", "one two three", "x a b c d e f g h i j", None, ""])
+    first = spark.createDataFrame([("p", "a b c d e f g h i j"), ("q", "two three")], "item_id string, text string")
+    second = spark.createDataFrame([("r", "b c d e f g h i j k"), ("s", "one")], "item_id string, text string")
+    path = str(tmp_path / "index")
+    index = decontaminate.positional_index(rows, path)
+    again = spark.read.parquet(path)
+    for benchmark in (first, second):
+        want = sorted(map(tuple, decontaminate.contamination(rows, benchmark).drop("items").collect()), key=str)
+        assert sorted(map(tuple, decontaminate.contamination(None, benchmark, index=index).drop("items").collect()), key=str) == want
+        assert sorted(map(tuple, decontaminate.contamination(None, benchmark, index=again).drop("items").collect()), key=str) == want
+        assert sorted(map(tuple, decontaminate.matches(None, benchmark, within=3, index=again).collect())) == sorted(map(tuple, decontaminate.matches(rows, benchmark, within=3).collect()))
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "lorem ipsum dolor lorem ipsum dolor lorem ipsum dolor lorem"), (2, "one"), (3, None), (4, ""), (2, "one"), (None, "x")], "item_id long, text string")
     got = sorted(by_text(decontaminate.contamination(odd, items), "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), key=str)
