@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import tags, text
 from ..functions.taxonomy import DEFAULT, EARLIER
 from ..operators import chunks, dedup, joins
-from ..sources import html, notices, readers, releases, web, writers
+from ..sources import html, notices, readers, releases, rules, web, writers
 from ..streaming import incremental
 from . import analytics, dashboard, pipelines, views
 from .catalog_text import CASES, cases, comma, keyword_sql, or_other, pattern_sql, primary_sql, table
@@ -256,6 +256,42 @@ def made_articles(spark, d):
     return html.extract_articles(_made_pages(spark, d)).withColumn("topics", comma(F.col("topics")))
 
 
+_SAID = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.,]+', ' ', 'g'))"
+#: What each source's rules make of one and the same page.
+_BY_SOURCE = {
+    "agency_blog": ("'Heading ' || i || ' of a page'", "CASE WHEN i % 2 = 0 THEN '2024-01-05' ELSE 'stamp' END", "'Lead ' || i || ' ' || t || ' Section'", "'Beta'"),
+    "payments_news": ("'Heading' || i || 'of a page'", "CASE WHEN i % 2 = 0 THEN '2024-01-05' ELSE '2023-05-06' END", "t || ' frame'", "''"),
+    "vendor_blog": ("'Heading ' || i || ' of a page'", "CASE WHEN i % 3 = 0 THEN '2022-02-02' ELSE '2023-05-06' END", "CASE WHEN letters > 50 THEN t ELSE array_to_string(list_filter(['Lead ' || i, t], lambda x: length(x) > 40), ' ') END", "''"),
+    "security_news": ("'Section'", "'March 3, 2021'", "''", "''"),
+    "complaint_center": ("'Heading ' || i || ' of a page'", "CASE WHEN i % 2 = 0 THEN '2024-01-05' ELSE 'stamp' END", "'Lead ' || i || ' ' || t || ' Section'", "'Alpha,Beta'"),
+    "bureau_news": ("'Heading ' || i || ' of a page'", "''", "'Lead ' || i || ' ' || t || ' Section'", "''"),
+}
+
+
+def _page_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """A page of a document's words with something for the rules of every source; some elements only on some pages."""
+    i, said = F.col("doc_id"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9.,]+", " "))
+    some = lambda test, x: F.when(test, F.lit(x)).otherwise(F.lit(""))
+    page = F.concat(
+        F.lit("<html><head><title>Site</title>"), some(i % 3 == 0, '<script type="application/ld+json">[{"@type":"A"},{"dateModified":"2022-02-02"}]</script>'),
+        F.lit('<meta property="article:published_time" content="2023-05-06"></head><body><header><a class="tag" href="/topics/a">Alpha</a></header>'),
+        F.lit("<h1>Heading <b>"), i, F.lit("</b> of a page</h1>"), F.when(i % 2 == 0, F.lit('<time datetime="2024-01-05">x</time>')).otherwise(F.lit("<time>stamp</time>")),
+        F.lit('<ul><li class="cz-news-date">March 3, 2021</li></ul><span class="post-date">May 1, 2020</span><main><p>Lead '), i,
+        F.lit('</p><div class="post-content wide"><p>'), said, F.lit('</p><nav>frame</nav></div><h1 class="article_section">Section</h1></main><a class="label" href="/scams/b">Beta</a></body></html>'))
+    return table(spark, d, "documents").select(i.alias("page_id"), page.alias("html"))
+
+
+@query(f"""WITH p AS (SELECT doc_id AS i, {_SAID} AS t, length({_SAID}) AS letters FROM documents),
+{", ".join(f"{name} AS (SELECT i, '{name}' AS source, {title} AS title, {date} AS published_raw, trim(regexp_replace({body}, ' +', ' ', 'g')) AS body, {topics} AS topics FROM p)" for name, (title, date, body, topics) in _BY_SOURCE.items())}
+SELECT i AS page_id, source, title, published_raw, length(body) AS body_length, sha256(body) AS body_sha256, topics
+FROM ({" UNION ALL ".join(f"SELECT * FROM {name}" for name in _BY_SOURCE)})""")
+def articles_by_source(spark, d):
+    """The page of every document read by the rules of each of six sources: they differ in order and least lengths."""
+    pages = _page_of_all(spark, d).withColumn("of", F.explode(F.array(*map(F.lit, _BY_SOURCE))))
+    found = rules.extract_by_source(pages, "of")
+    return found.select("page_id", "source", "title", "published_raw", F.length("body_raw").cast("long").alias("body_length"), F.sha2("body_raw", 256).alias("body_sha256"), comma(F.col("topics")).alias("topics"))
+
+
 @query("SELECT doc_id AS page_id, url, title_hint, position FROM documents, LATERAL (VALUES ('https://s.org/menu', 'menu words that are no body', 0), ('https://s.org/topics/b', 'Beta', 1), ('https://s.org/topics/a', 'Alpha', 2), ('https://s.org/r/' || doc_id || '.pdf', 'Report', 3)) v(url, title_hint, position)")
 def made_links(spark, d):
     return html.extract_links(_made_pages(spark, d))

@@ -6,7 +6,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from ..operators.dedup import keep_first_chain
 from ..sources import releases, writers
 from ..sources.printed import Extractor, Optical, form_feeds, full_text, text_summary, with_pages
 from ..sources.readers import exists, missing_files
+from ..sources.rules import RULES, Rules, extract_by_source
 from .analytics import analyses_of, tag_cube
 from .views import documents, master
 
@@ -28,7 +29,8 @@ from .views import documents, master
 @dataclass(frozen=True)
 class Source:
     """How one source's articles are treated. ``tag_text`` and ``signal_text`` name the columns that are looked at;
-    ``unique`` are the keys that one row each is kept of, in turn; ``longer_than`` drops short bodies."""
+    ``unique`` are the keys that one row each is kept of, in turn; ``longer_than`` drops short bodies; ``rules`` say how
+    a page is read."""
 
     name: str
     boilerplate: str | None = None
@@ -40,9 +42,10 @@ class Source:
     fallback: bool = True
     taxonomy: Taxonomy = DEFAULT
     ordered: bool = True
+    rules: Rules | None = None
 
 
-SOURCES = {s.name: s for s in (
+SOURCES = {s.name: replace(s, rules=RULES[s.name]) for s in (
     Source("agency_blog", "agency_blog"),
     Source("payments_news", signal_text=("title", "body_1"), unique=("url", "title"), longer_than=50),
     Source("vendor_blog", tag_text=("body_1",), longer_than=50),
@@ -53,6 +56,18 @@ SOURCES = {s.name: s for s in (
 )}
 
 
+def articles_of_pages(pages: DataFrame, source: Source) -> DataFrame:
+    """(url, title, published_raw, body_raw, topics) of stored pages (url, html) by the source's rules. A listing's
+    ``published_raw``, where the pages bring one along, goes before or after the page's own as the rules say."""
+    listed = ("published_raw",) if "published_raw" in pages.columns else ()
+    rows = pages.withColumnsRenamed({c: f"listed_{c}" for c in listed})
+    out = extract_by_source(rows, F.lit(source.name), "url", keep=tuple(f"listed_{c}" for c in listed), rules={source.name: source.rules})
+    dates = [F.nullif(F.trim(c), F.lit("")) for c in ("published_raw", *[f"listed_{c}" for c in listed])]
+    if source.rules.listed_date_first:
+        dates.reverse()
+    return out.select("url", "title", F.coalesce(*dates, F.lit("")).alias("published_raw"), "body_raw", "topics")
+
+
 def articles_to_documents(articles: DataFrame, source: Source) -> DataFrame:
     """Cleaned, dated, identified, deduplicated and tagged; the first of equals is the earliest published."""
     if articles.isEmpty():

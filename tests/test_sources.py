@@ -1,9 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions.tags import pattern_tags
-from inkspan.sources import html, notices, readers, web, writers
+from inkspan.plans import pipelines
+from inkspan.sources import html, notices, readers, rules, web, writers
+from inkspan.sources.html import parse
+from inkspan.sources.rules import RULES, Chain, Compiled, Rules, Take
 from inkspan.streaming import incremental
 
 PAGE = """<html><head><title>Site</title><script type="application/ld+json">{"@graph":[{"datePublished":"2024-01-02"}]}</script></head>
@@ -137,3 +141,64 @@ def test_chunk_counts_of_known_documents(spark):
     own = {r["n"]: r for r in chunks.chunk_summary(chunks.chunk_rows(made, "body", ["n"], clean=False), ["n"]).collect()}
     for n, total, least, most in CHUNKED:
         assert own[n]["total_chunks"] - total in (0, 1) and own[n]["max_chunk_length"] == most and 150 < least <= most
+
+
+def article(source, body, head=""):
+    return Compiled(RULES[source]).article(f"<html><head>{head}</head><body>{body}</body></html>")
+
+
+def test_a_payments_page_takes_its_time_before_its_meta_date():
+    meta = '<meta property="article:published_time" content="2023-05-06">'
+    post = '<div class="post-content">text <b>of</b> it<script>var x;</script></div>'
+    assert article("payments_news", '<h1>A <b>B</b></h1><time datetime="2024-01-05">x</time>' + post, meta) == ("AB", "2024-01-05", "text of it", [])
+    assert article("payments_news", "<time>no attribute</time>" + post, meta)[1] == "2023-05-06"
+    assert article("payments_news", '<div class="the-Byline">May <i>1</i></div>' + post)[1] == "May1"
+    assert article("payments_news", "<article>other</article>" + post)[2] == "text of it"
+    assert article("payments_news", "<p>no container</p>")[2] is None
+
+
+def test_a_vendors_page_takes_linked_data_first_and_its_first_container():
+    linked = '<script type="application/ld+json">{"@graph":[{"x":1},{"datePublished":"2021-01-01"}]}</script><meta property="article:published_time" content="2023-05-06">'
+    assert article("vendor_blog", "<time>May 1</time>", linked)[1] == "2021-01-01"
+    assert article("vendor_blog", '<time> May  1 </time><span class="Published">x</span>', '<script type="application/ld+json">{bad</script>')[1] == "May 1"
+    assert article("vendor_blog", '<span class="x-date">June</span>')[1] == "June"
+    long = "word " * 11
+    assert article("vendor_blog", f'<main>{long}</main><div class="my-blog-x">short</div><p>{"p" * 41}</p><p>{"q" * 40}</p>')[2] == "p" * 41
+    assert article("vendor_blog", f'<article>{long}</article><div class="entry-content">{"e" * 51}</div><aside>noise</aside>')[2] == "e" * 51
+
+
+def test_other_sources_pages():
+    assert article("complaint_center", '<span class="Date">May 2</span><div class="field-body">a<nav>n</nav> b</div><a class="Tags">T</a><a class="x">U</a>', '<meta name="dc.date" content="m">') == ("", "May 2", "a b", ["T"])
+    assert article("complaint_center", "<time></time><article>x</article>", '<meta name="date" content="m">')[1] == ""
+    assert article("bureau_news", '<h1>fbi.gov home</h1><div class="field-items">short</div><article>' + "a" * 201 + "</article>", "<title>Long enough title</title>")[::2] == ("Long enough title", "a" * 201)
+    assert article("bureau_news", '<div id="wm-ipp"><h1>Archive bar</h1></div><h1>Tiny</h1><main>left<div class="breadcrumb">b</div></main>', "<title>fbi.gov</title>")[::2] == ("fbi.gov", "left")
+    assert article("security_news", '<h1>T</h1><time datetime="d">t</time><div class="articleBody">a<div class="ad">ad</div>b</div>') == ("T", "d", "a b", [])
+    assert article("agency_blog", '<nav><a href="/topics/n">Nav</a></nav><main>m</main><a href="/scams/x">Scams</a><a href="/topics/y">Ads</a><a href="/topics/z">x</a>') == ("", "", "m", ["Ads", "Scams"])
+    for source in RULES:
+        assert article(source, "")[0] == "" and Compiled(RULES[source]).article(None)[3] == []
+
+
+def test_selectors():
+    root, _ = parse('<div class="a"><p id="x" data-k="Some Value">1<span>2</span></p></div><section><span class="b c">3</span><p>4</p></section>')
+    cases = {
+        "span": "2 3", "div span": "2", ".a p span": "2", "p": "1 2 4", "#x": "1 2", "p#x": "1 2", "span.b.c": "3", "[data-k]": "1 2", "p[data-k*=ome]": "1 2", "p[data-k*=OME]": "",
+        "[class~B]": "3", "[data-k~value$]": "1 2", "section p": "4", "section .a": "", "div div": "", "[class=a]": "1 2", "[class=b]": "",
+    }
+    for selector, want in cases.items():
+        own = Compiled(Rules(Chain((Take(selector, each=True, least=0),)), Chain(())))
+        assert own._field(own.rules.title, own.found(root), []) == want, selector
+    with pytest.raises(ValueError):
+        Compiled(Rules(Chain((Take("p > b"),)), Chain(())))
+
+
+def test_pages_of_a_source_become_its_documents(spark):
+    """Listed dates stand in, or go first; pages without the body that rules need fall away."""
+    html = '<h1>A scam warning</h1><div class="post-content">A romance scam took money from many people who wrote to us.</div>'
+    pages = spark.createDataFrame([("https://x/1", html, "2024-01-02"), ("https://x/2", "<p>none</p>", None), ("https://x/3", '<time datetime="2020-02-03">t</time>' + html.replace("A scam", "Another"), "2024-01-04"), ("https://x/4", None, None)], "url string, html string, published_raw string")
+    rows = pipelines.articles_of_pages(pages, pipelines.SOURCES["payments_news"])
+    assert {r["url"]: r["published_raw"] for r in rows.collect()} == {"https://x/1": "2024-01-02", "https://x/3": "2020-02-03"}
+    out = {r["url"]: r for r in pipelines.run_source(rows, pipelines.SOURCES["payments_news"]).collect()}
+    assert out["https://x/1"]["fraud_tags"] == ["consumer_fraud"] and out["https://x/3"]["published_year"] == 2020
+    vendor = pipelines.articles_of_pages(pages.where("url like '%3'"), pipelines.SOURCES["vendor_blog"])
+    assert [r["published_raw"] for r in vendor.collect()] == ["2024-01-04"]
+    assert rules.extract_by_source(pages, F.lit("unknown"), "url").count() == 0
