@@ -15,7 +15,7 @@ from ..functions import tags, text
 from ..functions.taxonomy import DEFAULT, EARLIER
 from ..operators import chunks, dedup, joins
 from ..sources import html, notices, readers, releases, rules, web, writers
-from ..streaming import incremental
+from ..streaming import aggregates, incremental, precedence
 from . import analytics, dashboard, pipelines, views
 from .catalog_text import CASES, cases, comma, keyword_sql, or_other, pattern_sql, primary_sql, table
 
@@ -534,3 +534,44 @@ def counts_of_a_view(spark, d):
     quarter = F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate"))
     view = rows.select(F.year("o_orderdate").alias("year"), quarter.alias("quarter"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("primary_tag"), tags_of.alias("fraud_tags"))
     return analytics.tag_cube(view)
+
+
+@query("""WITH r AS (SELECT user_id AS doc_id, event_id AS seq, event_type AS source, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS rank FROM events)
+SELECT doc_id, source, seq FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, seq) = 1""")
+def sources_across_runs(spark, d):
+    """Two runs of a stream, the worse sources first: what is kept in the end is what one batch would keep."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("source"))
+    source, target, checkpoint = (readers.landing(spark, x) for x in ("in", "out", "state"))
+    for part in (rows.where("source not in ('purchase', 'click')"), rows.where("source in ('purchase', 'click')")):
+        part.repartition(2).write.mode("append").parquet(source)
+        found = precedence.changes(incremental.stream_of(spark, source, rows.schema, format="parquet"), "doc_id", "source", ["purchase", "click", "view"], "seq")
+        precedence.follow(spark, found, target, checkpoint)
+    return precedence.current_of(spark.read.parquet(target), "doc_id").select("doc_id", "source", "seq")
+
+
+_EVENT_DAYS = "e AS (SELECT CAST(ts AS DATE) AS day, ts, event_type AS source, 'user ' || user_id % 7 AS primary_tag FROM events)"
+
+
+@query(f"""WITH {_EVENT_DAYS} SELECT 'source' AS panel, source AS name, count(*) AS records, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen FROM e GROUP BY source
+UNION ALL SELECT 'tag', primary_tag, count(*), NULL, NULL FROM e GROUP BY primary_tag
+UNION ALL SELECT 'week', strftime(date_trunc('week', day) + INTERVAL 6 DAY, '%Y-%m-%d'), count(*), NULL, NULL FROM e GROUP BY date_trunc('week', day)""")
+def maintained_panels(spark, d):
+    """Panels of a dashboard from counts that a stream keeps up, one batch of which is run twice, and half folded."""
+    rows = table(spark, d, "events").select("ts", F.col("event_type").alias("source"), F.concat(F.lit("user "), F.col("user_id") % 7).alias("primary_tag"))
+    source, target, checkpoint = (readers.landing(spark, x) for x in ("in", "counts", "state"))
+    for k in range(2):
+        rows.where(F.pmod(F.hash("ts"), F.lit(2)) == k).write.mode("append").parquet(source)
+        stream = incremental.stream_of(spark, source, rows.schema, format="parquet")
+        aggregates.maintain(stream, target, checkpoint, date="ts").awaitTermination()
+        if k == 0:
+            aggregates.compact(spark, target)
+            aggregates.write_batch(rows.where(F.pmod(F.hash("ts"), F.lit(2)) == 0), 0, target, date="ts")
+    counts = aggregates.read(spark, target)
+    panels = dashboard.of_maintained(counts, F.current_timestamp(), "W")
+    none = F.lit(None).cast("string")
+    parts = [
+        panels["source_audit"].select(F.lit("source").alias("panel"), F.col("source").alias("name"), "records", "first_seen", "last_seen"),
+        panels["top_tags"].select(F.lit("tag"), "primary_tag", "count", none, none),
+        panels["filled_trend"].where("count > 0").select(F.lit("week"), F.date_format("period", "yyyy-MM-dd"), "count", none, none),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])

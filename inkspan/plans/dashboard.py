@@ -27,7 +27,7 @@ def periods(df: DataFrame, interval: str, date: str = "date") -> DataFrame:
     return df.where(F.col(date).isNotNull()).withColumn("period", period_end(date, interval))
 
 
-def volume_trend(df: DataFrame, interval: str, as_of: Column, tag: str = "primary_tag", date: str = "date", shown: int | None = None, compat: bool = False) -> DataFrame:
+def volume_trend(df: DataFrame, interval: str, as_of: Column, tag: str = "primary_tag", date: str = "date", shown: int | None = None, compat: bool = False, weight: str | None = None) -> DataFrame:
     """(period, tag, count) of the last periods that are over and not empty.
 
     ``compat`` keeps only rows dated from the first period's last day to the last one's, as dashboards that compare
@@ -40,12 +40,12 @@ def volume_trend(df: DataFrame, interval: str, as_of: Column, tag: str = "primar
         kept = rows.join(F.broadcast(ends), F.to_date(date).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
     else:
         kept = rows.join(F.broadcast(last), "period", "left_semi")
-    return kept.groupBy("period", tag).agg(F.count("*").alias("count")).orderBy("period", tag)
+    return kept.groupBy("period", tag).agg(_amount(weight).alias("count")).orderBy("period", tag)
 
 
-def filled_trend(df: DataFrame, interval: str, date: str = "date") -> DataFrame:
+def filled_trend(df: DataFrame, interval: str, date: str = "date", weight: str | None = None) -> DataFrame:
     """(period, count) from the first period to the last, empty ones 0."""
-    counts = periods(df, interval, date).groupBy("period").agg(F.count("*").alias("count"))
+    counts = periods(df, interval, date).groupBy("period").agg(_amount(weight).alias("count"))
     step = {"W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}[interval]
     ends = counts.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null")
     months = ends.select(F.explode(F.sequence(F.col("a") if interval == "W" else F.trunc("a", "month"), "b", F.expr(step))).alias("d"))
@@ -67,11 +67,11 @@ def period_change(df: DataFrame, interval: str, tag: str = "primary_tag", date:
     return _with_change(out, tag)
 
 
-def year_to_date(df: DataFrame, tag: str = "primary_tag", date: str = "date") -> DataFrame:
+def year_to_date(df: DataFrame, tag: str = "primary_tag", date: str = "date", weight: str | None = None) -> DataFrame:
     """(tag, previous, current, delta, pct): the latest date's year against the one before, both up to its day of the
     year; only tags that the current year has."""
     # Counts by tag and day first, so that days meet the latest one, not rows; that one is read of the dates alone.
-    days = df.groupBy(tag, F.to_date(date).alias("_day")).agg(F.count("*").alias("_n"))
+    days = df.groupBy(tag, F.to_date(date).alias("_day")).agg(_amount(weight).alias("_n"))
     last = days.agg(F.max("_day").alias("_last"))
     rows = days.join(F.broadcast(last)).where(F.dayofyear("_day") <= F.dayofyear("_last"))
     back = F.year("_last") - F.year("_day")
@@ -84,8 +84,8 @@ def _with_change(df: DataFrame, tag: str) -> DataFrame:
     return df.withColumns({"delta": delta, "pct": F.bround(delta.cast("double") / F.greatest("previous", F.when(F.col("previous") == 0, 1).otherwise(F.col("previous"))) * 100, 1)}).orderBy(tag)
 
 
-def counts_of(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    out = df.groupBy(column).agg(F.count("*").alias("count")).orderBy(F.desc("count"), column)
+def counts_of(df: DataFrame, column: str, top: int | None = None, weight: str | None = None) -> DataFrame:
+    out = df.groupBy(column).agg(_amount(weight).alias("count")).orderBy(F.desc("count"), column)
     return out.limit(top) if top else out
 
 
@@ -97,16 +97,30 @@ def narrative_themes(df: DataFrame, text: str, stopwords: list[str], top: int =
     return rows.where(~F.col("word").isin(stopwords)).groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(top)
 
 
-def matrix_with_total(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
+def matrix_with_total(df: DataFrame, row: str, column: str, values: list, weight: str | None = None) -> DataFrame:
     """Counts by row and column values with their total, largest first."""
-    out = df.where(F.col(column).isin(values)).groupBy(row).pivot(column, values).count().na.fill(0)
+    out = df.where(F.col(column).isin(values)).groupBy(row).pivot(column, values).agg(_amount(weight)).na.fill(0)
     total = sum((F.col(f"`{v}`") for v in values[1:]), F.col(f"`{values[0]}`"))
     return out.withColumn("total", total).orderBy(F.desc("total"), row)
 
 
-def source_audit(df: DataFrame, source: str = "source", date: str = "date") -> DataFrame:
-    return df.groupBy(source).agg(F.count("*").alias("records"), F.date_format(F.min(date), "yyyy-MM-dd").alias("first_seen"), F.date_format(F.max(date), "yyyy-MM-dd").alias("last_seen")).orderBy(source)
+def source_audit(df: DataFrame, source: str = "source", date: str = "date", weight: str | None = None, last: str | None = None) -> DataFrame:
+    """(source, records, first_seen, last_seen); of maintained counts ``date`` and ``last`` are the first and the last
+    time of each."""
+    day = lambda x: F.date_format(x, "yyyy-MM-dd")
+    return df.groupBy(source).agg(_amount(weight).alias("records"), day(F.min(date)).alias("first_seen"), day(F.max(last or date)).alias("last_seen")).orderBy(source)
 
 
-def totals(df: DataFrame, source: str = "source") -> DataFrame:
-    return df.agg(F.count("*").alias("leads"), F.countDistinct(source).alias("vendors"))
+def totals(df: DataFrame, source: str = "source", weight: str | None = None) -> DataFrame:
+    return df.agg(_amount(weight).alias("leads"), F.countDistinct(source).alias("vendors"))
+
+
+def of_maintained(counts: DataFrame, as_of: Column, interval: str, top: int | None = None) -> dict[str, DataFrame]:
+    """Every panel of the dashboard from counts by day, source and tag (``streaming.aggregates``), none from rows."""
+    by_day = counts.withColumnRenamed("day", "date")
+    return {
+        "volume_trend": volume_trend(by_day, interval, as_of, weight="records"), "filled_trend": filled_trend(by_day, interval, weight="records"),
+        "period_change": period_change(by_day, interval, weight="records"), "year_to_date": year_to_date(by_day, weight="records"),
+        "top_tags": counts_of(by_day, "primary_tag", top, "records"), "source_audit": source_audit(counts, date="first_seen", weight="records", last="last_seen"),
+        "totals": totals(counts, weight="records"),
+    }

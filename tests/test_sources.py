@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions.tags import pattern_tags
-from inkspan.plans import pipelines
+from inkspan.operators import dedup
+from inkspan.plans import dashboard, pipelines
 from inkspan.sources import html, notices, readers, rules, web, writers
 from inkspan.sources.html import parse
 from inkspan.sources.rules import RULES, Chain, Compiled, Rules, Take
-from inkspan.streaming import incremental
+from inkspan.streaming import aggregates, incremental, precedence
 
 PAGE = """<html><head><title>Site</title><script type="application/ld+json">{"@graph":[{"datePublished":"2024-01-02"}]}</script></head>
 <body><nav><a href="/x">menu</a></nav><div class="sidebar"><div>noise</div></div><h1>Scam <b>alert</b> rises</h1>
@@ -202,3 +203,84 @@ def test_pages_of_a_source_become_its_documents(spark):
     vendor = pipelines.articles_of_pages(pages.where("url like '%3'"), pipelines.SOURCES["vendor_blog"])
     assert [r["published_raw"] for r in vendor.collect()] == ["2024-01-04"]
     assert rules.extract_by_source(pages, F.lit("unknown"), "url").count() == 0
+
+
+RANKED = "doc_id string, source string, seq long, note string"
+
+
+def _followed(spark, tmp_path, runs, **how):
+    """What is kept after the runs, and the changes, each a row file of the stream in this order."""
+    at = tmp_path / "x"
+    for rows in runs:
+        spark.createDataFrame(rows, RANKED).repartition(2).write.mode("append").parquet(f"{at}/in")
+        stream = incremental.stream_of(spark, f"{at}/in", spark.createDataFrame([], RANKED).schema, format="parquet")
+        precedence.follow(spark, precedence.changes(stream, "doc_id", "source", ["best", "good", "fair"], "seq", **how), f"{at}/out", f"{at}/mark")
+    found = spark.read.parquet(f"{at}/out")
+    return {r["doc_id"]: (r["source"], r["seq"], r["note"]) for r in precedence.current_of(found, "doc_id").collect()}, [(r["doc_id"], r["source"], r["change"], r["version"]) for r in found.collect()]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_first_source_wins_across_runs_in_either_order(spark, tmp_path, turned):
+    runs = [
+        [("a", "good", 5, "x"), ("a", "good", 4, "y"), ("b", "fair", 1, "x"), ("c", "none listed", 1, "x"), (None, "fair", 1, "n"), ("d", "good", None, "x")] + [("hot", "fair", i, "h") for i in range(500)],
+        [("a", "best", 9, "z"), ("b", "fair", 2, "y"), ("c", "fair", 7, "y"), (None, "good", 3, "m"), ("d", "good", 8, "y"), ("e", None, 1, "x"), ("hot", "best", 3, "k")],
+    ]
+    runs = runs[::-1] if turned else runs
+    kept, found = _followed(spark, tmp_path, runs)
+    order = {"best": 0, "good": 1, "fair": 2}
+    rows = sorted((r for run in runs for r in run), key=lambda r: (order.get(r[1], 3), r[2] is None, r[2] or 0))
+    want = {}
+    for d, source, seq, note in rows:
+        want.setdefault(d, (source, seq, note))
+    assert kept == want
+    batch = dedup.first_source_wins([spark.createDataFrame([r for r in rows if r[1] == s], RANKED) for s in order], "doc_id", "seq")
+    assert {r["doc_id"]: (r["source"], r["seq"], r["note"]) for r in batch.collect() if r["doc_id"] not in ("d", "e")} == {k: v for k, v in want.items() if k not in ("d", "e")}
+    of_a = sorted(x[1:] for x in found if x[0] == "a")
+    assert of_a == ([("best", "new", 1)] if turned else [("best", "replaced", 2), ("good", "new", 1)])
+    assert len([x for x in found if x[0] == "hot"]) <= 2
+
+
+def test_choices_settle_and_are_forgotten(spark, tmp_path):
+    """After its time a choice is final; a key that has been forgotten starts anew."""
+    runs = [[("a", "fair", 1, "x")], [("b", "fair", 1, "x")], [("a", "best", 1, "y")]]
+    kept, _ = _followed(spark, tmp_path / "1", runs, settle_days=1e-8)
+    assert kept["a"] == ("fair", 1, "x")
+    kept, _ = _followed(spark, tmp_path / "2", runs, settle_days=30)
+    assert kept["a"] == ("best", 1, "y")
+    _, found = _followed(spark, tmp_path / "3", [[("a", "best", 1, "x")], [("a", "fair", 1, "y")]], forget_days=1e-8)
+    assert [x[2:] for x in found] == [("new", 1), ("new", 1)]
+
+
+def test_maintained_counts_equal_those_of_the_rows(spark, tmp_path):
+    """Three batches, one of them replayed with other partitions, another torn and run again; before and after folding."""
+    days = ["2024-01-05", "2024-02-11", "2024-03-01", "2024-03-09", "2023-03-02", None]
+    rows = [(days[i % 6], f"s{i % 3}", ["scam", "theft", None][i % 5 % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "date string, source string, primary_tag string").withColumn("date", F.to_timestamp("date"))
+    at, as_of = str(tmp_path / "t"), F.lit("2024-03-20").cast("timestamp")
+    assert aggregates.read(spark, at).count() == 0
+    parts = [df.where(F.pmod(F.hash(*df.columns), F.lit(3)) == k) for k in range(3)]
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{at}-in")
+        stream = incremental.stream_of(spark, f"{at}-in", df.schema, format="parquet")
+        aggregates.maintain(stream, at, f"{at}-mark").awaitTermination()
+
+    def same():
+        counts = aggregates.read(spark, at)
+        got = dashboard.of_maintained(counts, as_of, "M")
+        want = {
+            "volume_trend": dashboard.volume_trend(df, "M", as_of), "filled_trend": dashboard.filled_trend(df, "M"), "period_change": dashboard.period_change(df, "M"),
+            "year_to_date": dashboard.year_to_date(df), "top_tags": dashboard.counts_of(df, "primary_tag"), "source_audit": dashboard.source_audit(df), "totals": dashboard.totals(df),
+        }
+        for name in want:
+            assert sorted(map(tuple, got[name].collect()), key=str) == sorted(map(tuple, want[name].collect()), key=str), name
+
+    same()
+    aggregates.write_batch(parts[1].repartition(5), 1, at)
+    same()
+    assert aggregates.compact(spark, at) == 2
+    aggregates.write_batch(parts[2], 2, at)
+    same()
+    df = df.union(df.limit(7))
+    aggregates.write_batch(df.limit(7), 3, at)
+    counts = aggregates.read(spark, at).agg(F.sum("records")).first()[0]
+    assert counts == 97 and aggregates.compact(spark, at) == 3 and aggregates.read(spark, at).agg(F.sum("records")).first()[0] == 97
