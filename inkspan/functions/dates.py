@@ -38,12 +38,51 @@ _LONG_MONTHS = "January|February|March|April|May|June|July|August|September|Octo
 _SHORT_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
 
+_MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+# A date's tokens in order: a year first; a month's name first; a day before it; a month (or a day) and two more figures.
+_DATE_TOKENS = (
+    r"(?i)(?<![\p{L}\d])(?:"
+    r"\d{4}([-/.])\d{1,2}\1\d{1,2}(?=$|\D)"
+    r"|(?:19|20)\d{6}(?=$|\D)"
+    rf"|(?:{_MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?\s*,?\s+\d{{4}}(?=$|\D)"
+    rf"|\d{{1,2}}(?:st|nd|rd|th)?(?:\s+of)?[\s-]+(?:the\s+)?(?:{_MONTHS})\.?,?[\s-]+\d{{4}}(?=$|\D)"
+    r"|\d{1,2}([-/.])\d{1,2}\2(?:\d{4}|\d{2})(?=$|\D))"
+)
+
+
+def _date_of(token: Column) -> Column:
+    """The date that a token spells, or null. Of two figures the first is the month, unless it can't be; years of two
+    figures are of this century."""
+    figures = F.regexp_extract_all(token, F.lit(r"\d+"), F.lit(0))
+    at = lambda i: F.try_element_at(figures, F.lit(i))
+    letters = F.lower(F.regexp_extract(F.regexp_replace(token, r"(?i)\d(st|nd|rd|th)|\b(of|the)\b", "0"), r"\p{L}{3}", 0))
+    named = F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), letters) + 2) / 3)
+    compact = F.length(at(1)) == 8
+    first, second = at(1).try_cast("int"), at(2).try_cast("int")
+    turned = first > 12
+    parts = (
+        F.when(letters != "", F.struct(at(2).alias("y"), named.cast("string").alias("m"), at(1).alias("d")))
+        .when(compact, F.struct(F.substring(at(1), 1, 4).alias("y"), F.substring(at(1), 5, 2).alias("m"), F.substring(at(1), 7, 2).alias("d")))
+        .when(F.length(at(1)) == 4, F.struct(at(1).alias("y"), at(2).alias("m"), at(3).alias("d")))
+        .otherwise(F.struct(
+            F.when(F.length(at(3)) == 2, F.concat(F.lit("20"), at(3))).otherwise(at(3)).alias("y"),
+            F.when(turned, at(2)).otherwise(at(1)).alias("m"), F.when(turned, at(1)).otherwise(at(2)).alias("d")))
+    )
+    padded = F.concat_ws("-", parts["y"], F.lpad(parts["m"], 2, "0"), F.lpad(parts["d"], 2, "0"))
+    return F.to_date(F.try_to_timestamp(padded, F.lit("yyyy-MM-dd")))
+
+
+def dates_in(x: Column | str) -> Column:
+    """All dates that a text spells, in their order of place: with the year first, by a month's name before or after
+    the day (with st, of, commas, dots and hyphens), and in figures. Weekdays and times beside them don't matter; what
+    is no day of the calendar is passed over. A null text has none."""
+    tokens = F.regexp_extract_all(F.coalesce(_col(x), F.lit("")), F.lit(_DATE_TOKENS), F.lit(0))
+    return F.filter(F.transform(tokens, _date_of), lambda d: d >= F.lit("0001-01-01").cast("date"))
+
+
 def fuzzy_date(x: Column | str) -> Column:
     """yyyy-MM-dd of the first date anywhere in a text, else ''."""
-    x = _col(x)
-    found = [F.regexp_extract(x, p, 1) for p in (r"(\d{4}-\d{2}-\d{2})", rf"((?:{_LONG_MONTHS})\s+\d{{1,2}},\s+\d{{4}})", rf"((?:{_SHORT_MONTHS})[a-z]*\.?\s+\d{{1,2}},\s+\d{{4}})", r"(\d{1,2}/\d{1,2}/\d{4})")]
-    parsed = F.coalesce(*[F.coalesce(F.try_to_timestamp(f, F.lit("yyyy-MM-dd")), F.try_to_timestamp(f, F.lit("MMMM d, yyyy")), F.try_to_timestamp(F.replace(f, F.lit("."), F.lit("")), F.lit("MMM d, yyyy")), F.try_to_timestamp(f, F.lit("M/d/yyyy"))) for f in found])
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit(""))
+    return F.coalesce(F.date_format(F.get(dates_in(x), F.lit(0)), "yyyy-MM-dd"), F.lit(""))
 
 
 def year_in(x: Column | str) -> Column:

@@ -226,6 +226,10 @@ def narrative_themes(spark: SparkSession, d: str) -> DataFrame:
     return dashboard.narrative_themes(_table(spark, d, "documents"), "text", ["the", "of", "and", "der", "die", "de", "la", "el"], 50)
 
 
+def narrative_themes_folded(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.narrative_themes(_table(spark, d, "documents"), "text", ["the", "of", "and", "der", "die", "de", "la", "el"], 200, fold_plurals=True)
+
+
 def stable_id(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", text.stable_id("url").alias("stable_id"), text.tidy_url("url").alias("url"))
 
@@ -349,7 +353,7 @@ QUERIES = {
         category_distribution, tag_counts_by_source, source_share_pivot, keyword_vs_word_tagging, primary_tag_hits, primary_tag_distribution, tag_multiplicity,
         signal_extract, signal_summary, signal_by_source, signal_cooccurrence, compound_patterns, chunk_explode, chunk_summary, chunk_weight, weighted_distribution,
         wide_documents, clean_text, trend_by_year, trend_by_quarter, yoy_change, new_categories, trend_period, trend_filled, period_over_period, ytd_compare,
-        source_audit, category_matrix, dashboard_totals, dedup_first, cross_source_dedup, incremental_anti, narrative_themes, stable_id, html_heading, html_articles,
+        source_audit, category_matrix, dashboard_totals, dedup_first, cross_source_dedup, incremental_anti, narrative_themes, narrative_themes_folded, stable_id, html_heading, html_articles,
         html_links, null_counts, union_distinct, year_counts_aligned, page_bodies,
         emerging_rising, emerging_falling, view_summary, tagging_by_table, dictionary_hits, primary_tag_by_table, chained_dedup, last_values, date_forms, ytd_by_status, top_tags, signal_trend,
         chunk_tag_distribution, title_labels,
@@ -428,6 +432,12 @@ SELECT doc_id, family, CAST(sum(n) AS INTEGER) AS hits, CAST(min(place) AS INTEG
     "dedup_first": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, md5(text) AS text_md5 FROM documents GROUP BY md5(text)",
     "cross_source_dedup": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) AS r FROM events WHERE event_type IN ('purchase', 'click', 'view')) WHERE r = 1",
     "incremental_anti": "SELECT c_custkey AS key, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
+    "narrative_themes_folded": r"""WITH w AS (SELECT unnest(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[''’]s\b', '', 'g'), '\p{L}{2,}')) AS word FROM documents),
+v AS (SELECT word, count(*) AS n FROM w WHERE word NOT IN ('the', 'of', 'and', 'der', 'die', 'de', 'la', 'el') GROUP BY word),
+m AS (
+  SELECT coalesce(s.word, v.word) AS word, v.n FROM v
+  LEFT JOIN v s ON v.word = s.word || 's' AND v.word NOT LIKE '%ss')
+SELECT word, CAST(sum(n) AS BIGINT) AS count FROM m GROUP BY word ORDER BY sum(n) DESC, word LIMIT 200""",
     "narrative_themes": r"SELECT word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[''’]s\b', '', 'g'), '\p{L}{2,}')) AS word FROM documents) WHERE word NOT IN ('the', 'of', 'and', 'der', 'die', 'de', 'la', 'el') GROUP BY word ORDER BY count(*) DESC, word LIMIT 50",
     "stable_id": "SELECT page_id, substring(sha1(url), 1, 14) AS stable_id, CASE WHEN rtrim(url, '/') LIKE 'http://%' OR rtrim(url, '/') LIKE 'https://%' THEN rtrim(url, '/') ELSE 'https://' || rtrim(url, '/') END AS url FROM pages",
     "html_heading": r"WITH h AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, len(regexp_extract_all(html, 'href=" + '"' + "([^" + '"' + "]*)" + '"' + r"', 1)) AS n_links FROM h",

@@ -236,6 +236,31 @@ def listing_dates(spark, d):
     )
 
 
+#: Forms of a date in running text: what stands before it, its pattern, what stands after it. The last are none.
+_DATE_FORMS = (
+    ("", "yyyy-MM-dd", ""), ("at ", "yyyy-MM-dd", "T10:00:00Z"), ("", "yyyy/MM/dd", ""), ("v ", "yyyy.MM.dd", " build"), ("seen ", "yyyyMMdd", "."), ("", "yyyy-M-d", ""),
+    ("", "MMMM d, yyyy", ""), ("Posted ", "MMMM d, yyyy", " by staff"), ("", "MMM d, yyyy", " 03:15 PM"), ("on ", "MMM d yyyy", ""), ("(", "MMM. d, yyyy", ")"), ("", "MMMM d'th', yyyy", ""), ("Sat, ", "MMMM  d , yyyy", ""),
+    ("", "d MMMM yyyy", ""), ("", "d MMMM yyyy", " 10:00"), ("Fri, ", "d MMM yyyy", " 07:00:00 GMT"), ("the ", "d'rd of' MMMM yyyy", ""), ("", "d'st' MMM, yyyy", ""), ("", "dd-MMM-yyyy", ""), ("", "d MMM. yyyy", ""), ("it was the ", "d'th of the' MMMM, yyyy", "!"),
+    ("", "MM/dd/yyyy", ""), ("by ", "M/d/yyyy", ", at noon"), ("", "MM-dd-yyyy", ""), ("x: ", "M.d.yyyy", ""), ("", "MM/dd/yy", ""), ("2020-13-45 or 99/99/2020, then ", "yyyy-MM-dd", " and May 1, 1991"), ("call 212-555-0100 ", "d MMM yyyy", ""),
+    ("Maybe ", "'no date in' yyyy", ""), ("id a1", "yyyyMMdd", "0"),
+)
+_NO_DATE = 2
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(_DATE_FORMS)} < {len(_DATE_FORMS) - _NO_DATE} THEN strftime({_DAY}, '%Y-%m-%d') ELSE '' END AS found FROM orders")
+def dates_in_texts(spark, d):
+    """Thirty forms of a date, each somewhere in a text; of two dates the first counts, and what is none is passed over."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % len(_DATE_FORMS)
+    forms = [F.concat(F.lit(before), F.date_format(day, pattern), F.lit(after)) for before, pattern, after in _DATE_FORMS]
+    year = F.year(day)
+    # A year of two figures is read as one of this century: the century is put back for the comparison.
+    text_of = F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)])
+    found = dates.fuzzy_date(text_of)
+    two = [i for i, f in enumerate(_DATE_FORMS) if f[1] == "MM/dd/yy"][0]
+    found = F.when((k == two) & (year < 2000), F.date_format(F.add_months(F.to_date(found), -1200), "yyyy-MM-dd")).otherwise(found)
+    return table(spark, d, "orders").select("o_orderkey", found.alias("found"))
+
+
 @query(f"WITH o AS (SELECT o_orderkey, {_DAY} AS d FROM orders) SELECT o_orderkey, strftime(CAST(date_trunc('week', d) AS DATE) + 6, '%d %b %y') AS label_W, strftime(last_day(d), '%b %y') AS label_M, 'Q' || quarter(d) || ' ' || year(d) AS label_Q, CAST(year(d) AS VARCHAR) AS label_Y FROM o")
 def period_labels(spark, d):
     day = F.col("o_orderdate").cast("date")

@@ -89,12 +89,19 @@ def counts_of(df: DataFrame, column: str, top: int | None = None, weight: str |
     return out.limit(top) if top else out
 
 
-def narrative_themes(df: DataFrame, text: str, stopwords: list[str], top: int = 50) -> DataFrame:
+def narrative_themes(df: DataFrame, text: str, stopwords: list[str], top: int = 50, fold_plurals: bool = False) -> DataFrame:
     """(word, count) of the commonest words of two letters or more outside the stopwords; possessives count as the
-    word."""
+    word, figures don't. With ``fold_plurals`` a word with an s more than another of the vocabulary counts as that
+    other: one more aggregate, over the vocabulary by stem."""
     words = F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"['’]s\b", ""), F.lit(r"[\p{L}]{2,}"), F.lit(0))
     rows = df.select(F.explode(words).alias("word"))
-    return rows.where(~F.col("word").isin(stopwords)).groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(top)
+    counts = rows.where(~F.col("word").isin(stopwords)).groupBy("word").agg(F.count("*").alias("count"))
+    if fold_plurals:
+        plural = F.col("word").endswith("s") & ~F.col("word").endswith("ss")
+        stems = counts.withColumn("stem", F.when(plural, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word")))
+        both = stems.groupBy("stem").agg(F.sum("count").alias("count"), F.min("word").alias("word"))  # the singular sorts first
+        counts = both.select("word", "count")
+    return counts.orderBy(F.desc("count"), "word").limit(top)
 
 
 def matrix_with_total(df: DataFrame, row: str, column: str, values: list, weight: str | None = None) -> DataFrame:

@@ -165,3 +165,22 @@ def test_primary_tags_count_the_earlier_keywords(spark):
     """Words that came into the dictionary later tag a text, but don't count as hits."""
     df = spark.createDataFrame([("bitcoin ethereum smishing dark web phishing", ["crypto_fraud", "cybercrime"]), ("bitcoin bitcoin wallet", ["crypto_fraud", "cybercrime"])], "x string, t array<string>")
     assert [r[0] for r in df.select(tags.primary_tag("x", "t")).collect()] == ["cybercrime", "crypto_fraud"]
+
+
+def test_dates_anywhere_in_a_text(spark):
+    cases = {
+        "3rd of March 2021": ["2021-03-03"], "Mar 3rd, 2021": ["2021-03-03"], "3 March 2021 10:00": ["2021-03-03"], "2021/03/03": ["2021-03-03"], "SEPT. 9, 2021 and 9 sep 2022": ["2021-09-09", "2022-09-09"],
+        "25/12/2020, 12/25/2020": ["2020-12-25", "2020-12-25"], "4/10/24": ["2024-04-10"], "Feb 30, 2021 then Feb 28, 2021": ["2021-02-28"], "": [], None: [], "maypole 3 2021": [], "xMay 3, 2021": [], "May 3, 20211": [],
+        "12021-01-02": [], "2021-01-023": [], "2021-01/02": [], "20210102": ["2021-01-02"], "120210102": [], "le 3 mai 2021": [], "Saturday 5 June 2021": ["2021-06-05"], "1st May 2021": ["2021-05-01"], "2 of august 2020.": ["2020-08-02"],
+        "May 5, 2021May 6, 2021": ["2021-05-05"], "10-Apr-2024": ["2024-04-10"], "10.04.2024": ["2024-10-04"], "31.04.2024": [], "0000-01-01": [],
+    }
+    got = values(spark, list(cases), F.transform(dates.dates_in("x"), lambda x: x.cast("string")))
+    assert dict(zip(cases, got)) == cases
+
+
+def test_plurals_fold_into_words_that_occur(spark):
+    from inkspan.plans import dashboard
+
+    df = spark.createDataFrame([("Scam scams SCAMS bus class classs as loans loan's 2024 go",), (None,), ("a as buss gos go",)], "x string")
+    out = {r["word"]: r["count"] for r in dashboard.narrative_themes(df, "x", ["class"], fold_plurals=True).collect()}
+    assert out == {"scam": 3, "bus": 1, "buss": 1, "classs": 1, "as": 2, "loan": 2, "go": 3}
