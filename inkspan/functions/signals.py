@@ -17,7 +17,7 @@ IP = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)
 BTC = r"\b(bc1[0-9a-z]{25,62}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"
 ETH = r"\b0x[a-fA-F0-9]{40}\b"
 
-#: Combinations whose joint presence is counted.
+# Combinations whose joint presence is counted.
 COMPOUNDS = (("url", "email"), ("url", "phone"), ("url", "crypto"), ("email", "phone"), ("email", "crypto"), ("phone", "crypto"), ("url", "email", "phone"), ("url", "email", "crypto"))
 FLAGS = {"has_url": "urls", "has_email": "emails", "has_phone": "phones", "has_ip": "ip_addresses", "has_crypto": "crypto_wallets"}
 
@@ -92,3 +92,35 @@ def parse_signals(text: Column | str) -> Column:
 
 def parse_names(text: Column | str) -> Column:
     return F.coalesce(F.from_json(F.col(text) if isinstance(text, str) else text, "array<string>"), F.array().cast("array<string>"))
+
+
+def opened(value: Column | str) -> Column:
+    """Signals as a VARIANT, whatever their shape: JSON text is read, also where a JSON string holds it; a word that is
+    no JSON stays a string. A null, blank or unreadable value is null."""
+    v = F.col(value) if isinstance(value, str) else value
+    word = F.try_variant_get(v, "$", "string")
+    inner = F.try_parse_json(F.nullif(F.trim(word), F.lit("")))
+    is_word = F.schema_of_variant(v) == "STRING"
+    return F.when(is_word & inner.isNotNull(), inner).when(~(is_word & (F.trim(word) == "")), v)
+
+
+def from_text(text: Column | str) -> Column:
+    """The VARIANT of a text column, for ``opened``: its JSON or, where it is none, the text as a JSON string."""
+    x = F.col(text) if isinstance(text, str) else text
+    as_string = F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    return F.coalesce(F.try_parse_json(x), F.try_parse_json(F.when(F.trim(x) != "", as_string)))
+
+
+def variant_signals(opened_value: Column | str) -> Column:
+    """Indicators of an ``opened`` value that is an object of lists; of any other shape they are empty."""
+    v = F.col(opened_value) if isinstance(opened_value, str) else opened_value
+    empty = F.array().cast("array<string>")
+    return F.struct(*[F.coalesce(F.filter(F.try_variant_get(v, f"$.{f}", "array<string>"), lambda x: x.isNotNull()), empty).alias(f) for f in FIELDS])
+
+
+def variant_names(opened_value: Column | str) -> Column:
+    """Keyword signals of an ``opened`` value that is a list, or a single word; an object has none."""
+    v = F.col(opened_value) if isinstance(opened_value, str) else opened_value
+    names = F.filter(F.try_variant_get(v, "$", "array<string>"), lambda x: x.isNotNull())
+    word = F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+    return F.coalesce(names, word, F.array().cast("array<string>"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, dictionary, signals, tags, text
+from ..functions import dates, dictionary, signals, sql, tags, text
 from ..functions.taxonomy import Taxonomy
 from ..operators import chunks, dedup, joins
 from ..sources import html
@@ -246,6 +246,25 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return html.extract_links(_table(spark, d, "pages"))
 
 
+def chunks_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """chunk_explode, written in SQL alone."""
+    sql.register(spark)
+    bare = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), r'(?<=[A-Za-z.,)])\d\d?\b', ''), r'(?U)\s+', ' '))"
+    return spark.sql(f"SELECT doc_id, chunk_id, chunk_length, md5(chunk_text) AS chunk_md5 FROM {{rows}}, LATERAL document_chunks({bare}, 1200, 200, 150)", rows=_table(spark, d, "documents"))
+
+
+def links_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """html_links, written in SQL alone."""
+    sql.register(spark)
+    return spark.sql("SELECT page_id, l.* FROM {rows} r, LATERAL page_links(r.html, r.url) l", rows=_table(spark, d, "pages").select("page_id", "url", "html"))
+
+
+def tags_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of either kind by a taxonomy of the caller's, and addresses, written in SQL alone."""
+    sql.register(spark, CORPUS, "corpus_")
+    return spark.sql("SELECT doc_id, array_join(corpus_fraud_tags(text), ',') AS word_tags, array_join(corpus_keyword_tags(text), ',') AS keyword_tags, array_join(corpus_emails_in(text), ',') AS emails FROM {rows}", rows=_table(spark, d, "documents"))
+
+
 def null_counts(spark: SparkSession, d: str) -> DataFrame:
     return analytics.null_counts(_table(spark, d, "documents"))
 
@@ -354,7 +373,7 @@ QUERIES = {
         signal_extract, signal_summary, signal_by_source, signal_cooccurrence, compound_patterns, chunk_explode, chunk_summary, chunk_weight, weighted_distribution,
         wide_documents, clean_text, trend_by_year, trend_by_quarter, yoy_change, new_categories, trend_period, trend_filled, period_over_period, ytd_compare,
         source_audit, category_matrix, dashboard_totals, dedup_first, cross_source_dedup, incremental_anti, narrative_themes, narrative_themes_folded, stable_id, html_heading, html_articles,
-        html_links, null_counts, union_distinct, year_counts_aligned, page_bodies,
+        html_links, chunks_by_sql, links_by_sql, tags_by_sql, null_counts, union_distinct, year_counts_aligned, page_bodies,
         emerging_rising, emerging_falling, view_summary, tagging_by_table, dictionary_hits, primary_tag_by_table, chained_dedup, last_values, date_forms, ytd_by_status, top_tags, signal_trend,
         chunk_tag_distribution, title_labels,
     )
@@ -407,6 +426,11 @@ met AS (
   FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN keys ON contains(low, keyword))
 SELECT doc_id, family, CAST(sum(n) AS INTEGER) AS hits, CAST(min(place) AS INTEGER) AS place FROM met GROUP BY doc_id, family""",
     "primary_tag_distribution": f"WITH {_PRIMARY_SQL} SELECT primary_tag, count(*) AS count, round_even(CAST(count(*) * 100 AS DOUBLE) / sum(count(*)) OVER (), 2) AS pct FROM primaries GROUP BY primary_tag",
+    "tags_by_sql": f"""WITH {_TAGGED_SQL},
+k AS (SELECT doc_id, list_filter({_KEYWORD_SQL}, lambda x: x IS NOT NULL) AS ks FROM documents),
+e AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_EMAIL_RE}'), lambda x: lower(x)))), ',') AS emails FROM documents)
+SELECT t.doc_id, array_to_string(fraud_tags, ',') AS word_tags, CASE WHEN len(ks) = 0 THEN 'other' ELSE array_to_string(list_sort(ks), ',') END AS keyword_tags, coalesce(emails, '') AS emails
+FROM tagged t JOIN k ON t.doc_id = k.doc_id JOIN e ON t.doc_id = e.doc_id""",
     "tag_multiplicity": f"WITH {_TAGGED_SQL} SELECT count(*) FILTER (WHERE len(fraud_tags) = 1) AS single_tag, count(*) FILTER (WHERE len(fraud_tags) > 1) AS multi_tag, count(*) AS documents FROM tagged",
     "signal_extract": f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)\\b{_URL_RE}'))), ',') AS urls, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_EMAIL_RE}'), lambda x: lower(x)))), ',') AS emails, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_PHONE_RE}'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))))), ',') AS phones, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{signals.IP}'))), ',') AS ips, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '{signals.BTC}', 1), regexp_extract_all(text, '{signals.ETH}')))), ',') AS wallets FROM documents",
     "signal_summary": f"WITH {_FLAGS_SQL} SELECT signal, count, round_even(CAST(count * 100 AS DOUBLE) / n, 1) AS pct FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS signal, count(*) FILTER (WHERE {f}) AS count, count(*) AS n FROM flags" for f in signals.FLAGS) + ")",
@@ -469,3 +493,5 @@ SELECT page_id, CASE WHEN length(h1) > 5 THEN h1 ELSE title END AS title, '' AS
 
 QUERIES |= catalog_text.QUERIES | catalog_flow.QUERIES
 ORACLE_SQL |= catalog_text.ORACLE_SQL | catalog_flow.ORACLE_SQL
+# The same results by another way.
+ORACLE_SQL |= {"chunks_by_sql": ORACLE_SQL["chunk_explode"], "links_by_sql": ORACLE_SQL["html_links"]}

@@ -165,6 +165,22 @@ def parsed_signals(spark, d):
     return rows.select("doc_id", F.size("s.urls").alias("n_urls"), signals.signal_count("s").alias("n_all"), comma(F.col("names")).alias("names"), signals.listed(F.col("names"), "email", "e-mail").alias("has_email"), signals.has("s", "urls").alias("has_url"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'OBJECT' WHEN 1 THEN 'ARRAY' WHEN 2 THEN 'OBJECT' WHEN 3 THEN 'STRING' WHEN 4 THEN 'ARRAY' ELSE 'none' END AS shape,
+CASE WHEN doc_id % 6 IN (0, 2) THEN 'https://x.org/' || doc_id ELSE '' END AS urls, CASE WHEN doc_id % 6 IN (0, 2) THEN 2 ELSE 0 END AS n_all,
+CASE doc_id % 6 WHEN 1 THEN 'wire transfer,7' WHEN 3 THEN 'phishing' WHEN 4 THEN 'gift card' ELSE '' END AS names FROM documents""")
+def mixed_signals(spark, d):
+    """One column with signals as objects, lists, words, and text that holds an object or a list, read from JSON lines."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    an_object = F.concat(F.lit('{"urls":["https://x.org/'), i, F.lit('"],"phones":[5551234],"emails":null,"more":{"a":1}}'))
+    in_text = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    value = F.when(k == 0, an_object).when(k == 1, F.lit('["wire transfer",7,null]')).when(k == 2, in_text(an_object)).when(k == 3, F.lit('"phishing"')).when(k == 4, in_text(F.lit('["gift card"]'))).otherwise(F.lit("null"))
+    lines = table(spark, d, "documents").select(F.concat(F.lit('{"doc_id":'), i, F.lit(',"fraud_signals":'), value, F.lit("}")).alias("line"))
+    rows = lines.select(F.from_json("line", "doc_id long, fraud_signals variant").alias("r")).select("r.doc_id", signals.opened("r.fraud_signals").alias("v"))
+    own = rows.select("doc_id", F.schema_of_variant("v").alias("kind"), signals.variant_signals("v").alias("s"), signals.variant_names("v").alias("names"))
+    shape = F.coalesce(F.nullif(F.regexp_extract("kind", "^(OBJECT|ARRAY|STRING)", 1), F.lit("")), F.lit("none"))
+    return own.select("doc_id", shape.alias("shape"), comma(F.col("s.urls")).alias("urls"), signals.signal_count("s").alias("n_all"), comma(F.col("names")).alias("names"))
+
+
 # --- cleaning ----------------------------------------------------------------------------------------------------
 
 

@@ -19,16 +19,21 @@ def no_signals() -> Column:
 
 
 def normalized(df: DataFrame, text: str, source: str | None = None, signals: str | None = "fraud_signals") -> DataFrame:
-    """One source in the master's columns: doc_id, chunk_id, source, date, url, text, fraud_tags, signals, names."""
+    """One source in the master's columns: doc_id, chunk_id, source, date, url, text, fraud_tags, signals, names.
+
+    Signals are an object of lists, a list of names, text that holds either, or a VARIANT whose rows are any of these.
+    """
     has = set(df.columns)
     own = lambda c, kind: F.col(c).cast(kind) if c in has else F.lit(None).cast(kind)
     kind = dict(df.dtypes).get(signals, "") if signals else ""
+    if kind == "variant":
+        df = df.withColumn(signals, S.opened(signals))
     return df.select(
         own("doc_id", "string").alias("doc_id"), own("chunk_id", "int").alias("chunk_id"), (F.lit(source) if source else own("source", "string")).alias("source"),
         coerce_date(F.coalesce(*[own(c, "string") for c in ("date", "published", "published_raw")])).alias("date"), own("url", "string").alias("url"), F.col(text).alias("text"),
         normalize_tags(own("fraud_tags", "array<string>")).alias("fraud_tags"),
-        (F.col(signals) if kind.startswith("struct") else S.parse_signals(signals) if kind == "string" else no_signals()).alias("signals"),
-        (F.col(signals) if kind.startswith("array") else S.parse_names(signals) if kind == "string" else F.array().cast("array<string>")).alias("keyword_signals"),
+        (F.col(signals) if kind.startswith("struct") else S.variant_signals(signals) if kind == "variant" else S.parse_signals(signals) if kind == "string" else no_signals()).alias("signals"),
+        (F.col(signals) if kind.startswith("array") else S.variant_names(signals) if kind == "variant" else S.parse_names(signals) if kind == "string" else F.array().cast("array<string>")).alias("keyword_signals"),
     )
 
 

@@ -191,25 +191,40 @@ def extract_articles(pages: DataFrame, key: str = "page_id", html: str = "html")
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {_ARTICLE}")
 
 
-def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", include: str = "", exclude: str = r"^(#|mailto:|javascript:)") -> DataFrame:
+#: Links that lead nowhere.
+NO_LINK = r"^(#|mailto:|javascript:)"
+
+
+def links_of(page: str | None, base: str | None, include: str = "", exclude: str = NO_LINK) -> Iterator[tuple[str, str, int]]:
+    """(url, title_hint, position) of a page's anchors that lead on, made absolute, the first of each url."""
+    seen: set[str] = set()
+    for node in select(parse(page, keep_noise=True)[0], "a"):
+        href = node.attrs.get("href", "").strip()
+        if not href or re.search(exclude, href):
+            continue
+        try:
+            whole = urljoin(base or "", href)
+        except ValueError:
+            continue
+        if whole not in seen and re.search(include, whole):
+            yield whole, node.text(), len(seen)
+            seen.add(whole)
+
+
+def tables_of(page: str | None) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """(table_no, row_no, cells, links) of every row of every HTML table."""
+    for t, node in enumerate(select(parse(page)[0], "table")):
+        for r, row in enumerate(select(node, "tr")):
+            cells = [n for n in row.children if isinstance(n, Node) and n.tag in ("td", "th")]
+            yield t, r, [c.text() for c in cells], [a.attrs.get("href", "") for a in select(row, "a")]
+
+
+def extract_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", include: str = "", exclude: str = NO_LINK) -> DataFrame:
     """(key, url, title_hint, position): anchors that lead on, made absolute, first of each url in a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, base, page in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                seen = set()
-                for node in select(parse(page, keep_noise=True)[0], "a"):
-                    href = node.attrs.get("href", "").strip()
-                    if not href or re.search(exclude, href):
-                        continue
-                    try:
-                        whole = urljoin(base or "", href)
-                    except ValueError:
-                        continue
-                    if whole not in seen and re.search(include, whole):
-                        out.append((k, whole, node.text(), len(seen)))
-                        seen.add(whole)
+            out = [(k, *link) for k, base, page in zip(*[batch.column(i).to_pylist() for i in range(3)]) for link in links_of(page, base, include, exclude)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32())], names=[key, "url", "title_hint", "position"])
 
@@ -222,12 +237,7 @@ def extract_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t, node in enumerate(select(parse(page)[0], "table")):
-                    for r, row in enumerate(select(node, "tr")):
-                        cells = [n for n in row.children if isinstance(n, Node) and n.tag in ("td", "th")]
-                        out.append((k, t, r, [c.text() for c in cells], [a.attrs.get("href", "") for a in select(row, "a")]))
+            out = [(k, *row) for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in tables_of(page)]
             columns = list(zip(*out)) or [()] * 5
             types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[key, "table_no", "row_no", "cells", "links"])

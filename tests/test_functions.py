@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import dates, dictionary, signals, tags, text
@@ -184,3 +185,41 @@ def test_plurals_fold_into_words_that_occur(spark):
     df = spark.createDataFrame([("Scam scams SCAMS bus class classs as loans loan's 2024 go",), (None,), ("a as buss gos go",)], "x string")
     out = {r["word"]: r["count"] for r in dashboard.narrative_themes(df, "x", ["class"], fold_plurals=True).collect()}
     assert out == {"scam": 3, "bus": 1, "buss": 1, "classs": 1, "as": 2, "loan": 2, "go": 3}
+
+
+def test_signals_of_every_shape_in_one_column(spark):
+    from inkspan.plans import views
+
+    cases = {
+        '{"urls":["u",null],"emails":"x"}': (["u"], []), '["a",1,null]': ([], ["a", "1"]), "word": ([], ["word"]), '"in quotes"': ([], ["in quotes"]), '"[\\"b\\"]"': ([], ["b"]), "": ([], []), " ": ([], []), None: ([], []), "{bad": ([], ["{bad"]),
+        "12": ([], []), "[]": ([], []), "{}": ([], []), "null": ([], []), '"{\\"urls\\":[\\"v\\"]}"': (["v"], []),
+    }
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(cases)], "doc_id string, x string")
+    rows = df.select("doc_id", F.lit("text").alias("t"), signals.from_text("x").alias("fraud_signals"))
+    got = {r["doc_id"]: (r["signals"]["urls"], r["keyword_signals"]) for r in views.normalized(rows, "t").collect()}
+    assert got == {str(i): want for i, want in enumerate(cases.values())}
+
+
+def test_functions_for_sql(spark):
+    from pyspark.errors import AnalysisException
+
+    from inkspan.functions import sql
+    from inkspan.functions.signals import indicators
+
+    names = sql.register(spark, prefix="x_")
+    assert "x_fraud_tags" in names and len(names) == 10
+    texts = ["A romance scam, BEC of a@B.co", None, "", "it's 10.0.0.1 and https://x.org/a) or +1  212-555-0100", "bc1" + "q" * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    own = df.select("x", tags.pattern_tags("x").alias("p"), tags.keyword_tags("x").alias("k"), indicators("x").alias("i"))
+    own = own.selectExpr("p", "k", "i.urls", "i.emails", "i.phones", "i.ip_addresses", "i.crypto_wallets").collect()
+    got = spark.sql("SELECT x_fraud_tags(x), x_keyword_tags(x), x_urls_in(x), x_emails_in(x), x_phones_in(x), x_ip_addresses_in(x), x_crypto_wallets_in(x) FROM {df}", df=df).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in own]
+    page = "<table><tr><td>1</td><td>b</td><td>c</td></tr><tr><th>x</th></tr></table>"
+    rows = spark.sql("SELECT t.* FROM VALUES (:page), (NULL) v(h), LATERAL x_table_rows(h, 'id, name') t", args={"page": page}).collect()
+    assert [r.asDict() for r in rows] == [{"table_no": 0, "row_no": 0, "id": "1", "name": "b"}, {"table_no": 0, "row_no": 1, "id": "x", "name": None}]
+    assert spark.sql("SELECT * FROM x_document_chunks(NULL, 10, 2, 0)").count() == 0
+    for bad in ("x_document_chunks('a', 2, 2, 0)", "x_document_chunks('a', 'b', 2, 0)", "x_table_rows('a', 'b,b')"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"SELECT * FROM {bad}").collect()
+    with pytest.raises(ValueError):
+        sql.register(spark, prefix="a b")
