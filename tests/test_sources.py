@@ -284,3 +284,49 @@ def test_maintained_counts_equal_those_of_the_rows(spark, tmp_path):
     aggregates.write_batch(df.limit(7), 3, at)
     counts = aggregates.read(spark, at).agg(F.sum("records")).first()[0]
     assert counts == 97 and aggregates.compact(spark, at) == 3 and aggregates.read(spark, at).agg(F.sum("records")).first()[0] == 97
+
+
+def test_filters_on_an_archive_index_reach_its_service(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            own = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            asked.append(own)
+            rows = [["20240101", "https://x.org/a/", "200"], ["20240301", "https://x.org/a", "200"], ["20240302", "https://x.org/b", "404"], ["20240303", "https://y.org/c", "200"], ["2024", "https://x.org/d", "200"]]
+            answer = [["timestamp", "original", "statuscode"], *rows] if own["url"] != "none" else []
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}/cdx"
+    try:
+        out = web.captures(spark, [at], ("x.org/*", "none"), since="20240201", until="20240401", prefix="https://x.org/", limit="7")
+        assert [tuple(r) for r in out.collect()] == [("https://x.org/a", "20240301", "2024-03-01")]
+        assert {a["url"] for a in asked} == {"x.org/*", "none"} and all((a["from"], a["to"], a["filter"], a["limit"], a["collapse"]) == ("20240201", "20240401", "statuscode:200", "7", "urlkey") for a in asked)
+        assert "Filter (" not in out._jdf.queryExecution().executedPlan().toString()
+        asked.clear()
+        rows = spark.read.format("archiveindex").schema("wayback_ts string, url string").options(endpoint=at).load().where("url like 'https://x%' and length(wayback_ts) = 4")
+        assert [tuple(r) for r in rows.collect()] == [("2024", "https://x.org/d")]
+        assert asked[-1]["fl"] == "timestamp,original" and asked[-1]["matchType"] == "prefix" and asked[-1]["url"] == "https://x"
+    finally:
+        server.shutdown()
+
+
+def test_a_hosts_pages_are_fetched_by_one_task():
+    urls = [f"https://{h}.org/{i}" for i in range(4) for h in ("a", "B", "c")] + ["https://b.org/x", "bad url", "http://[x"]
+    reader = web._Reader({"urls": "\n".join(urls), "perpartition": "5"})
+    parts = [p.urls for p in reader.partitions()]
+    assert sorted(sum(parts, [])) == sorted(urls)
+    for host in ("a.org", "b.org", "c.org"):
+        assert len([p for p in parts if any(web._host(u) == host for u in p)]) == 1
+    assert max(map(len, parts)) <= 6
