@@ -269,7 +269,8 @@ def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def round_trip(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, and decoded from the ids, in one pass, so
-    a task has one worker and one automaton."""
+    a task has one worker and one automaton. Null and empty texts have no tokens and the digests of nothing; repeated
+    rows stay, each by itself."""
     spark = documents.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(Automaton(vocabulary or default_vocabulary()))
@@ -290,4 +291,5 @@ def round_trip(documents: DataFrame, vocabulary: str | None = None) -> DataFrame
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` encoded and decoded; ``round_trip`` says how nulls, empty texts and repeated rows count."""
     return round_trip(table(spark, sf_dir, "documents"))

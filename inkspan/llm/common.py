@@ -96,6 +96,18 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def written_so_far() -> int:
+    return len(_written)
+
+
+def remove_since(mark: int, but: str) -> None:
+    """Removes the tables that were written since ``mark``, one of them excepted, once nothing reads them any more."""
+    for spark, path in _written[mark:]:
+        if path != but:
+            remove(spark, path)
+    _written[mark:] = [x for x in _written[mark:] if x[1] == but]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -170,6 +170,8 @@ def with_kept_lines(documents: DataFrame, dropped: DataFrame, digest_only: bool
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all ``documents``. A null or empty text is one empty line; repeated rows of the largest id all keep a
+    shared line."""
     documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     return with_kept_lines(documents, dropped_lines(documents), digest_only=True)
 

@@ -546,4 +546,6 @@ def score_documents(documents: DataFrame) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` scored by a model of those not held out. A null or empty text is the end alone; rows of one id
+    are scored, and learned from, each by itself; a null id is not held out."""
     return score_documents(table(spark, sf_dir, "documents"))

@@ -49,27 +49,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values), each bucket once, in order."""
+    """(buckets, values), each bucket once, in order. Words weigh by the logarithm of their counts, shapes by the counts
+    themselves, in texts of any length."""
     words = text.split() if text else []
     if not words:
         return np.array([0]), np.array([1.0])
     n = len(words)
     own = _mixed(np.fromiter(map(crc32, words), np.uint64, n))
     shape = _mixed(np.fromiter(map(_shape, words), np.uint64, n) + np.uint64(1 << 33))
-    kinds = []
-    for k, one in enumerate((own, shape)):
-        kinds.append(one)
+    kinds: dict[tuple[str, int], np.ndarray] = {}
+    for k, (kind, one) in enumerate((("word", own), ("shape", shape))):
+        kinds[kind, 1] = one
         if n > 1:
-            kinds.append(_mixed(one[:-1] * np.uint64(3) + one[1:] + np.uint64(k)))
+            kinds[kind, 2] = _mixed(one[:-1] * np.uint64(3) + one[1:] + np.uint64(k))
         if n > 2:
-            kinds.append(_mixed(one[:-2] * np.uint64(9) + one[1:-1] * np.uint64(3) + one[2:] + np.uint64(k)))
+            kinds[kind, 3] = _mixed(one[:-2] * np.uint64(9) + one[1:-1] * np.uint64(3) + one[2:] + np.uint64(k))
     places, values = [np.array([1])], [np.array([1.0])]
-    for k, grams in enumerate(kinds):
+    for (kind, size), grams in kinds.items():
         some, counts = np.unique(grams % np.uint64(BUCKETS - 2), return_counts=True)
-        weight = np.log1p(counts) if len(kinds) != 6 or k < 3 else counts.astype(float)
+        weight = np.log1p(counts) if kind == "word" else counts.astype(float)
         places.append(some.astype(np.int64) + 2)
         values.append(weight / np.sqrt(weight @ weight))
-        if k == 2 and n > 2:
+        if (kind, size) == ("word", 3):
             level = np.minimum(np.log2(counts).astype(np.int64), 6)
             places.append((_mixed(np.arange(7, dtype=np.uint64) + np.uint64(1 << 40)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2)
             values.append(np.bincount(level, counts, 7) / len(grams))
@@ -136,6 +137,8 @@ def scored(documents: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``. Null, empty and blank texts have one and the same score; rows of one id are scored
+    each by itself, and a null id is not held out."""
     documents = table(spark, sf_dir, "documents")
     out = scored(documents, fit(documents, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -209,6 +209,8 @@ def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` by learned rules. Null texts have no words and fail the base limits, as do empty ones; rows of one
+    id are judged each by itself."""
     documents = table(spark, sf_dir, "documents")
     rules = fit(documents, table(spark, sf_dir, "labels"))
     out = judge(pick(documents, "doc_id", "text"), rules)

@@ -508,7 +508,7 @@ def one_of_each(documents: DataFrame, size: int = 5) -> DataFrame:
     """The documents without near copies: of each component one row, that of the smallest id.
 
     Texts are near copies if they share at least 0.8 (ALIKE) of their different ``size``-word shingles. Of repeated
-    rows, equal in id and text, one stays; different texts under one id are judged each by itself. Rows without an
+    rows, equal in id and text, the least by all columns stays; different texts under one id are judged each by itself. Rows without an
     id, and texts without words, are no copies of anything: they stay.
     """
     prints = written(wide_fingerprints(documents, size), "wide")
@@ -526,10 +526,14 @@ def one_of_each(documents: DataFrame, size: int = 5) -> DataFrame:
     right = touched.select(F.col("doc_id").alias("_d"), F.col("place").alias("_p"), F.col("kept").alias("_kept")).hint("shuffle_hash")
     doubtful = marked.where("_marked and _doc is not null").join(right, (F.col("_doc") == F.col("_d")) & (F.col("_place") == F.col("_p")), "left")
     stay = marked.where("not _marked or _doc is null").select(*documents.columns).union(doubtful.where("_kept is null").select(*documents.columns))
-    repeated = doubtful.where("_kept").dropDuplicates(["_doc", "_place"]).select(*documents.columns)
+    # Of rows that are equal in id and text the least by their other columns, so that it is always the same one.
+    least_row = F.min(F.struct(*[F.col(c) for c in documents.columns])).alias("row")
+    repeated = doubtful.where("_kept").groupBy("_doc", "_place").agg(least_row).select("row.*")
     return stay.union(repeated)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all ``documents``. Null, empty and blank texts have fingerprint zero, which is
+    linked like any other; each row of an id is one of its own, and rows without an id are no component's smallest."""
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -139,6 +139,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: I
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` judged; ``judge`` says how nulls count. Repeated rows stay, each by itself."""
     return judge(table(spark, sf_dir, "pages")).drop("listed")
 
 
