@@ -326,6 +326,31 @@ def test_url_digests_confirm_strings(tmp_path, monkeypatch):
     assert [[e[2] for e in own] for own in index.probe(["a/x", "b/y", "c/z"])] == [["a/x"], ["b/y"], []]
 
 
+def test_a_list_of_very_many_hosts(spark, monkeypatch):
+    """Many shards, made by Spark; the driver sees them one at a time, and each host is found again."""
+    monkeypatch.setattr(urls, "SHARD_ENTRIES", 5_000)
+    n = 200_000
+    hosts = spark.range(n).selectExpr("concat('Host', id * 7919 % 1000003, '.example.org') AS host")
+    pages = hosts.selectExpr("row_number() over (order by host) AS page_id", "concat('http://www.', host, '/x') AS url").where("page_id % 50 = 0")
+    pages = pages.union(spark.createDataFrame([(-1, "http://host5.example.com/"), (-2, "http://xhost0.example.org/")], "page_id long, url string"))
+    got = urls.judge(pages, blocked=hosts).groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in got} == {"block": n // 50, "allow": 2}
+
+
+def test_a_text_of_two_words_weighs_shapes_as_longer_ones_do():
+    """A word that occurs twice: its shape counts twice, whether or not there are three words."""
+    places, values = quality.features(b"ab ab")
+    shapes, counts = {}, {}
+    for text in (b"ab ab", b"ab ab c1 ab"):
+        p, v = quality.features(text)
+        shapes[text] = dict(zip(p.tolist(), v.tolist()))
+    assert len(places) == len(set(places.tolist())) and all(x > 0 for x in values)
+    shape = quality._mixed(np.array([quality._shape(b"ab")], np.uint64) + np.uint64(1 << 33))[0] % np.uint64(quality.BUCKETS - 2) + np.uint64(2)
+    other = quality._mixed(np.array([quality._shape(b"c1")], np.uint64) + np.uint64(1 << 33))[0] % np.uint64(quality.BUCKETS - 2) + np.uint64(2)
+    assert shapes[b"ab ab"][int(shape)] == 1.0
+    assert shapes[b"ab ab c1 ab"][int(shape)] == pytest.approx(3 * shapes[b"ab ab c1 ab"][int(other)])
+
+
 def test_quality_and_toxicity_of_odd_rows(spark, odd):
     for labels in (labelled(spark, []), labelled(spark, [(4, 1, 0), (4, 0, 1), (6, None, None), (None, 1, 1), (7, 0, 1), (8, 1, 0)])):
         q = quality.scored(odd, quality.fit(odd, labels, rows=100)).collect()
