@@ -41,12 +41,12 @@ class DocumentChunks:
 
 @udtf(returnType="url string, title_hint string, position int")
 class PageLinks:
-    """page_links(html, base): links that lead on, made absolute, the first of each url in a page."""
+    """page_links(html, base[, ended_only]): links that lead on, made absolute, the first of each url in a page."""
 
-    def eval(self, html: str | None, base: str | None) -> Iterator[tuple]:
+    def eval(self, html: str | None, base: str | None, ended_only: bool = False) -> Iterator[tuple]:
         from ..sources.html import links_of
 
-        yield from links_of(html, base)
+        yield from links_of(html, base, ended_only=ended_only)
 
 
 @udtf

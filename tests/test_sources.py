@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from inkspan.functions import sql
 from inkspan.functions.tags import pattern_tags
 from inkspan.operators import dedup
 from inkspan.plans import dashboard, pipelines
@@ -56,6 +57,19 @@ def test_html(spark):
     assert tuple(native) == ("Scam alert rises", "https://o.org/r.pdf")
 
 
+def test_a_reference_that_a_cut_left_open_stays_as_written(spark):
+    page = "<html><head><title>Frauds &amp; scams &amp</title><script type='application/ld+json'>{\"datePublished\": \"a & b &amp\"}</script></head><body><!-- <script> & --><h1>Frauds &amp; scams &amp</h1><article><p>Losses &quo &ampx; &lt;b&gt; &#38; of a year that nobody has counted until now &am</p></article><a href='/r?a=1&copy=2'>R&amp</a></body></html>"
+    pages = spark.createDataFrame([(1, "https://s.org/", page)], "page_id long, url string, html string")
+    row = html.extract_articles(pages, ended_only=True).collect()[0]
+    assert row["title"] == "Frauds & scams &amp" and row["published_raw"] == "a & b &amp"
+    assert row["body_raw"] == "Losses &quo &ampx; <b> & of a year that nobody has counted until now &am"
+    assert [(r["url"], r["title_hint"]) for r in html.extract_links(pages, ended_only=True).collect()] == [("https://s.org/r?a=1&copy=2", "R&amp")]
+    assert html.extract_articles(pages).collect()[0]["title"] == "Frauds & scams &"
+    sql.register(spark)
+    hints = [spark.sql(f"SELECT l.title_hint FROM {{rows}} r, LATERAL page_links(r.html, r.url{more}) l", rows=pages).collect()[0][0] for more in ("", ", true")]
+    assert hints == ["R&", "R&amp"]
+
+
 def test_web_pages(spark, tmp_path):
     (tmp_path / "p.html").write_text(PAGE)
     web.register(spark)
