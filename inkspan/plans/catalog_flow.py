@@ -21,6 +21,8 @@ from .catalog_text import CASES, cases, comma, keyword_sql, or_other, pattern_sq
 
 QUERIES = {}
 ORACLE_SQL = {}
+#: Rows of an index file, about.
+INDEX_ROWS = 50_000
 
 
 def query(sql: str):
@@ -581,13 +583,16 @@ def maintained_panels(spark, d):
 SELECT url, min(stamp) AS wayback_ts, substr(min(stamp), 1, 4) || '-' || substr(min(stamp), 5, 2) || '-' || substr(min(stamp), 7, 2) AS published_raw
 FROM r WHERE status = '200' AND stamp >= '20240105' AND stamp <= '20240125' AND starts_with(url, 'https://x.org/news') GROUP BY url""")
 def indexed_captures(spark, d):
-    """Index files of a web archive, made of a table, each a partition of a data source that takes the filters."""
+    """Index files of a web archive, made of a table, each a partition of a data source that takes the filters. A larger
+    table makes more files, not longer ones."""
     url = F.concat(F.lit("https://x.org/"), F.when(F.col("user_id") % 2 == 0, F.lit("news/")).otherwise(F.lit("tag/")), F.col("user_id") % 40, F.when(F.col("event_id") % 3 == 0, F.lit("/")).otherwise(F.lit("")))
     status = F.when(F.col("event_id") % 5 == 0, F.lit("404")).otherwise(F.lit("200"))
-    rows = table(spark, d, "events").select((F.col("user_id") % 4).alias("file"), F.array(F.date_format("ts", "yyyyMMddHHmmss"), url, status).alias("row"))
+    events = table(spark, d, "events")
+    number = max(4, -(-events.count() // INDEX_ROWS))
+    rows = events.select(F.pmod(F.xxhash64("event_id"), F.lit(number)).alias("file"), F.array(F.date_format("ts", "yyyyMMddHHmmss"), url, status).alias("row"))
     head = F.array(F.array(F.lit("timestamp"), F.lit("original"), F.lit("statuscode")))
     answers = rows.groupBy("file").agg(F.to_json(F.concat(head, F.collect_list("row"))).alias("value"))
     path = readers.landing(spark, "index")
-    answers.repartition(4, "file").write.partitionBy("file").text(path)
+    answers.select("value").write.option("maxRecordsPerFile", 1).text(path)
     files = [r["path"] for r in readers.stored_files(spark, path, "*.txt").select("path").collect()]
     return web.captures(spark, files, since="20240105", until="20240125", prefix="https://x.org/news")

@@ -3,10 +3,12 @@ whose service filters are handed on. Failures are rows."""
 
 from __future__ import annotations
 
+import codecs
 import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 from urllib.parse import urlencode, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,11 +66,72 @@ def _host(url: str) -> str:
         return ""
 
 
+def _opened(url: str, agent: str, timeout: float) -> BinaryIO:
+    return urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout)
+
+
 def _fetched(url: str, agent: str, timeout: float) -> str:
-    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as answer:
+    with _opened(url, agent, timeout) as answer:
         return answer.read().decode("utf-8", "replace")
 
 
+#: Bytes of an index that are read at a time, and characters that one row of it has at most.
+READ_BYTES, ROW_CHARS = 1 << 18, 1 << 24
+
+
+def matrix_rows(answer: BinaryIO, size: int = READ_BYTES) -> Iterator[list]:
+    """Rows of a JSON array of arrays as they come in: what is held is ``size`` bytes and one row, however long the
+    answer. An empty one has none; one that breaks off, or is no such array, is a ValueError."""
+    text_of, scan = codecs.getincrementaldecoder("utf-8")("replace"), json.JSONDecoder().raw_decode
+    text, at, ended = "", 0, False
+
+    def more() -> None:
+        nonlocal text, at, ended
+        data = answer.read(size)
+        ended = not data
+        text, at = text[at:] + text_of.decode(data, ended), 0
+
+    def mark() -> str:
+        """The next character that isn't white space; none at the end."""
+        nonlocal at
+        while True:
+            while at < len(text):
+                if text[at] not in " \t\r\n":
+                    return text[at]
+                at += 1
+            if ended:
+                return ""
+            more()
+
+    first = mark()
+    if first not in ("", "["):
+        raise ValueError("an index is a JSON array of rows")
+    while first:
+        at += 1
+        if (begin := mark()) == "]" and first == "[":
+            break
+        if begin != "[":
+            raise ValueError("an index breaks off, or has something other than rows")
+        while True:
+            try:
+                row, end = scan(text, at)
+                break
+            except ValueError:
+                if ended or len(text) - at > ROW_CHARS:
+                    raise
+                more()
+        at = end
+        yield row
+        first = mark()
+        if first == "]":
+            break
+        if first != ",":
+            raise ValueError("an index breaks off, or has something other than rows")
+    at += 1
+    if mark():
+        raise ValueError("an index goes on after its end")
+
+
 class _Index(InputPartition):
     def __init__(self, endpoint: str, pattern: str):
         self.endpoint, self.pattern = endpoint, pattern
@@ -80,7 +143,7 @@ _ANSWER = {"url": "original", "wayback_ts": "timestamp", "status": "statuscode",
 
 class _IndexReader(DataSourceReader):
     """Filters on status, time stamp and url's beginning go into the request; they are applied to the answer too, as an
-    endpoint may be a stored file."""
+    endpoint may be a stored file. An answer's rows are read one by one and never held together."""
 
     def __init__(self, options: dict[str, str], schema: T.StructType):
         split = lambda name: [x for x in options.get(name, "").split("\n") if x.strip()]
@@ -117,7 +180,11 @@ class _IndexReader(DataSourceReader):
 
     def read(self, partition: _Index) -> Iterator[tuple]:
         stored = partition.endpoint.startswith("file:")
-        head, *rows = json.loads(_fetched(partition.endpoint if stored else self.request(partition), self.agent, self.timeout) or "[]") or [[]]
+        with _opened(partition.endpoint if stored else self.request(partition), self.agent, self.timeout) as answer:
+            yield from self.chosen(matrix_rows(answer))
+
+    def chosen(self, rows: Iterator[list]) -> Iterator[tuple]:
+        head = next(rows, [])
         at = {n: head.index(_ANSWER[n]) if _ANSWER[n] in head else None for n in _ANSWER}
         for row in rows:
             value = {n: None if k is None or k >= len(row) else row[k] for n, k in at.items()}

@@ -1,4 +1,6 @@
+import io
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import sql
 from inkspan.functions.tags import pattern_tags
 from inkspan.operators import dedup
-from inkspan.plans import dashboard, pipelines
+from inkspan.plans import catalog_flow, dashboard, pipelines
 from inkspan.sources import html, notices, readers, rules, web, writers
 from inkspan.sources.html import parse
 from inkspan.sources.rules import RULES, Chain, Compiled, Rules, Take
@@ -336,6 +338,41 @@ def test_filters_on_an_archive_index_reach_its_service(spark):
         server.shutdown()
 
 
+def test_an_index_is_read_row_by_row():
+    rows = [["timestamp", "original"], *[[str(i), 'é"],[' + "x" * (i % 50)] for i in range(3000)]]
+    for text in (json.dumps(rows), json.dumps(rows, ensure_ascii=False, indent=1), "[]", " ", "[[]]"):
+        for size in (1, 7, 1 << 18):
+            assert list(web.matrix_rows(io.BytesIO(text.encode()), size)) == (json.loads(text) if text.strip() else [])
+    for text in ('[["a"],', '[["a"]', '[["a"] ["b"]]', '[["a"],]', '{"a": 1}', '[["a"]] x', '[["a', "[,]", "[1]"):
+        with pytest.raises(ValueError):
+            list(web.matrix_rows(io.BytesIO(text.encode()), 2))
+
+
+def test_a_long_index_is_not_held(tmp_path):
+    with open(tmp_path / "i.json", "w") as out:
+        out.write('[["timestamp","original","statuscode"]')
+        for i in range(300_000):
+            out.write(f',\n["2024010100{i % 10000:04d}","https://x.org/{i}","200"]')
+        out.write("]")
+    reader = web.ArchiveIndex({"endpoint": f"file:{tmp_path}/i.json"}).reader(web.ArchiveIndex({}).schema())
+    tracemalloc.start()
+    assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 300_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+
+
+def test_a_larger_table_makes_more_index_files(spark, tmp_path, monkeypatch):
+    events = spark.range(1000).select(F.col("id").alias("event_id"), F.lit("2024-01-10 00:00:00").cast("timestamp").alias("ts"), F.lit(2).cast("long").alias("user_id"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(catalog_flow, "INDEX_ROWS", 100)
+    monkeypatch.setattr(web, "captures", lambda s, files, **how: seen.append(files))
+    catalog_flow.indexed_captures(spark, str(tmp_path))
+    sizes = [len(json.loads(r["value"])) - 1 for r in spark.read.text(seen[0]).collect()]
+    assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 200
+
+
 def test_a_hosts_pages_are_fetched_by_one_task():
     urls = [f"https://{h}.org/{i}" for i in range(4) for h in ("a", "B", "c")] + ["https://b.org/x", "bad url", "http://[x"]
     reader = web._Reader({"urls": "\n".join(urls), "perpartition": "5"})
