@@ -289,8 +289,7 @@ SELECT i AS page_id, source, title, published_raw, length(body) AS body_length,
 FROM ({" UNION ALL ".join(f"SELECT * FROM {name}" for name in _BY_SOURCE)})""")
 def articles_by_source(spark, d):
     """The page of every document read by the rules of each of six sources: they differ in order and least lengths."""
-    pages = _page_of_all(spark, d).withColumn("of", F.explode(F.array(*map(F.lit, _BY_SOURCE))))
-    found = rules.extract_by_source(pages, "of")
+    found = rules.extract_by_source(_page_of_all(spark, d), F.array(*map(F.lit, _BY_SOURCE)))
     return found.select("page_id", "source", "title", "published_raw", F.length("body_raw").cast("long").alias("body_length"), F.sha2("body_raw", 256).alias("body_sha256"), comma(F.col("topics")).alias("topics"))
 
 

@@ -221,6 +221,16 @@ def test_pages_of_a_source_become_its_documents(spark):
     assert rules.extract_by_source(pages, F.lit("unknown"), "url").count() == 0
 
 
+def test_a_page_of_several_sources_is_sent_and_parsed_once(spark):
+    schema = "page_id long, html string, of array<string>, note string"
+    pages = spark.createDataFrame([(i, f"<h1>Page {i} of all</h1><time>day</time><main><p>{'word ' * 60}</p></main>" if i % 7 else None, [*RULES, "unknown"][i % 5 :], f"n{i}") for i in range(300)] + [(999, "x", None, "n"), (998, "x", [], "n")], schema)
+    once = rules.extract_by_source(pages, "of", keep=("note",))
+    each = rules.extract_by_source(pages.withColumn("of", F.explode("of")), "of", keep=("note",))
+    assert once.schema.names == each.schema.names and sorted(map(str, once.collect())) == sorted(map(str, each.collect())) and once.count() > 900
+    plan = catalog_flow.articles_by_source(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 RANKED = "doc_id string, source string, seq long, note string"
 
 
