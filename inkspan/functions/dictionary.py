@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import arrow_batches
+
 #: Characters of all keywords that one automaton may have. A worker needs about 30 bytes for each, so half a GB.
 AUTOMATON_CHARS = 1 << 24
 HITS = "array<struct<family:string,hits:int,place:int>>"
@@ -72,8 +74,9 @@ def fits(rows: DataFrame, most: int = AUTOMATON_CHARS) -> bool:
 def matcher(rows: DataFrame, most: int = AUTOMATON_CHARS):
     """A function from a text column to its ``HITS``, by the automaton of ``keyword_rows``; null texts have none.
 
-    Texts are lowered as Spark does it, so places are those in the lowered text.
+    Texts are lowered as Spark does it, so places are those in the lowered text. They go to Python a few MB at a time.
     """
+    arrow_batches(rows.sparkSession)
     if not fits(rows, most):
         raise ValueError(f"the dictionary has more than {most} characters; use tags.tagged_by_table, which joins it")
     table, sink = rows.select("keyword", "family").toArrow(), io.BytesIO()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,8 +10,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch at most, but for a single larger row.
-ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+from ..functions.batches import arrow_batches  # noqa: F401
+
 #: Characters of whitespace in every contract of this subpackage.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -38,17 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to a few MB, and so what Parquet's reader unpacks at a time, which is counted in rows too;
-    smaller settings of the caller stay."""
-    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.parquet.columnarReaderBatchSize": ARROW_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
-    for key, limit in most.items():
-        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", spark.conf.get(key).lower()).groups()
-        now = int(number) << 10 * " kmgtp".find(unit.replace("b", " ") or " ")
-        if now <= 0 or now > limit:
-            spark.conf.set(key, str(limit))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -223,3 +223,18 @@ def test_functions_for_sql(spark):
             spark.sql(f"SELECT * FROM {bad}").collect()
     with pytest.raises(ValueError):
         sql.register(spark, prefix="a b")
+
+
+def test_texts_go_to_the_automaton_in_small_batches(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "10000")
+        spark.conf.set(names[1], str(64 << 20))
+        words = spark.createDataFrame([("scam", "fraud")], "keyword string, family string")
+        rows = dictionary.dictionary_hits(spark.range(3000, numPartitions=1).select("id", F.concat(F.lit("a scam "), "id").alias("text")), "text", words)
+        assert int(spark.conf.get(names[0])) <= 512 and int(spark.conf.get(names[1]).rstrip("b")) <= 8 << 20
+        assert rows.where("size(hits) = 1 and hits[0].place = 3").count() == 3000
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
